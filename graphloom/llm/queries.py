@@ -6,11 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm import chat, licenses, quality_rules, urls
+from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, urls
 from graphloom.llm.common import table
 from graphloom.plans.scratch import Scratch
 
 
+def op1_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs.filter(~langid.held_out()))
+    found = langid.identify(docs, model)
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as reply trees without branches: each turn answers the one before it."""
     own = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -21,6 +28,13 @@ def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(nodes, Scratch(spark, "op3")))
 
 
+def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").filter(~quality_knn.held_out())
+    found = quality_knn.classify(docs, quality_knn.train(docs, labels))
+    return found.select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op8"))
 
@@ -34,7 +48,7 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_trees, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
+QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op5_quality_knn, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
 
 
 def oracles() -> dict[str, str]:
