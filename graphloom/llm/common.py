@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 def size_hint(df: DataFrame) -> int:
     """Bytes that the optimiser expects of df; a hint for partition counts only."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -47,7 +48,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTE
         if not batch.num_rows:
             continue
         col = batch.column(text)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0)).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:

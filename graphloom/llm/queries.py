@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, urls
+from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, substrings, urls
 from graphloom.llm.common import table
 from graphloom.plans.scratch import Scratch
 
@@ -28,6 +28,11 @@ def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_trees(nodes, Scratch(spark, "op3")))
 
 
+def op4_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").filter(~quality_knn.held_out())
@@ -48,8 +53,8 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op5_quality_knn, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
+QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op4_superkmer_dedup, op5_quality_knn, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_chat_trees": chat.oracle(), "op8_quality_rules": quality_rules.oracle(), "op9_url_reputation": urls.oracle(), "op10_licence_rules": licenses.oracle()}
+    return {"op3_chat_trees": chat.oracle(), "op4_superkmer_dedup": substrings.oracle(), "op8_quality_rules": quality_rules.oracle(), "op9_url_reputation": urls.oracle(), "op10_licence_rules": licenses.oracle()}
