@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, substrings, urls
+from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, setjoin, substrings, urls
 from graphloom.llm.common import table
 from graphloom.plans.scratch import Scratch
 
@@ -40,6 +40,10 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
 
 
+def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setjoin.components(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark, "op8"))
 
@@ -53,8 +57,8 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op4_superkmer_dedup, op5_quality_knn, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
+QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op4_superkmer_dedup, op5_quality_knn, op7_prefix_tree_join, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
 
 
 def oracles() -> dict[str, str]:
-    return {"op3_chat_trees": chat.oracle(), "op4_superkmer_dedup": substrings.oracle(), "op8_quality_rules": quality_rules.oracle(), "op9_url_reputation": urls.oracle(), "op10_licence_rules": licenses.oracle()}
+    return {"op3_chat_trees": chat.oracle(), "op4_superkmer_dedup": substrings.oracle(), "op7_prefix_tree_join": setjoin.oracle(), "op8_quality_rules": quality_rules.oracle(), "op9_url_reputation": urls.oracle(), "op10_licence_rules": licenses.oracle()}
