@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from graphloom.llm import chat, langid, licenses, quality_knn, quality_rules, setjoin, substrings, urls
+from graphloom.llm import chat, decontaminate, langid, licenses, mixing, quality_knn, quality_rules, setjoin, substrings, urls
 from graphloom.llm.common import table
 from graphloom.plans.scratch import Scratch
 
@@ -18,6 +18,11 @@ def op1_langid_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
+
+
 def op3_chat_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as reply trees without branches: each turn answers the one before it."""
     own = spark.createDataFrame([(-7, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
@@ -40,6 +45,10 @@ def op5_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality_knn.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Scratch(spark, "op6"))
+
+
 def op7_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.components(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
@@ -57,7 +66,7 @@ def op10_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.recognise(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op3_chat_trees, op4_superkmer_dedup, op5_quality_knn, op7_prefix_tree_join, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
+QUERIES = {f.__name__: f for f in (op1_langid_ftrl, op2_entropy_mix, op3_chat_trees, op4_superkmer_dedup, op5_quality_knn, op6_latent_decontamination, op7_prefix_tree_join, op8_quality_rules, op9_url_reputation, op10_licence_rules)}
 
 
 def oracles() -> dict[str, str]:

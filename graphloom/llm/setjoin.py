@@ -11,11 +11,14 @@
    can't reach the required overlap are cut, as are those already connected.
    Two rounds of bounded blocks, keyed by two different minimum hashes, connect
    nearly all that is alike.
-3. An exact pass ends it: by the prefix filter two linked sets share a shingle
-   among their first n - ceil(0.75 n) + 1. Only shingles whose sets still lie in
-   different components form blocks; a block beyond the bound is split into
-   pairs of parts, so that no pair of sets is left out and none is emitted
-   unless it links.
+3. An exact pass ends it. A set can still link to another component only if
+   3/4 of its shingles are held by other components, so the counting of step 1
+   is repeated with components in place of classes until nothing leaves. By the
+   prefix filter two linked sets share a shingle among their first
+   n - ceil(0.75 n) + 1; sets that share one form a block, in which only pairs
+   whose first common shingle it is are followed. A block beyond the bound is
+   split into pairs of parts, so that no pair of sets is left out and none is
+   emitted unless it links.
 """
 
 from __future__ import annotations
@@ -216,34 +219,46 @@ class Trie:
                 cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
                 todo += [(a, b, end, me) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def links(self, labels: list) -> list[tuple[int, int]]:
-        """Pairs of set numbers that link and, with those before them, connect different labels."""
+    def links(self, labels: list, parts: list | None = None, first: int | None = None) -> list[tuple[int, int]]:
+        """Pairs of set numbers that link and, with those before them, connect different labels.
+
+        With parts, only pairs of different parts count; with first, only pairs
+        that have no common token below it.
+        """
         if not self.sets:
             return []
         _, comp = np.unique([labels[i] for i in self.order], return_inverse=True)
         comp = comp.copy()
+        part = np.array([parts[i] for i in self.order]) if parts else None
         found = []
         for i in range(1, len(self.sets)):
-            if (comp[:i] == comp[i]).all():
-                continue
             x = self.sets[i]
             n = len(x)
+            fits = (DEN * np.minimum(self.size[:i], n) >= NUM * np.maximum(self.size[:i], n)) & (comp[:i] != comp[i])
+            if part is not None:
+                fits &= part[:i] != part[i]
+            if not fits.any():
+                continue
+            open_ = np.append(0, np.cumsum(fits))
             todo = [(0, 0)]
             while todo:
                 node, overlap = todo.pop()
                 begin, end, lo, hi, children, least, most = self.nodes[node]
                 hi = min(hi, i)
-                # a union of n and m shingles holds at least NUM / (NUM + DEN) of n + m in common
-                if lo >= hi or DEN * min(n, most) < NUM * max(n, least) or (comp[lo:hi] == comp[i]).all():
+                if lo >= hi or open_[hi] == open_[lo]:
                     continue
+                seg = self.sets[lo][begin:end]
                 rest = n
-                if end > begin:
-                    part = self.sets[lo][begin:end]
-                    at = np.searchsorted(x, part)
-                    overlap += int((x[np.minimum(at, n - 1)] == part).sum())
-                    rest = n - int(np.searchsorted(x, part[-1], side="right"))
+                if len(seg):
+                    at = np.searchsorted(x, seg)
+                    same = x[np.minimum(at, n - 1)] == seg
+                    if first is not None and not overlap and seg[0] < first and (same & (seg < first)).any():
+                        continue
+                    overlap += int(np.count_nonzero(same))
+                    rest = n - int(at[-1]) - int(same[-1])
                 elif end:
                     rest = n - int(np.searchsorted(x, self.sets[lo][end - 1], side="right"))
+                # a union of n and m shingles holds at least NUM / (NUM + DEN) of n + m in common
                 if (NUM + DEN) * (overlap + min(rest, most - end)) < NUM * (n + least):
                     continue
                 if children:
@@ -252,20 +267,93 @@ class Trie:
                 if DEN * overlap >= NUM * (n + int(self.size[lo]) - overlap):
                     found.append((self.order[lo], self.order[i]))
                     comp[comp == comp[lo]] = comp[i]
+                    fits &= comp[:i] != comp[i]
+                    open_ = np.append(0, np.cumsum(fits))
         return found
 
 
-def _join_block(group: pa.Table) -> pa.Table:
-    """Links inside a block of (sid, label, tokens); a set that comes twice counts once."""
+def _block_links(group: pa.Table, parts: bool) -> pa.Table:
+    """Links inside a block of sets; a set that comes twice counts once."""
     sid = group.column("sid").to_pylist()
     once = {s: i for i, s in enumerate(sid)}
     at = sorted(once.values())
     tokens, label = group.column("tokens").to_pylist(), group.column("label").to_pylist()
     sets = [np.frombuffer(tokens[i], np.uint64) for i in at]
-    pairs = Trie(sets).links([label[i] for i in at])
+    own, first = None, None
+    if parts:
+        first = np.uint64(group.column("token")[0].as_py() & (2**64 - 1))
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            every = group.column("own").to_pylist()
+            own = [every[i] for i in at]
+    pairs = Trie(sets).links([label[i] for i in at], own, first)
     return pa.table({"u": pa.array([sid[at[a]] for a, _ in pairs], pa.int64()), "v": pa.array([sid[at[b]] for _, b in pairs], pa.int64())})
 
 
+def _join_block(group: pa.Table) -> pa.Table:
+    return _block_links(group, False)
+
+
+def _join_parts(group: pa.Table) -> pa.Table:
+    return _block_links(group, True)
+
+
+def _deal_sets(n_buckets: int):
+    """(sid, label, tokens) to rows (bucket, part): shingles by bucket, with the set and label that ask."""
+
+    def task(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                sid, label = np.asarray(some.column(0)), np.asarray(some.column(1))
+                sets = [np.frombuffer(t, np.uint64) for t in some.column(2).to_pylist()]
+                tok, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+                bucket = ((tok >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+                by = np.lexsort((of, bucket))
+                cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)), len(by))
+                rows = []
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    d = of[by[i:j]]
+                    head = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
+                    rows.append((int(bucket[by[i]]), _pack(sid[d[head]], label[d[head]], np.diff(np.append(head, j - i)), tok[by[i:j]])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part"])
+
+    return task
+
+
+def _answer_sets(batches):
+    """Rows (sid, k): how many shingles of a set, among those here, sets of other labels hold too."""
+    parts = [_unpack(p.as_py(), (np.int64, np.int64, np.int64, np.uint64)) for batch in batches for p in batch.column(1)]
+    if not parts:
+        return
+    sid, label, n, tok = (np.concatenate(x) for x in zip(*parts))
+    who = np.repeat(label, n)
+    order = np.argsort(tok)
+    t, w = tok[order], who[order]
+    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    several = np.minimum.reduceat(w, starts) != np.maximum.reduceat(w, starts)
+    shared = np.empty(len(t), np.int64)
+    shared[order] = np.repeat(several, np.diff(np.append(starts, len(t))))
+    count = np.add.reduceat(shared, np.cumsum(n) - n)
+    yield pa.RecordBatch.from_arrays([pa.array(sid[count > 0]), pa.array(count[count > 0])], names=["sid", "k"])
+
+
+def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
+    """The sets of labelled(sid, n, label, tokens) that may link to another label."""
+    n = max(n_partitions(labelled.sparkSession), size_hint(labelled) // BUCKET_BYTES)
+    before = labelled.count()
+    for _ in range(rounds):
+        dealt = labelled.select("sid", "label", "tokens").mapInArrow(_deal_sets(n), "bucket int, part binary")
+        shared = dealt.repartition(n, "bucket").mapInArrow(_answer_sets, "sid long, k long").groupBy("sid").agg(F.sum("k").alias("k"))
+        new = scratch.save(labelled.join(shared, "sid").filter(F.col("k") * DEN >= NUM * F.col("n")).drop("k"))
+        after = new.count()
+        scratch.drop(labelled)
+        labelled = new
+        if after == before or not after:
+            break
+        before = after
+    return labelled
+
+
 def _postings(batches):
     """(sid, label, tokens) to (token, sid, label) for the prefix of each set."""
     for batch in batches:
@@ -294,17 +382,17 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
         links.append(scratch.save(dealt.groupBy("key", "sub").applyInArrow(_join_block, "u long, v long")))
     links = links[0].union(links[1])
 
-    labelled = scratch.save(_with_labels(sets, links, scratch).select("sid", "label", "tokens"))
-    posts = scratch.save(labelled.mapInArrow(_postings, "token long, sid long, label long"))
+    labelled = still_open(scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens")), scratch)
+    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(_postings, "token long, sid long, label long"))
     open_ = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("p"), F.max("sid").alias("q"))
     # shingles held by the same sets need one block
     blocks = open_.filter("a <> b").groupBy("m", "x", "p", "q").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).alias("parts"))
     members = posts.join(blocks, "token").select("token", "sid", "label", "parts", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("own"))
     # parts i <= j meet in block (i, j); a single part is block (0, 0)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "sid")
-    shipped = members.join(labelled, "sid").select("token", "i", "j", "sid", "label", "tokens")
-    rest = scratch.save(shipped.groupBy("token", "i", "j").applyInArrow(_join_block, "u long, v long"))
+    members = members.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid")
+    shipped = members.join(labelled, "sid").select("token", "i", "j", "own", "sid", "label", "tokens")
+    rest = scratch.save(shipped.groupBy("token", "i", "j").applyInArrow(_join_parts, "u long, v long"))
     return links.union(rest)
 
 

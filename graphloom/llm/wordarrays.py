@@ -8,6 +8,9 @@ import pyarrow.compute as pc
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
+#: For looser words: ASCII letters, digits and all bytes of longer code points count, all else parts words.
+PARTS = np.ones(256, bool)
+PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _MIX = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
 _SLAB = 1 << 18
@@ -54,8 +57,8 @@ class Words:
         self.n = len(start) - 1
 
     @classmethod
-    def of(cls, data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-        inside = ~_WHITE[data]
+    def of(cls, data: np.ndarray, offsets: np.ndarray, lower: bool = False, white: np.ndarray = _WHITE) -> Words:
+        inside = ~white[data]
         n = len(data)
         begin, end = inside.copy(), inside.copy()
         begin[1:] &= ~inside[:-1]
