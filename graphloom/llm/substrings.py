@@ -4,8 +4,8 @@ Each map task cuts whole texts into words and settles the windows that repeat
 within its own chunk of texts: of equal windows only those of the smallest
 document go on, so a passage that many documents hold is gathered before it is
 shuffled. The others travel as super-k-mers: consecutive windows of a document
-that share a minimiser (the least hash of their word triples) are one packed
-string, sent to the minimiser's bucket with the number of its first word.
+that share a minimiser (the least hash of their words, words of up to SHORT
+bytes last because these are the frequent ones) are one packed string, sent to the minimiser's bucket with the number of its first word.
 Equal windows have equal minimisers, so they meet in one bucket, where sorting
 their hashes brings them together and comparing their bytes makes it exact.
 A bucket is read block by block; what is settled is let go, so memory follows
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +24,12 @@ from graphloom.llm.common import chunks, size_hint
 from graphloom.llm.wordarrays import Words, mixed, rolled, rolled_min, same_bytes, text_buffer
 from graphloom.plans.scratch import n_partitions
 
-WINDOW, TRIPLE = 13, 3
+WINDOW, SHORT = 13, 4
 CHUNK = 2 << 20
 #: Bytes of (compressed) input for each bucket.
-BUCKET_BYTES = 2 << 20
+BUCKET_BYTES = 3 << 19
 #: Bytes of packed strings that a bucket task settles at once, at least.
-SETTLE = 12 << 20
+SETTLE = 6 << 20
 MARKS = "_id long, _key long, s int, e int"
 
 
@@ -91,13 +92,20 @@ def _marks(ids, keys, s, e) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], names=["_id", "_key", "s", "e"])
 
 
+def squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def unsqueeze(part: bytes) -> bytes:
+    return pa.decompress(part[8:], decompressed_size=int.from_bytes(part[:8], "little"), codec="zstd", asbytes=True)
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return squeeze(np.array([len(a) for a in arrays], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(part: bytes, kinds) -> list[np.ndarray]:
-    raw = pa.decompress(part[8:], decompressed_size=int.from_bytes(part[:8], "little"), codec="zstd", asbytes=True)
+    raw = unsqueeze(part)
     sizes, at, out = np.frombuffer(raw, np.int64, len(kinds)), 8 * len(kinds), []
     for n, kind in zip(sizes, kinds):
         out.append(np.frombuffer(raw, kind, n, at))
@@ -127,7 +135,8 @@ def _send(n_buckets: int):
                 t = text[a]
                 base = words.first[t]
                 rows.append((int(ids[t[0]] % n_buckets), 1, _pack(ids[t], keys[t], (win[a] - base).astype(np.int32), (win[b] - base + WINDOW).astype(np.int32))))
-            least = rolled_min(rolled(words.hashes(), TRIPLE), WINDOW - TRIPLE + 1)[win]
+            rank = (words.hashes() >> np.uint64(1)) | ((np.diff(words.start) <= SHORT + 1).astype(np.uint64) << np.uint64(63))
+            least = rolled_min(rank, WINDOW)[win]
             a, b = runs(~removed, breaks | np.append(True, least[1:] != least[:-1]))
             if len(a):
                 bucket = (mixed(least[a]) % np.uint64(n_buckets)).astype(np.int32)
@@ -187,23 +196,33 @@ def _judge(batches):
         yield work()
 
 
-def _cut(batches):
-    """(id, text, marks) to (id, n_words, n_removed, kept)."""
+def _squeezed(batches):
+    """(row, id, key, text) with the text compressed for its way to the marks."""
     for batch in batches:
-        rows = []
-        for text, marks in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-            words = text.split() if text else []  # for bytes, white space is \x20 and \x09-\x0D
-            n = len(words)
-            if marks:
-                change = np.zeros(n + 1, np.int64)
-                np.add.at(change, [m["s"] for m in marks], 1)
-                np.add.at(change, [m["e"] for m in marks], -1)
-                words = [words[i] for i in np.flatnonzero(np.cumsum(change)[:n] == 0)]
-            rows.append((n, n - len(words), b" ".join(words)))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
-            names=["_row", "n_words", "n_removed", "kept_text"],
-        )
+        text = [squeeze(t) if t else None for t in batch.column(3).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(text, pa.binary())], names=["_row", "_id", "_key", "_z"])
+
+
+def _cut(batches):
+    """(row, compressed text, marks) to (row, n_words, n_removed, kept_text)."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1000):
+            batch = whole.slice(at, 1000)
+            marks = batch.column(2)
+            s, e = (np.asarray(x) for x in marks.flatten().flatten())
+            ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(marks), 0))))
+            rows = []
+            for i, z in enumerate(batch.column(1).to_pylist()):
+                words = unsqueeze(z).split() if z else []  # for bytes, white space is \x20 and \x09-\x0D
+                n, a, b = len(words), ends[i], ends[i + 1]
+                if b > a:
+                    change = np.bincount(s[a:b], minlength=n + 1) - np.bincount(e[a:b], minlength=n + 1)
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(change)[:n] == 0)]
+                rows.append((n, n - len(words), b" ".join(words)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
+                names=["_row", "n_words", "n_removed", "kept_text"],
+            )
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
@@ -223,7 +242,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marks = sent.repartition(n, "bucket").mapInArrow(_judge, MARKS)
     marks = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("s", "e")).alias("_marks"))
     kind = dict(rows.dtypes)["_row"]
-    joined = rows.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_text", "_marks")
+    texts = rows.mapInArrow(_squeezed, f"_row {kind}, _id long, _key long, _z binary")
+    joined = texts.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_z", "_marks")
     return joined.mapInArrow(_cut, f"_row {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("_row", id_col)
 
 
