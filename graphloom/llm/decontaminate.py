@@ -1,13 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Passages become TF-IDF vectors of hashed words (document frequencies over the
-passages of the whole corpus) and are projected on the leading singular
-directions of a bounded sample of passages and of the benchmark. The singular
-directions come from distributed randomised subspace iteration: each step sums
-A'(AQ) over the tasks. Every passage of every whole document is then compared
-with all benchmark items by cosine; candidates are verified by the longest
-common subsequence of words, and, where that alone is not enough, by finding
-the item's answer (its last words) next to it.
+Words are hashed to DIM numbers; their document frequencies count the passages
+of the whole corpus, and words in more than COMMON of all passages weigh
+nothing. The TF-IDF passages of a block of benchmark items are factored by
+distributed randomised subspace iteration (each step sums A'(AQ) over tasks);
+the leading RANK directions are the latent space. Every passage of every whole
+document is projected there and compared with all items of the block by cosine
+(taken against the passage's full length, so that words outside the space
+count against it). Candidates are verified by the longest common subsequence
+of words, and, where that alone is not enough, by finding the item's answer
+(its last words) next to it.
 
 The benchmark is a stated query set, taken in blocks of ITEMS, each broadcast
 in turn; the corpus is never joined with itself and never leaves the tasks.
@@ -25,19 +27,21 @@ from graphloom.llm.wordarrays import PARTS, Words, text_buffer
 from graphloom.plans.scratch import Scratch
 
 DIM = 1 << 16
-RANK, POWER_STEPS = 48, 2
+RANK, POWER_STEPS = 192, 2
 #: Words of a step of the passage window, and of a passage for counting and fitting.
 STEP, PASSAGE = 16, 48
-#: Bounds of the fitting sample (passages of the corpus) and of one block of benchmark items.
-SAMPLE, ITEMS = 6000, 4000
+#: Items of one block of the query set.
+ITEMS = 256
+#: Share of passages from which a word weighs nothing.
+COMMON = 0.2
 #: Cosine from which a passage is verified.
-COSINE = 0.3
+COSINE = 0.25
 #: Share of an item's words, in order, that is a leak; with the answer nearby; words of the answer.
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.7, 0.5, 6
 #: An item of fewer words must be found word by word.
 SHORT = 8
 CHUNK = 2 << 20
-SLAB = 1 << 15
+SLAB = 1 << 14
 
 
 def cut(col: pa.Array) -> tuple[Words, np.ndarray]:
@@ -72,7 +76,7 @@ def passage_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
     return out[:DIM], int(out[DIM])
 
 
-def sample_passages(texts: DataFrame) -> DataFrame:
+def passages_of(texts: DataFrame) -> DataFrame:
     """Rows (words): the numbers of the words of each passage."""
 
     def task(batches):
@@ -92,23 +96,26 @@ def _vector(n: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, (x / norm if norm else x).astype(np.float32)
 
 
-def singular_directions(passages: DataFrame, idf: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
-    """DIM x rank right singular vectors of passages(words), by randomised subspace iteration over the tasks."""
+def singular_directions(passages: DataFrame, idf: np.ndarray, vocabulary: np.ndarray, rank: int = RANK, seed: int = 17) -> np.ndarray:
+    """len(vocabulary) x rank right singular vectors of passages(words), by randomised subspace iteration over the tasks."""
     sc = passages.sparkSession.sparkContext
-    q = np.random.default_rng(seed).standard_normal((DIM, rank)).astype(np.float32)
+    place = np.zeros(DIM, np.int64)
+    place[vocabulary] = np.arange(len(vocabulary))
+    size = len(vocabulary)
+    q = np.random.default_rng(seed).standard_normal((size, rank)).astype(np.float32)
     for _ in range(POWER_STEPS + 1):
-        shared = sc.broadcast((q, idf))  # DIM x rank numbers, whatever the input
+        shared = sc.broadcast((q, idf, place))  # DIM x rank numbers at most, whatever the input
 
         def task(batches):
-            basis, weight = shared.value
-            z = np.zeros((DIM, rank), np.float32)
+            basis, weight, row = shared.value
+            z = np.zeros((size, rank), np.float32)
             for batch in batches:
-                for row in batch.column(0):
-                    at, x = _vector(np.frombuffer(row.as_buffer(), np.uint16), weight)
-                    z[at] += x[:, None] * (x @ basis[at])
+                for words in batch.column(0):
+                    at, x = _vector(np.frombuffer(words.as_buffer(), np.uint16), weight)
+                    z[row[at]] += x[:, None] * (x @ basis[row[at]])
             yield vector_pieces(z.ravel())
 
-        z = vector_sum(passages.mapInArrow(task, PIECES), DIM * rank, np.float32).reshape(DIM, rank)
+        z = vector_sum(passages.mapInArrow(task, PIECES), size * rank, np.float32).reshape(size, rank)
         q = np.linalg.qr(z)[0].astype(np.float32)
         shared.unpersist()
     return q
@@ -157,51 +164,73 @@ def item_passages(n: int) -> list[tuple[int, int]]:
     return [(a, min(n, a + PASSAGE)) for a in range(0, n - STEP, STEP * 2)]
 
 
-def search(docs: DataFrame, items: list[Item], idf: np.ndarray, basis: np.ndarray, cosine: float = COSINE) -> DataFrame:
+class Index:
+    """The items of a block in latent space, as each word's share in each of their cosines."""
+
+    def __init__(self, items: list[Item], idf: np.ndarray, vocabulary: np.ndarray, basis: np.ndarray):
+        place = np.zeros(DIM, np.int64)
+        place[vocabulary] = np.arange(len(vocabulary))
+        rows = [(k, a, b) for k, item in enumerate(items) for a, b in item_passages(item.n)]
+        vectors = np.zeros((len(rows), basis.shape[1]), np.float32)
+        for i, (k, a, b) in enumerate(rows):
+            at, x = _vector(numbers(np.array(items[k].words[a:b], np.uint64)), idf)
+            vectors[i] = x @ basis[place[at]]
+        norm = np.sqrt((vectors * vectors).sum(1, keepdims=True))
+        vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
+        self.items, self.owner, self.square = items, np.array([k for k, _, _ in rows]), (idf * idf).astype(np.float64)
+        # (words x RANK) (RANK x passages): the same product, folded once
+        self.share = (basis * idf[vocabulary][:, None]) @ vectors.T
+        self.row = np.full(DIM, -1, np.int32)
+        self.row[vocabulary] = np.where(idf[vocabulary] > 0, np.arange(len(vocabulary)), -1)
+
+
+def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
     """Rows (id, item_id, n_item_words, lcs, answer) of leaks of items in docs(id, text), possibly several a pair."""
-    rows = [(k, a, b) for k, item in enumerate(items) for a, b in item_passages(item.n)]
-    vectors = np.zeros((len(rows), basis.shape[1]), np.float32)
-    for i, (k, a, b) in enumerate(rows):
-        at, x = _vector(numbers(np.array(items[k].words[a:b], np.uint64)), idf)
-        vectors[i] = x @ basis[at]
-    norm = np.sqrt((vectors * vectors).sum(1, keepdims=True))
-    vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
-    owner = np.array([k for k, _, _ in rows])
-    shared = docs.sparkSession.sparkContext.broadcast((items, idf, basis * idf[:, None], vectors, owner))  # at most ITEMS items
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # ITEMS items and their words
 
     def task(batches):
-        things, weight, project, query, of = shared.value
-        square = weight * weight
+        ix = shared.value
+        things, of = ix.items, ix.owner
         for batch in chunks(batches, 1, CHUNK):
             words, h = cut(batch.column(1))
             found = []
-            if words.n and len(query):
-                num = numbers(h)
+            if words.n and len(of):
                 text = words.text_of_word()
-                steps = np.flatnonzero((np.arange(words.n) - words.first[text]) % STEP == 0)
-                sums = np.zeros((len(steps) + 2, query.shape[1]), np.float32)
-                energy = np.zeros(len(steps) + 2)
-                for i in range(0, len(steps), SLAB // STEP):
-                    j = min(len(steps), i + SLAB // STEP)
-                    lo, hi = steps[i], steps[j] if j < len(steps) else words.n
-                    part = num[lo:hi]
-                    sums[i:j] = np.add.reduceat(project[part], steps[i:j] - lo, axis=0)
-                    energy[i:j] = np.add.reduceat(square[part], steps[i:j] - lo)
-                doc = np.append(text[steps], [-1, -1])
-                two = (doc[1:-1] == doc[:-2])[:, None]
-                three = (doc[2:] == doc[:-2])[:, None]
+                begins = (np.arange(words.n) - words.first[text]) % STEP == 0
+                steps = np.flatnonzero(begins)
+                # each word once a step
+                key = np.sort((np.cumsum(begins) - 1) * DIM + numbers(h))
+                key = key[np.append(True, key[1:] != key[:-1])]
+                step, num = key // DIM, key % DIM
                 n = len(steps)
+                energy = np.bincount(step, weights=ix.square[num], minlength=n + 2)
+                row = ix.row[num]
+                step, row = step[row >= 0], row[row >= 0]
+                doc = np.append(text[steps], [-1, -1])
+                two, three = doc[1:-1] == doc[:-2], doc[2:] == doc[:-2]
+                e2 = energy[:n] + two * energy[1 : n + 1]
+                e3 = e2 + three * energy[2 : n + 2]
+                scale = [cosine * np.sqrt(np.maximum(e, 1e-9)).astype(np.float32)[:, None] for e in (energy[:n], e2, e3)]
                 pairs: dict[tuple[int, int], list[int]] = {}
-                w2, e2 = sums[:n] + two * sums[1:-1], energy[:n] + two[:, 0] * energy[1:-1]
-                w3, e3 = w2 + three * sums[2:], e2 + three[:, 0] * energy[2:]
-                for w, e in ((w2, e2), (w3, e3)):
-                    e = np.sqrt(np.maximum(e, 1e-12))
-                    for i in range(0, n, max(1, (1 << 22) // len(query))):
-                        j = min(n, i + max(1, (1 << 22) // len(query)))
-                        near = (w[i:j] @ query.T) >= (cosine * e[i:j, None])
-                        at, q = np.nonzero(near)
-                        for a, k in zip((at + i).tolist(), of[q].tolist()):
-                            pairs.setdefault((int(doc[a]), k), []).append(a)
+                slab = max(64, SLAB // STEP)
+                for i in range(0, n, slab):
+                    j = min(n, i + slab)
+                    sums = np.zeros((j - i + 2, ix.share.shape[1]), np.float32)
+                    lo, hi = np.searchsorted(step, [i, j + 2])
+                    if lo == hi:
+                        continue
+                    own = step[lo:hi]
+                    head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+                    sums[own[head] - i] = np.add.reduceat(ix.share[row[lo:hi]], head, axis=0)
+                    w = sums[: j - i]
+                    near = w >= scale[0][i:j]
+                    w = w + two[i:j, None] * sums[1:-1]
+                    near |= w >= scale[1][i:j]
+                    w += three[i:j, None] * sums[2:]
+                    near |= w >= scale[2][i:j]
+                    at, q = np.nonzero(near)
+                    for a, k in zip((at + i).tolist(), of[q].tolist()):
+                        pairs.setdefault((int(doc[a]), k), []).append(a)
                 for (d, k), at in pairs.items():
                     item = things[k]
                     begin, end = int(words.first[d]), int(words.first[d + 1])
@@ -235,24 +264,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str =
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     df, n = passage_frequency(rows.select("_text"))
-    idf = np.log((1 + n) / (1 + df)).astype(np.float32) + np.float32(0.01)
+    idf = np.where(df > COMMON * n, 0.0, np.log((1 + n) / (1 + df))).astype(np.float32)
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
-    count = texts.count()
-    share = min(1.0, SAMPLE / max(1, n))
-    few = rows.filter(F.pmod(F.xxhash64("_text", F.lit("passages")), F.lit(1 << 40)) < F.lit(int(share * (1 << 40)) + 1)).select("_text")
-    corpus = sample_passages(few)
-    blocks = max(1, -(-count // ITEMS))
+    blocks = max(1, -(-texts.count() // ITEMS))
     found = None
     for b in range(blocks):
         some = texts.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        fit = scratch.save(sample_passages(some.select(F.col("text").alias("_text"))).union(corpus).coalesce(8))
-        basis = singular_directions(fit, idf)
         items = []
         for r in some.collect():  # a block of the query set
             words, h = cut(pa.array([r["text"]]))
             if words.n:
                 items.append(Item(r["item_id"], h.tolist()))
-        got = search(rows, items, idf, basis)
+        items.sort(key=lambda x: (x.id, x.words))
+        vocabulary = np.unique(numbers(np.array([w for x in items for w in x.words], np.uint64))) if items else np.zeros(1, np.int64)
+        fit = scratch.save(passages_of(some.select("text")))
+        basis = singular_directions(fit, idf, vocabulary, min(RANK, len(vocabulary)))
+        got = search(rows, Index(items, idf, vocabulary, basis))
         found = got if found is None else found.union(got)
     best = found.groupBy("_id", "item_id").agg(F.max(F.struct("lcs", "answer", "n_item_words")).alias("x"))
     return best.select(F.col("_id").alias(id_col), "item_id", "x.n_item_words", "x.lcs", "x.answer")
