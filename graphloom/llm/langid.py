@@ -110,23 +110,26 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     return Model(langs, idf, w, temperature(scores, np.array([y for y, _, _ in held], int)))
 
 
-def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
-    """Rows (id, lang_pred, score) for every row of docs.
+def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (id, lang_pred, score) for every row of docs; with keep, rows (keep..., text, lang_pred, score).
 
     Null texts and texts without a letter get ``und`` and score 0; long texts
     count whole. Repeated rows repeat, other columns of docs are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM weights, whatever the input
+    passed = [F.col(c).alias(f"_{i}") for i, c in enumerate((*keep, text_col) if keep else (id_col,))]
+    rows = docs.select(F.col(text_col).alias("_text"), *passed)
+    kinds = dict(rows.dtypes)
+    names = [c for c in rows.columns if c != "_text"]
 
     def task(batches):
         m = shared.value
         for batch in batches:
-            got = [m.predict(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["_id", "lang_pred", "score"])
+            got = [m.predict(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(task, f"_id {dict(rows.dtypes)['_id']}, lang_pred string, score double")
-    return out.withColumnRenamed("_id", id_col)
+    out = rows.mapInArrow(task, ", ".join([*(f"{c} {kinds[c]}" for c in names), "lang_pred string", "score double"]))
+    return out.toDF(*((*keep, text_col) if keep else (id_col,)), "lang_pred", "score")
 
 
 def held_out(id_col="doc_id") -> Column:

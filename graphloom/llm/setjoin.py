@@ -4,7 +4,7 @@
    sets share a digest and form one class from then on. Shingles are dealt to
    buckets by hash, and each bucket says which are held by two classes or more.
    A set can link only if at least 3/4 of its own shingles are so held: the
-   rest of the corpus leaves here, having moved about four bytes a shingle.
+   rest of the corpus leaves here, having moved some four bytes a shingle.
 2. The remaining sets, in global (hash) order, are joined by prefix trees: sets
    of a block form a trie, a set walks the trie of those before it, overlap is
    counted once for each shared path, and subtrees whose remaining lengths
@@ -112,13 +112,23 @@ def _deal(n_buckets: int):
                 d = of[ask[i:j]]
                 head = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
                 n = np.diff(np.append(head, j - i))
-                rows.append((chunk, int(bucket[i]), 1, _pack(d[head].astype(np.uint16 if len(own) < 65536 else np.uint32).astype(np.uint32), short[d[head]], n.astype(np.uint32), tok[ask[i:j]].astype(np.uint32), told[i:j])))
+                rows.append((chunk, int(bucket[i]), 1, _pack(d[head].astype(np.uint16 if len(own) < 65536 else np.uint32).astype(np.uint32), short[d[head]], n.astype(np.uint32), _three(tok[ask[i:j]]), told[i:j])))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "part"])
 
     return task
 
 
-_ASK = (np.uint32, np.uint32, np.uint32, np.uint32, bool)  # local set, short digest, shingles of it, shingles, known
+_ASK = (np.uint32, np.uint32, np.uint32, np.uint8, bool)  # local set, short digest, shingles of it, shingles, known
+
+
+def _three(tok: np.ndarray) -> np.ndarray:
+    """The low three bytes of each hash. With the bucket they tell most shingles apart; where they don't, a set only seems to share more."""
+    return np.ascontiguousarray(tok).view(np.uint8).reshape(-1, 8)[:, :3].ravel()
+
+
+def _number(three: np.ndarray) -> np.ndarray:
+    t = three.reshape(-1, 3).astype(np.uint64)
+    return t[:, 0] | t[:, 1] << np.uint64(8) | t[:, 2] << np.uint64(16)
 
 
 def _answer(batches):
@@ -134,7 +144,7 @@ def _answer(batches):
         yield _rows(out)
     if not asked:
         return
-    key = np.concatenate([p[3].astype(np.uint64) | np.uint64(b) << np.uint64(32) for _, b, p in asked])
+    key = np.concatenate([_number(p[3]) | np.uint64(b) << np.uint64(32) for _, b, p in asked])
     who = np.concatenate([np.repeat(p[1], p[2]) for _, _, p in asked])
     order = np.argsort(key)
     k, w = key[order], who[order]
@@ -145,8 +155,8 @@ def _answer(batches):
     shared[order] = np.repeat(several, np.diff(np.append(starts, len(k))))
     at, out = 0, []
     for chunk, _, (local, _, n, tok, told) in asked:
-        yes = shared[at : at + len(tok)] & ~told
-        at += len(tok)
+        yes = shared[at : at + len(told)] & ~told
+        at += len(told)
         count = np.add.reduceat(yes.astype(np.int64), np.cumsum(n, dtype=np.int64) - n)
         some = count > 0
         if some.any():
@@ -180,11 +190,15 @@ def _sum_up(batches):
 
 
 def _whole(batches):
-    """(sid, text) to (sid, n, set, k0, k1): sorted shingles and two minimum hashes."""
-    for batch in chunks(batches, 1, CHUNK):
-        want = np.asarray(batch.column(0)).astype(np.uint64)
-        sets = shingle_sets(Words.of(*text_buffer(batch.column(1)), lower=True))
-        rows = [(int(np.int64(w)), len(s), s.tobytes(), int(s[0] >> np.uint64(1)), int(mixed(s).min() >> np.uint64(1))) for s, w, d in zip(sets, want, digests(sets)) if w == d and len(s)]
+    """(text) to (sid, n, tokens, k0, k1): sorted shingles and two minimum hashes; one row for equal sets of a task."""
+    seen = set()
+    for batch in chunks(batches, 0, CHUNK):
+        sets = shingle_sets(Words.of(*text_buffer(batch.column(0)), lower=True))
+        rows = []
+        for s, d in zip(sets, digests(sets).view(np.int64).tolist()):
+            if len(s) and d not in seen:
+                seen.add(d)
+                rows.append((d, len(s), s.tobytes(), int(s[0] >> np.uint64(1)), int(mixed(s).min() >> np.uint64(1))))
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["sid", "n", "tokens", "k0", "k1"])
 
 
@@ -272,29 +286,40 @@ class Trie:
         return found
 
 
-def _block_links(group: pa.Table, parts: bool) -> pa.Table:
-    """Links inside a block of sets; a set that comes twice counts once."""
+def _join_block(group: pa.Table) -> pa.Table:
+    """Links inside a block of sets, as stars: each linked set with the least of those it is connected to here.
+
+    A set that comes twice counts once. Blocks (i, j) of two parts compare one
+    with the other; blocks of a shingle follow pairs that have none before it.
+    """
     sid = group.column("sid").to_pylist()
     once = {s: i for i, s in enumerate(sid)}
     at = sorted(once.values())
-    tokens, label = group.column("tokens").to_pylist(), group.column("label").to_pylist()
+    tokens, label, own = (group.column(c).to_pylist() for c in ("tokens", "label", "own"))
     sets = [np.frombuffer(tokens[i], np.uint64) for i in at]
-    own, first = None, None
-    if parts:
-        first = np.uint64(group.column("token")[0].as_py() & (2**64 - 1))
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
-            every = group.column("own").to_pylist()
-            own = [every[i] for i in at]
-    pairs = Trie(sets).links([label[i] for i in at], own, first)
-    return pa.table({"u": pa.array([sid[at[a]] for a, _ in pairs], pa.int64()), "v": pa.array([sid[at[b]] for _, b in pairs], pa.int64())})
+    parts = [own[i] for i in at] if group.column("i")[0].as_py() != group.column("j")[0].as_py() else None
+    first = group.column("first")[0].as_py()
+    pairs = Trie(sets).links([label[i] for i in at], parts, None if first is None else np.uint64(first & (2**64 - 1)))
+    root: dict[int, int] = {}
 
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in pairs:
+        u, v = find(sid[at[a]]), find(sid[at[b]])
+        root[max(u, v)] = min(u, v)
+    stars = [(x, find(x)) for x in sorted(root)]
+    stars = [(x, r) for x, r in stars if x != r]
+    return pa.table({"u": pa.array([x for x, _ in stars], pa.int64()), "v": pa.array([r for _, r in stars], pa.int64())})
 
-def _join_block(group: pa.Table) -> pa.Table:
-    return _block_links(group, False)
 
+_BLOCK_ROW = ("key", "i", "j", "own", "first", "sid", "label", "tokens")
 
-def _join_parts(group: pa.Table) -> pa.Table:
-    return _block_links(group, True)
+
+def _joined(rows: DataFrame) -> DataFrame:
+    return rows.select(*_BLOCK_ROW).groupBy("key", "i", "j").applyInArrow(_join_block, "u long, v long")
 
 
 def _deal_sets(n_buckets: int):
@@ -337,7 +362,7 @@ def _answer_sets(batches):
     yield pa.RecordBatch.from_arrays([pa.array(sid[count > 0]), pa.array(count[count > 0])], names=["sid", "k"])
 
 
-def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 4) -> DataFrame:
+def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
     """The sets of labelled(sid, n, label, tokens) that may link to another label."""
     n = max(n_partitions(labelled.sparkSession), size_hint(labelled) // BUCKET_BYTES)
     before = labelled.count()
@@ -372,28 +397,43 @@ def _with_labels(sets: DataFrame, links: DataFrame, scratch: Scratch) -> DataFra
     return sets.join(labels, "sid", "left").withColumn("label", F.coalesce("label", "sid"))
 
 
+def _parted(members: DataFrame) -> DataFrame:
+    """members(key, parts, sid, ...) with own, i, j: parts i <= j of a key meet in block (i, j)."""
+    out = members.withColumn("own", F.pmod(F.xxhash64("sid"), F.col("parts")))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return out.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+
+
 def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect all sets that similarity connects. sets(sid, n, tokens, k0, k1) has unique sid."""
+    """(u, v): links that connect all sets that similarity connects. sets(sid, n, tokens, k0, k1); equal rows count once."""
     links = []
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
     for key in ("k0", "k1"):
-        many = sets.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("m")).filter("m > 1")
+        many = scratch.save(sets.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("m")).filter("m > 1"))
         dealt = sets.select(F.col(key).alias("key"), "sid", F.col("sid").alias("label"), "tokens").join(many, "key")
-        dealt = dealt.withColumn("sub", F.pmod(F.xxhash64("sid", F.lit(key)), F.ceil(F.col("m") / block)))
-        links.append(scratch.save(dealt.groupBy("key", "sub").applyInArrow(_join_block, "u long, v long")))
+        dealt = dealt.withColumns({"i": F.pmod(F.xxhash64("sid", F.lit(key)), F.ceil(F.col("m") / block)), "own": zero, "first": none})
+        links.append(scratch.save(_joined(dealt.withColumn("j", F.col("i")))))
     links = links[0].union(links[1])
 
-    labelled = still_open(scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens")), scratch)
+    labelled = scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens"))
+    scratch.drop(sets)
+    labelled = still_open(labelled, scratch)
     posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(_postings, "token long, sid long, label long"))
-    open_ = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("p"), F.max("sid").alias("q"))
+    shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("p"), F.max("sid").alias("q"))
     # shingles held by the same sets need one block
-    blocks = open_.filter("a <> b").groupBy("m", "x", "p", "q").agg(F.min("token").alias("token")).select("token", F.ceil(F.col("m") / block).alias("parts"))
-    members = posts.join(blocks, "token").select("token", "sid", "label", "parts", F.pmod(F.xxhash64("sid"), F.col("parts")).alias("own"))
-    # parts i <= j meet in block (i, j); a single part is block (0, 0)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    members = members.select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid")
-    shipped = members.join(labelled, "sid").select("token", "i", "j", "own", "sid", "label", "tokens")
-    rest = scratch.save(shipped.groupBy("token", "i", "j").applyInArrow(_join_parts, "u long, v long"))
-    return links.union(rest)
+    tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "p", "q").agg(F.min("token").alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
+    near = scratch.save(posts.join(tokens, "token").select("token", "parts", "sid", "p"))
+    families = scratch.save(star_components(near.select(F.col("sid").alias("u"), F.col("p").alias("v")), scratch))
+    of = families.select(F.col("id").alias("sid"), F.col("component").alias("fam")).union(families.select("component", "component").distinct())
+    # sets connected by such shingles can be one block as well; the way that ships fewer sets is taken, family by family
+    whole = of.groupBy("fam").agg(F.count("*").alias("m")).select("fam", F.ceil(F.col("m") / block).alias("fam_parts"), (F.col("m") * F.ceil(F.col("m") / block)).alias("cost"))
+    apart = tokens.join(of, tokens["p"] == of["sid"]).groupBy("fam").agg(F.sum(F.col("m") * F.col("parts")).alias("token_cost"))
+    way = scratch.save(whole.join(apart, "fam").select("fam", "fam_parts", (F.col("cost") <= F.col("token_cost")).alias("as_one")))
+    of = scratch.save(of.join(way, "fam"))
+    by_family = of.filter("as_one").select(F.col("fam").alias("key"), F.col("fam_parts").alias("parts"), "sid", none.alias("first"))
+    by_token = near.join(of.filter("not as_one").select("sid"), "sid", "left_semi").select(F.col("token").alias("key"), "parts", "sid", F.col("token").alias("first"))
+    rest = [scratch.save(_joined(_parted(m).join(labelled, "sid"))) for m in (by_family, by_token)]
+    return links.union(rest[0]).union(rest[1])
 
 
 def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,10 +458,9 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
 
     classes = per_doc.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.max("may").alias("may"))
     classes = scratch.save(classes.filter("m > 1 or may"))
-    wanted = classes.filter("may").select(F.col("rep").alias("_id"), "sid")
-    texts = rows.join(wanted.hint("shuffle_hash"), "_id").select("sid", "_text")
-    sets = texts.mapInArrow(_whole, "sid long, n long, tokens binary, k0 long, k1 long").dropDuplicates(["sid"])
-    sets = scratch.save(sets)
+    wanted = scratch.save(classes.filter("may").select(F.col("rep").alias("_id")))
+    texts = rows.join(wanted, "_id", "left_semi").select("_text")
+    sets = scratch.save(texts.mapInArrow(_whole, "sid long, n long, tokens binary, k0 long, k1 long"))
     found = star_components(link_sets(sets, scratch), scratch).select(F.col("id").alias("sid"), F.col("component").alias("label"))
     reps = scratch.save(classes.select("sid", "rep").join(found, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -197,36 +197,40 @@ def _judge(batches):
 
 
 def _squeezed(batches):
-    """(row, id, key, text) with the text compressed for its way to the marks."""
+    """(text, ...) with the text compressed for its way to the marks; null stays null."""
     for batch in batches:
-        text = [squeeze(t) if t else None for t in batch.column(3).cast(pa.binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(3)], pa.array(text, pa.binary())], names=["_row", "_id", "_key", "_z"])
-
-
-def _cut(batches):
-    """(row, compressed text, marks) to (row, n_words, n_removed, kept_text)."""
-    for whole in batches:
-        for at in range(0, whole.num_rows, 1000):
-            batch = whole.slice(at, 1000)
-            marks = batch.column(2)
-            s, e = (np.asarray(x) for x in marks.flatten().flatten())
-            ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(marks), 0))))
-            rows = []
-            for i, z in enumerate(batch.column(1).to_pylist()):
-                words = unsqueeze(z).split() if z else []  # for bytes, white space is \x20 and \x09-\x0D
-                n, a, b = len(words), ends[i], ends[i + 1]
-                if b > a:
-                    change = np.bincount(s[a:b], minlength=n + 1) - np.bincount(e[a:b], minlength=n + 1)
-                    words = [words[k] for k in np.flatnonzero(np.cumsum(change)[:n] == 0)]
-                rows.append((n, n - len(words), b" ".join(words)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()).cast(pa.string())],
-                names=["_row", "n_words", "n_removed", "kept_text"],
-            )
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
-    """Rows (id, n_words, n_removed, kept_text) for every row of docs.
+        text = [None if t is None else squeeze(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()), *batch.columns[1:]], names=["_z", *batch.schema.names[1:]])
+
+
+def _cut(whole_text: bool):
+    """(compressed text, marks, ...) to (..., [text,] n_words, n_removed, kept_text)."""
+
+    def task(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                marks = batch.column(1)
+                s, e = (np.asarray(x) for x in marks.flatten().flatten())
+                ends = np.append(0, np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(marks), 0))))
+                rows = []
+                for i, z in enumerate(batch.column(0).to_pylist()):
+                    text = None if z is None else unsqueeze(z)
+                    words = (text or b"").split()  # for bytes, white space is \x20 and \x09-\x0D
+                    n, a, b = len(words), ends[i], ends[i + 1]
+                    if b > a:
+                        change = np.bincount(s[a:b], minlength=n + 1) - np.bincount(e[a:b], minlength=n + 1)
+                        words = [words[k] for k in np.flatnonzero(np.cumsum(change)[:n] == 0)]
+                    rows.append((text, n, n - len(words), b" ".join(words)))
+                string = lambda k: pa.array([r[k] for r in rows], pa.binary()).cast(pa.string())
+                out = [*batch.columns[2:], *([string(0)] if whole_text else []), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), string(3)]
+                yield pa.RecordBatch.from_arrays(out, names=[*batch.schema.names[2:], *(["_text"] if whole_text else []), "n_words", "n_removed", "kept_text"])
+
+    return task
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
+    """Rows (id, n_words, n_removed, kept_text) for every row of docs; with keep, (id, keep..., text, n_words, ...).
 
     Every word is removed that a window of 13 words covers whose words also
     start in a document with a smaller id; windows are judged on the input.
@@ -241,10 +245,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = rows.select("_id", "_key", "_text").mapInArrow(_send(n), "bucket int, kind int, part binary")
     marks = sent.repartition(n, "bucket").mapInArrow(_judge, MARKS)
     marks = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("s", "e")).alias("_marks"))
-    kind = dict(rows.dtypes)["_row"]
-    texts = rows.mapInArrow(_squeezed, f"_row {kind}, _id long, _key long, _z binary")
-    joined = texts.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_row", "_z", "_marks")
-    return joined.mapInArrow(_cut, f"_row {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("_row", id_col)
+    passed = docs.select(F.col(text_col).alias("_text"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(id_col).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    kinds = dict(passed.dtypes)
+    own = passed.columns[3:]
+    texts = passed.mapInArrow(_squeezed, ", ".join(["_z binary", *(f"{c} {kinds[c]}" for c in passed.columns[1:])]))
+    joined = texts.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_z", "_marks", *own)
+    out = joined.mapInArrow(_cut(bool(keep)), ", ".join([*(f"{c} {kinds[c]}" for c in own), *(["_text string"] if keep else []), "n_words long", "n_removed long", "kept_text string"]))
+    return out.toDF(id_col, *keep, *([text_col] if keep else []), "n_words", "n_removed", "kept_text")
 
 
 def oracle() -> str:
