@@ -1,0 +1 @@
+"""Graphs here are static; no streaming operator is owed."""
