@@ -8,17 +8,42 @@ after each round. Only a count and a checksum reach the driver.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.plans.scratch import Scratch
 
+#: Edges that one task may hold: beyond this number the rounds are distributed.
+LOCAL_EDGES = 200_000
+
 
 def _mark(e: DataFrame):
     return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
 
-def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
+def _union_find(batches):
+    root: dict = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    stars = [(x, find(x)) for x in root]
+    stars = [(x, r) for x, r in stars if x != r]
+    if stars:
+        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], kind) for i in (0, 1)], names=["a", "b"])
+
+
+def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(id, component) of every id of pairs(u, v) but the least of each component, which is its component.
 
     The two ends of a pair have one orderable type. Pairs with a null end or
@@ -27,6 +52,10 @@ def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100) -
     e = pairs.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     e = scratch.save(e)
     before = _mark(e)
+    if before[0] <= local_edges:
+        kind = dict(e.dtypes)["a"]
+        done = scratch.save(e.coalesce(1).mapInArrow(_union_find, f"a {kind}, b {kind}"))
+        return done.select(F.col("a").alias("id"), F.col("b").alias("component"))
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
