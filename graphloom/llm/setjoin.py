@@ -323,7 +323,7 @@ def _joined(rows: DataFrame) -> DataFrame:
 
 
 def _deal_sets(n_buckets: int):
-    """(sid, label, tokens) to rows (bucket, part): shingles by bucket, with the set and label that ask."""
+    """(sid, label, tokens) to rows (chunk, bucket, kind, part): kind 0 holds the sets of a chunk, kind 1 shingles of a bucket with the set and label that ask."""
 
     def task(batches):
         for batch in batches:
@@ -335,31 +335,62 @@ def _deal_sets(n_buckets: int):
                 bucket = ((tok >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
                 by = np.lexsort((of, bucket))
                 cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)), len(by))
-                rows = []
+                chunk = int(mixed(np.array([mixed(sid.view(np.uint64) + np.arange(len(sid), dtype=np.uint64)).sum()]))[0] >> np.uint64(1))
+                rows = [(chunk, chunk % n_buckets, 0, _pack(sid))]
                 for i, j in zip(cuts[:-1], cuts[1:]):
                     d = of[by[i:j]]
                     head = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                    rows.append((int(bucket[by[i]]), _pack(sid[d[head]], label[d[head]], np.diff(np.append(head, j - i)), tok[by[i:j]])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["bucket", "part"])
+                    rows.append((chunk, int(bucket[by[i]]), 1, _pack(d[head], label[d[head]], np.diff(np.append(head, j - i)), tok[by[i:j]])))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "part"])
 
     return task
 
 
 def _answer_sets(batches):
-    """Rows (sid, k): how many shingles of a set, among those here, sets of other labels hold too."""
-    parts = [_unpack(p.as_py(), (np.int64, np.int64, np.int64, np.uint64)) for batch in batches for p in batch.column(1)]
-    if not parts:
+    """Rows (chunk, kind, part): sets as they came; for each asking chunk how many shingles of its sets other labels hold too."""
+    asked = []
+    for batch in batches:
+        out = []
+        for chunk, _, kind, part in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if kind:
+                asked.append((chunk, _unpack(part, (np.int64, np.int64, np.int64, np.uint64))))
+            else:
+                out.append((chunk, 0, part))
+        yield _rows(out)
+    if not asked:
         return
-    sid, label, n, tok = (np.concatenate(x) for x in zip(*parts))
-    who = np.repeat(label, n)
+    tok = np.concatenate([p[3] for _, p in asked])
+    who = np.concatenate([np.repeat(p[1], p[2]) for _, p in asked])
     order = np.argsort(tok)
     t, w = tok[order], who[order]
     starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
     several = np.minimum.reduceat(w, starts) != np.maximum.reduceat(w, starts)
     shared = np.empty(len(t), np.int64)
     shared[order] = np.repeat(several, np.diff(np.append(starts, len(t))))
-    count = np.add.reduceat(shared, np.cumsum(n) - n)
-    yield pa.RecordBatch.from_arrays([pa.array(sid[count > 0]), pa.array(count[count > 0])], names=["sid", "k"])
+    at, out = 0, []
+    for chunk, (local, _, n, own) in asked:
+        count = np.add.reduceat(shared[at : at + len(own)], np.cumsum(n) - n)
+        at += len(own)
+        if (count > 0).any():
+            out.append((chunk, 1, _pack(local[count > 0].astype(np.uint32), count[count > 0].astype(np.uint32))))
+    yield _rows(out)
+
+
+def _sum_sets(batches):
+    """Rows (sid, k): the shingles of a set that other labels hold. All rows of a chunk are here."""
+    sets, counts = {}, {}
+    for batch in batches:
+        for chunk, kind, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            if kind:
+                counts.setdefault(chunk, []).append(_unpack(part, (np.uint32, np.uint32)))
+            else:
+                sets.setdefault(chunk, part)
+    for chunk, part in sets.items():
+        (sid,) = _unpack(part, (np.int64,))
+        k = np.zeros(len(sid), np.int64)
+        for local, n in counts.get(chunk, []):
+            k[local] += n
+        yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(k)], names=["sid", "k"])
 
 
 def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
@@ -367,8 +398,9 @@ def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFr
     n = max(n_partitions(labelled.sparkSession), size_hint(labelled) // BUCKET_BYTES)
     before = labelled.count()
     for _ in range(rounds):
-        dealt = labelled.select("sid", "label", "tokens").mapInArrow(_deal_sets(n), "bucket int, part binary")
-        shared = dealt.repartition(n, "bucket").mapInArrow(_answer_sets, "sid long, k long").groupBy("sid").agg(F.sum("k").alias("k"))
+        dealt = labelled.select("sid", "label", "tokens").mapInArrow(_deal_sets(n), "chunk long, bucket int, kind int, part binary")
+        answers = dealt.repartition(n, "bucket").mapInArrow(_answer_sets, "chunk long, kind int, part binary")
+        shared = answers.repartition(n, "chunk").mapInArrow(_sum_sets, "sid long, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
         new = scratch.save(labelled.join(shared, "sid").filter(F.col("k") * DEN >= NUM * F.col("n")).drop("k"))
         after = new.count()
         scratch.drop(labelled)
@@ -459,7 +491,7 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     classes = per_doc.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.max("may").alias("may"))
     classes = scratch.save(classes.filter("m > 1 or may"))
     wanted = scratch.save(classes.filter("may").select(F.col("rep").alias("_id")))
-    texts = rows.join(wanted, "_id", "left_semi").select("_text")
+    texts = rows.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select("_text")
     sets = scratch.save(texts.mapInArrow(_whole, "sid long, n long, tokens binary, k0 long, k1 long"))
     found = star_components(link_sets(sets, scratch), scratch).select(F.col("id").alias("sid"), F.col("component").alias("label"))
     reps = scratch.save(classes.select("sid", "rep").join(found, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")))
