@@ -16,6 +16,9 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of text handled at once inside a Python worker.
 CHUNK_BYTES = 4 << 20
+BATCH_ROWS = 1000
+#: Shuffle partitions that a driver can still keep track of; beyond them buckets grow.
+MOST_BUCKETS = 200_000
 #: Entries of one piece of a summed vector.
 BLOCK = 4096
 
@@ -33,10 +36,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark) -> None:
+    """Whole texts go to Python workers in batches of BATCH_ROWS at most: Spark's default of 10,000 rows holds
+    tens of MB of texts off the heap in each task."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def size_hint(df: DataFrame) -> int:
-    """Bytes that the optimiser expects of df; a hint for partition counts only."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+    """Bytes that the optimiser expects of df, 0 where it doesn't know; a hint for partition counts only."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 50 else 0
+
+
+def buckets_for(df: DataFrame, each: int, at_least: int) -> int:
+    """Number of buckets of about ``each`` bytes of df."""
+    return int(min(MOST_BUCKETS, max(at_least, size_hint(df) // each)))
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: int, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:

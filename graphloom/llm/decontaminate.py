@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import PIECES, chunks, vector_pieces, vector_sum
+from graphloom.llm.common import PIECES, chunks, short_batches, vector_pieces, vector_sum
 from graphloom.llm.wordarrays import PARTS, Words, text_buffer
 from graphloom.plans.scratch import Scratch
 
@@ -262,6 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str =
     null id counts as one. Other columns are ignored. Items of one id are
     looked for one by one.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     df, n = passage_frequency(rows.select("_text"))
     idf = np.where(df > COMMON * n, 0.0, np.log((1 + n) / (1 + df))).astype(np.float32)

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
+from graphloom.llm.common import short_batches
 
 #: Training examples of a language (the bound of the fitting sample).
 PER_LANG = 1000
@@ -85,6 +86,7 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", pe
     Rows with a null in either are left out; without any row left, the model
     says ``und`` to everything.
     """
+    short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
     sizes = dict(rows.groupBy("_lang").count().collect())  # one row a language
     langs = sorted(sizes)
@@ -116,6 +118,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", ke
     Null texts and texts without a letter get ``und`` and score 0; long texts
     count whole. Repeated rows repeat, other columns of docs are ignored.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM weights, whatever the input
     passed = [F.col(c).alias(f"_{i}") for i, c in enumerate((*keep, text_col) if keep else (id_col,))]
     rows = docs.select(F.col(text_col).alias("_text"), *passed)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
+from graphloom.llm.common import short_batches
 
 #: Labelled examples of a label (the bound of the fitting sample, and of what is broadcast).
 PER_LABEL = 1200
@@ -78,6 +79,7 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_label: int = PER_LABEL) -> Model:
     """labels(id, label) with labels 0 and 1; others and nulls are left out. A document marked twice counts twice."""
+    short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
     sizes = dict(marks.groupBy("_y").count().collect())  # two rows at most
@@ -105,6 +107,7 @@ def classify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
     Null and empty texts get the prior; long texts count whole. Repeated rows
     repeat, other columns of docs are ignored.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x RANK and 2 x PER_LABEL x RANK numbers
 
     def task(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, size_hint
+from graphloom.llm.common import buckets_for, chunks, short_batches
 from graphloom.llm.substrings import _pack, _unpack
 from graphloom.llm.wordarrays import Words, mixed, rolled, text_buffer
 from graphloom.operators.components import star_components
@@ -395,7 +395,7 @@ def _sum_sets(batches):
 
 def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
     """The sets of labelled(sid, n, label, tokens) that may link to another label."""
-    n = max(n_partitions(labelled.sparkSession), size_hint(labelled) // BUCKET_BYTES)
+    n = buckets_for(labelled, BUCKET_BYTES, n_partitions(labelled.sparkSession))
     before = labelled.count()
     for _ in range(rounds):
         dealt = labelled.select("sid", "label", "tokens").mapInArrow(_deal_sets(n), "chunk long, bucket int, kind int, part binary")
@@ -481,9 +481,10 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     Shingles and sets are told apart by 64-bit hashes.
     """
     spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(key.alias("_id"), F.col(text_col).alias("_text"))
-    n = max(n_partitions(spark), size_hint(docs.select(id_col, text_col)) // BUCKET_BYTES)
+    n = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
     dealt = rows.mapInArrow(_deal(n), "chunk long, bucket int, kind int, part binary")
     answers = dealt.repartition(n, "bucket").mapInArrow(_answer, "chunk long, kind int, part binary")
     per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(_sum_up, "_id long, sid long, n long, may boolean"))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import chunks, size_hint
+from graphloom.llm.common import buckets_for, chunks, short_batches
 from graphloom.llm.wordarrays import Words, mixed, rolled, rolled_min, same_bytes, text_buffer
 from graphloom.plans.scratch import n_partitions
 
@@ -239,9 +239,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     an empty table gives none.
     """
     spark = docs.sparkSession
+    short_batches(docs.sparkSession)
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(F.col(id_col).alias("_row"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
-    n = buckets or max(n_partitions(spark), size_hint(docs.select(id_col, text_col)) // BUCKET_BYTES)
+    n = buckets or buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
     sent = rows.select("_id", "_key", "_text").mapInArrow(_send(n), "bucket int, kind int, part binary")
     marks = sent.repartition(n, "bucket").mapInArrow(_judge, MARKS)
     marks = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("s", "e")).alias("_marks"))
