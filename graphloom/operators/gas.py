@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans.dealt import Dealt
 from graphloom.plans.iterate import iterate
 from graphloom.plans.scratch import Scratch
 
@@ -52,12 +53,15 @@ def gas(edges: DataFrame, state: DataFrame, program: Gather, scratch: Scratch, t
     program.where leaves vertices out of the update.
     """
     columns = state.columns
-    near = incident(edges, program.direction).repartition("far").persist()
+    dealt = Dealt(incident(edges, program.direction), "far", scratch)
+    near = dealt.rows.drop("_salt")
 
     def run(s: DataFrame, only: DataFrame | None) -> DataFrame:
         far = s.select(F.col("id").alias("far"), *[c for c in columns if c != "id"])
-        rows = near if only is None else near.join(only.select(F.col("id").alias("me")), "me", "left_semi")
-        got = rows.join(far, "far").groupBy(F.col("me").alias("id")).agg(program.gather.alias("_g"))
+        rows = dealt.join(far)
+        if only is not None:
+            rows = rows.join(only.select(F.col("id").alias("me")), "me", "left_semi")
+        got = rows.groupBy(F.col("me").alias("id")).agg(program.gather.alias("_g"))
         both = s.join(got, "id", "left").withColumn("_g", F.coalesce("_g", program.init))
         new = program.apply(F.col("_g"))
         runs = F.lit(True) if program.where is None else program.where
@@ -68,7 +72,7 @@ def gas(edges: DataFrame, state: DataFrame, program: Gather, scratch: Scratch, t
 
     if activate == "all":
         out = iterate(state, lambda s, _: run(s, None), scratch, times)
-        near.unpersist()
+        dealt.close()
         return out
     state = scratch.save(state)
     total, frontier = state.count(), None
@@ -83,20 +87,20 @@ def gas(edges: DataFrame, state: DataFrame, program: Gather, scratch: Scratch, t
             break
         # a large frontier costs more to look up than it saves
         frontier = None if n > max_active * total else scratch.save(near.join(changed.select(F.col("id").alias("far")), "far", "left_semi").select(F.col("me").alias("id")).distinct())
-    near.unpersist()
+    dealt.close()
     return state
 
 
 def multi_compute(edges: DataFrame, state: DataFrame, gather: Column, apply: Callable[[Column], Column], scratch: Scratch, times: int, direction: str = "in", init: float = 0.0, where: Column | None = None) -> DataFrame:
     """K computations in one pass: state(id, comp, value), gathered by (vertex, computation)."""
-    near = incident(edges, direction).repartition("far").persist()
+    dealt = Dealt(incident(edges, direction), "far", scratch)
 
     def step(s: DataFrame, _: int) -> DataFrame:
-        got = near.join(s.select(F.col("id").alias("far"), "comp", "value"), "far").groupBy(F.col("me").alias("id"), "comp").agg(gather.alias("_g"))
+        got = dealt.join(s.select(F.col("id").alias("far"), "comp", "value")).groupBy(F.col("me").alias("id"), "comp").agg(gather.alias("_g"))
         both = s.join(got, ["id", "comp"], "left").withColumn("_g", F.coalesce("_g", F.lit(init)))
         new = apply(F.col("_g"))
         return both.select("id", "comp", (new if where is None else F.when(where, new).otherwise(F.col("value"))).alias("value"))
 
     out = iterate(state, step, scratch, times)
-    near.unpersist()
+    dealt.close()
     return out

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.graph import Graph
 from graphloom.operators.gas import Gather, gas
+from graphloom.plans.dealt import Dealt
 from graphloom.plans.iterate import iterate
 from graphloom.plans.scratch import Scratch
 
@@ -19,11 +20,11 @@ RESET, DAMPING = 0.15, 0.85
 
 
 def _shares(edges: DataFrame, weight: str | None) -> DataFrame:
-    """(src, dst, share): the part of its source's value that an edge carries, dealt by source."""
+    """(src, dst, share): the part of its source's value that an edge carries."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     e = edges.select("src", "dst", w.alias("w"))
     out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")).repartition("src")
+    return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
 
 
 def pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3, weight: str | None = None) -> DataFrame:
@@ -32,15 +33,15 @@ def pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3, weight: str | None
     With weight, an edge carries weight / (its source's sum of weights);
     weights may not be null.
     """
-    e = _shares(graph.edges, weight).persist()
+    e = Dealt(_shares(graph.edges, weight), "src", scratch)
     ids = scratch.save(graph.vertices.select("id"))
 
     def sweep(r: DataFrame, _: int) -> DataFrame:
-        got = e.join(r, e["src"] == r["id"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+        got = e.join(r.withColumnRenamed("id", "src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         return ids.join(got, ids["id"] == got["dst"], "left").select("id", (RESET + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
 
     out = iterate(ids.withColumn("rank", F.lit(1.0)), sweep, scratch, sweeps)
-    e.unpersist()
+    e.close()
     return out
 
 
@@ -62,7 +63,7 @@ def topic_pagerank(graph: Graph, seeds: DataFrame, scratch: Scratch, sweeps: int
     in-neighbours) / out-degree; the others keep RESET on their seeds. The
     result is multiplied by the out-degree again.
     """
-    e = graph.edges.select("src", "dst").repartition("src").persist()
+    e = Dealt(graph.edges.select("src", "dst"), "src", scratch)
     out = scratch.save(graph.degrees().filter("out_degree > 0").select("id", "out_degree"))
     seed = scratch.save(seeds.select("id", "topic").distinct())
     own = seed.join(out, "id").select("id", "topic", (F.lit(RESET) / F.col("out_degree")).alias("base"))
@@ -70,13 +71,13 @@ def topic_pagerank(graph: Graph, seeds: DataFrame, scratch: Scratch, sweeps: int
 
     def sweep(y: DataFrame, _: int) -> DataFrame:
         y = y.union(fixed)
-        got = e.join(y, e["src"] == y["id"]).groupBy(F.col("dst").alias("id"), "topic").agg(F.sum("y").alias("got"))
+        got = e.join(y.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id"), "topic").agg(F.sum("y").alias("got"))
         got = got.join(out, "id").select("id", "topic", (DAMPING * F.col("got") / F.col("out_degree")).alias("y"))
         return got.union(own.select("id", "topic", "base")).groupBy("id", "topic").agg(F.sum("y").alias("y"))
 
     first = seed.join(out.select("id"), "id", "left_semi").select("id", "topic", F.lit(RESET).alias("y"))
     last = iterate(first, sweep, scratch, sweeps)
-    e.unpersist()
+    e.close()
     return last.join(out, "id").select("id", "topic", (F.col("y") * F.col("out_degree")).alias("score")).union(fixed)
 
 
@@ -94,7 +95,7 @@ def weighted_topic_pagerank(graph: Graph, weights: DataFrame, scratch: Scratch,
     out-neighbours), undivided where that sum is 0; divided values are
     multiplied back at the end. Only vertices with out-edges are updated.
     """
-    e = graph.edges.select("src", "dst").repartition("src").persist()
+    e = Dealt(graph.edges.select("src", "dst"), "src", scratch)
     w = scratch.save(weights.filter("weight <> 0"))
     live = scratch.save(graph.edges.select(F.col("src").alias("id")).distinct())
     out = graph.edges.join(w, graph.edges["dst"] == w["id"]).groupBy(F.col("src").alias("id"), "topic").agg(F.sum("weight").alias("out"))
@@ -103,11 +104,11 @@ def weighted_topic_pagerank(graph: Graph, weights: DataFrame, scratch: Scratch,
 
     def sweep(y: DataFrame, _: int) -> DataFrame:
         y = y.union(rest)
-        got = e.join(y, e["src"] == y["id"]).groupBy(F.col("dst").alias("id"), "topic").agg(F.sum("y").alias("got"))
+        got = e.join(y.withColumnRenamed("id", "src")).groupBy(F.col("dst").alias("id"), "topic").agg(F.sum("y").alias("got"))
         return own.join(got, ["id", "topic"], "left").select("id", "topic", (F.col("weight") * (RESET + DAMPING * F.coalesce("got", F.lit(0.0))) / F.col("out")).alias("y"))
 
     last = iterate(own.select("id", "topic", (RESET * F.col("weight")).alias("y")), sweep, scratch, sweeps)
-    e.unpersist()
+    e.close()
     return last.join(own, ["id", "topic"]).select("id", "topic", (F.col("y") * F.col("out")).alias("score")).union(rest)
 
 
@@ -121,7 +122,7 @@ def hits(edges: DataFrame, scratch: Scratch, iterations: int = 8, total: DataFra
     """
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).repartition("src").persist()
+    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).persist()
     right = e.groupBy("dst").agg(F.count("*").alias("deg"))
     if total is not None:
         right = right.join(total.select(F.col("id").alias("dst"), "total"), "dst", "left")
@@ -147,7 +148,7 @@ def salsa(edges: DataFrame, scratch: Scratch, iterations: int = 8) -> DataFrame:
     """(id, score) of the left side by SALSA: values are divided by the degree of the side that sends them."""
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).repartition("src").persist()
+    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).persist()
     out = scratch.save(e.groupBy("src").agg(F.count("*").alias("out")))
     a = h = None
     for t in range(iterations):

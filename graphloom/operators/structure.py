@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from graphloom.graph import Graph
 from graphloom.operators.components import star_components
+from graphloom.plans.dealt import Dealt
 from graphloom.plans.scratch import Scratch
 
 
@@ -19,12 +20,12 @@ def connected_components(graph: Graph, scratch: Scratch) -> DataFrame:
 
 def propagate_labels(graph: Graph, scratch: Scratch, iterations: int = 5) -> DataFrame:
     """(id, component) after so many rounds of taking the least label around: may stop before the fixpoint."""
-    both = graph.undirected().edges.select("src", "dst").repartition("src").persist()
+    both = Dealt(graph.undirected().edges.select("src", "dst"), "src", scratch)
     labels = graph.vertices.select("id", F.col("id").alias("component"))
     for _ in range(iterations):
-        near = both.join(labels, both["src"] == labels["id"]).groupBy("dst").agg(F.min("component").alias("low"))
+        near = both.join(labels.withColumnRenamed("id", "src")).groupBy("dst").agg(F.min("component").alias("low"))
         labels = scratch.save(labels.join(near, labels["id"] == near["dst"], "left").select("id", F.least("component", "low").alias("component")))
-    both.unpersist()
+    both.close()
     return labels
 
 
@@ -34,12 +35,12 @@ def kcore(graph: Graph, scratch: Scratch, max_sweeps: int = 1000) -> DataFrame:
     The h-index comes from counts by estimate, capped at the vertex's own, so a
     hub's window holds one row a distinct estimate and not one a neighbour.
     """
-    e = graph.edges.select("src", "dst").repartition("dst").persist()
-    est = scratch.save(e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("est")))
+    e = Dealt(graph.edges.select("src", "dst"), "dst", scratch)
+    est = scratch.save(e.rows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("est")))
     down = W.partitionBy("id").orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
     low = est.agg(F.sum("est")).first()[0]
     for _ in range(max_sweeps):
-        far = e.join(est.select(F.col("id").alias("dst"), F.col("est").alias("far")), "dst")
+        far = e.join(est.select(F.col("id").alias("dst"), F.col("est").alias("far")))
         own = far.join(est.select(F.col("id").alias("src"), "est"), "src")
         counts = own.groupBy(F.col("src").alias("id"), F.least("far", "est").alias("k")).agg(F.count("*").alias("n"))
         # of the neighbours with estimate k or more there are `have`: min(k, have) is a lower bound of h, and the best one is h
@@ -51,5 +52,5 @@ def kcore(graph: Graph, scratch: Scratch, max_sweeps: int = 1000) -> DataFrame:
         if total == low:
             break
         low = total
-    e.unpersist()
+    e.close()
     return est.select("id", F.col("est").alias("core"))

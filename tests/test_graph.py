@@ -266,3 +266,13 @@ def test_norms(spark):
     assert table(values.zero_less_than(df, "value", 3.5)) == [(1, 0.0), (2, 4.0)]
     assert table(values.binary_filter(df, "value", 3.5)) == [(1, 0.0), (2, 1.0)]
     assert sorted(values.vertex_iterator(df)) == [(1, 3.0), (2, 4.0)]
+
+
+@pytest.mark.parametrize("name", ["pagerank_3", "topic_ppr", "weighted_topic_ppr", "gas_pagerank", "kcore", "label_propagation_5"])
+def test_split_hubs_change_nothing(spark, monkeypatch, name):
+    from graphloom.plans import dealt
+    from graphloom.queries import ORACLES, QUERIES
+    from tests.oracle import agree
+
+    monkeypatch.setattr(dealt, "HUB", 7)
+    agree(QUERIES[name], ORACLES[name], spark, "/root/testdata/sf0.001")
