@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import PIECES, chunks, short_batches, vector_pieces, vector_sum
+from graphloom.llm.common import PIECES, chunks, lean, short_batches, vector_pieces, vector_sum
 from graphloom.llm.wordarrays import PARTS, Words, text_buffer
 from graphloom.plans.scratch import Scratch
 
@@ -40,7 +40,7 @@ COSINE = 0.25
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.7, 0.5, 6
 #: An item of fewer words must be found word by word.
 SHORT = 8
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 SLAB = 1 << 14
 
 
@@ -72,7 +72,7 @@ def passage_frequency(texts: DataFrame) -> tuple[np.ndarray, int]:
             total[DIM] += int(new.sum())
         yield vector_pieces(total)
 
-    out = vector_sum(texts.mapInArrow(task, PIECES), DIM + 1, np.int64)
+    out = vector_sum(texts.mapInArrow(lean(task), PIECES), DIM + 1, np.int64)
     return out[:DIM], int(out[DIM])
 
 
@@ -251,7 +251,7 @@ def search(docs: DataFrame, index: Index, cosine: float = COSINE) -> DataFrame:
                 names=["_id", "item_id", "n_item_words", "lcs", "answer"],
             )
 
-    return docs.mapInArrow(task, f"_id {docs.dtypes[0][1]}, item_id long, n_item_words long, lcs long, answer boolean")
+    return docs.mapInArrow(lean(task), f"_id {docs.dtypes[0][1]}, item_id long, n_item_words long, lcs long, answer boolean")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

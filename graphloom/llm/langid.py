@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
-from graphloom.llm.common import short_batches
+from graphloom.llm.common import lean, short_batches
 
 #: Training examples of a language (the bound of the fitting sample).
 PER_LANG = 1000
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", ke
             got = [m.predict(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, "lang_pred", "score"])
 
-    out = rows.mapInArrow(task, ", ".join([*(f"{c} {kinds[c]}" for c in names), "lang_pred string", "score double"]))
+    out = rows.mapInArrow(lean(task), ", ".join([*(f"{c} {kinds[c]}" for c in names), "lang_pred string", "score double"]))
     return out.toDF(*((*keep, text_col) if keep else (id_col,)), "lang_pred", "score")
 
 

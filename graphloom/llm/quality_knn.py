@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm import features
-from graphloom.llm.common import short_batches
+from graphloom.llm.common import lean, short_batches
 
 #: Labelled examples of a label (the bound of the fitting sample, and of what is broadcast).
 PER_LABEL = 1200
@@ -119,7 +119,7 @@ def classify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") ->
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32))], names=["_id", "score", "predicted"])
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    out = rows.mapInArrow(task, f"_id {dict(rows.dtypes)['_id']}, score double, predicted int")
+    out = rows.mapInArrow(lean(task), f"_id {dict(rows.dtypes)['_id']}, score double, predicted int")
     return out.withColumnRenamed("_id", id_col)
 
 

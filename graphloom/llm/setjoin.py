@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import buckets_for, chunks, short_batches
+from graphloom.llm.common import buckets_for, chunks, lean, short_batches
 from graphloom.llm.substrings import _pack, _unpack
 from graphloom.llm.wordarrays import Words, mixed, rolled, text_buffer
 from graphloom.operators.components import star_components
@@ -37,8 +37,8 @@ from graphloom.plans.scratch import Scratch, n_partitions
 SHINGLE = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
-CHUNK = 2 << 20
-BUCKET_BYTES = 6 << 20
+CHUNK = 1 << 20
+BUCKET_BYTES = 4 << 20
 #: Sets of one block.
 BLOCK = 400
 
@@ -398,9 +398,9 @@ def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFr
     n = buckets_for(labelled, BUCKET_BYTES, n_partitions(labelled.sparkSession))
     before = labelled.count()
     for _ in range(rounds):
-        dealt = labelled.select("sid", "label", "tokens").mapInArrow(_deal_sets(n), "chunk long, bucket int, kind int, part binary")
-        answers = dealt.repartition(n, "bucket").mapInArrow(_answer_sets, "chunk long, kind int, part binary")
-        shared = answers.repartition(n, "chunk").mapInArrow(_sum_sets, "sid long, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
+        dealt = labelled.select("sid", "label", "tokens").mapInArrow(lean(_deal_sets(n)), "chunk long, bucket int, kind int, part binary")
+        answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer_sets), "chunk long, kind int, part binary")
+        shared = answers.repartition(n, "chunk").mapInArrow(lean(_sum_sets), "sid long, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
         new = scratch.save(labelled.join(shared, "sid").filter(F.col("k") * DEN >= NUM * F.col("n")).drop("k"))
         after = new.count()
         scratch.drop(labelled)
@@ -450,7 +450,7 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     labelled = scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens"))
     scratch.drop(sets)
     labelled = still_open(labelled, scratch)
-    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(_postings, "token long, sid long, label long"))
+    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(lean(_postings), "token long, sid long, label long"))
     shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("p"), F.max("sid").alias("q"))
     # shingles held by the same sets need one block
     tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "p", "q").agg(F.min("token").alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
@@ -485,15 +485,15 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(key.alias("_id"), F.col(text_col).alias("_text"))
     n = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
-    dealt = rows.mapInArrow(_deal(n), "chunk long, bucket int, kind int, part binary")
-    answers = dealt.repartition(n, "bucket").mapInArrow(_answer, "chunk long, kind int, part binary")
-    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(_sum_up, "_id long, sid long, n long, may boolean"))
+    dealt = rows.mapInArrow(lean(_deal(n)), "chunk long, bucket int, kind int, part binary")
+    answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer), "chunk long, kind int, part binary")
+    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(lean(_sum_up), "_id long, sid long, n long, may boolean"))
 
     classes = per_doc.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.max("may").alias("may"))
     classes = scratch.save(classes.filter("m > 1 or may"))
     wanted = scratch.save(classes.filter("may").select(F.col("rep").alias("_id")))
     texts = rows.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select("_text")
-    sets = scratch.save(texts.mapInArrow(_whole, "sid long, n long, tokens binary, k0 long, k1 long"))
+    sets = scratch.save(texts.mapInArrow(lean(_whole), "sid long, n long, tokens binary, k0 long, k1 long"))
     found = star_components(link_sets(sets, scratch), scratch).select(F.col("id").alias("sid"), F.col("component").alias("label"))
     reps = scratch.save(classes.select("sid", "rep").join(found, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))

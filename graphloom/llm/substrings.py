@@ -20,16 +20,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import buckets_for, chunks, short_batches
+from graphloom.llm.common import buckets_for, chunks, lean, short_batches
 from graphloom.llm.wordarrays import Words, mixed, rolled, rolled_min, same_bytes, text_buffer
 from graphloom.plans.scratch import n_partitions
 
 WINDOW, SHORT = 13, 4
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 #: Bytes of (compressed) input for each bucket.
-BUCKET_BYTES = 3 << 19
+BUCKET_BYTES = 1 << 20
 #: Bytes of packed strings that a bucket task settles at once, at least.
-SETTLE = 6 << 20
+SETTLE = 4 << 20
 MARKS = "_id long, _key long, s int, e int"
 
 
@@ -243,15 +243,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(F.col(id_col).alias("_row"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     n = buckets or buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
-    sent = rows.select("_id", "_key", "_text").mapInArrow(_send(n), "bucket int, kind int, part binary")
-    marks = sent.repartition(n, "bucket").mapInArrow(_judge, MARKS)
+    sent = rows.select("_id", "_key", "_text").mapInArrow(lean(_send(n)), "bucket int, kind int, part binary")
+    marks = sent.repartition(n, "bucket").mapInArrow(lean(_judge), MARKS)
     marks = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("s", "e")).alias("_marks"))
     passed = docs.select(F.col(text_col).alias("_text"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(id_col).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     kinds = dict(passed.dtypes)
     own = passed.columns[3:]
-    texts = passed.mapInArrow(_squeezed, ", ".join(["_z binary", *(f"{c} {kinds[c]}" for c in passed.columns[1:])]))
+    texts = passed.mapInArrow(lean(_squeezed), ", ".join(["_z binary", *(f"{c} {kinds[c]}" for c in passed.columns[1:])]))
     joined = texts.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_z", "_marks", *own)
-    out = joined.mapInArrow(_cut(bool(keep)), ", ".join([*(f"{c} {kinds[c]}" for c in own), *(["_text string"] if keep else []), "n_words long", "n_removed long", "kept_text string"]))
+    out = joined.mapInArrow(lean(_cut(bool(keep))), ", ".join([*(f"{c} {kinds[c]}" for c in own), *(["_text string"] if keep else []), "n_words long", "n_removed long", "kept_text string"]))
     return out.toDF(id_col, *keep, *([text_col] if keep else []), "n_words", "n_removed", "kept_text")
 
 
