@@ -276,3 +276,21 @@ def test_split_hubs_change_nothing(spark, monkeypatch, name):
 
     monkeypatch.setattr(dealt, "HUB", 7)
     agree(QUERIES[name], ORACLES[name], spark, "/root/testdata/sf0.001")
+
+
+def test_matrices(spark):
+    m = spark.createDataFrame([(1, 0, 3.0), (2, 0, 4.0), (1, 1, 2.0)], "id long, comp int, value double")
+    assert table(values.multiply_rows(m, spark.createDataFrame([(1, 10.0)], "id long, factor double"))) == [(1, 0, 30.0), (1, 1, 20.0), (2, 0, 4.0)]
+    assert table(values.set_column(m, 1, 9.0)) == [(1, 0, 3.0), (1, 1, 9.0), (2, 0, 4.0)]
+    assert table(values.add_cells(m, m)) == [(1, 0, 6.0), (1, 1, 4.0), (2, 0, 8.0)]
+    assert table(values.normalize_columns(m)) == [(1, 0, 0.6), (1, 1, 1.0), (2, 0, 0.8)]
+    with pytest.raises(Exception):
+        values.normalize_columns(values.set_column(m, 1, 0.0)).collect()
+    drawn = values.randomize(m, 3, 2.0, 5.0)
+    assert all(2 <= r["value"] < 5 for r in drawn.collect()) and table(drawn) == table(values.randomize(m, 3, 2.0, 5.0))
+
+
+def test_random_neighbor(spark):
+    e = edges(spark, [(i, 100 + k) for i in range(300) for k in range(4)])
+    got = table(draws.random_neighbor(e, spark.range(400), 7))
+    assert len(got) == 300 and min(sum(n == 100 + k for _, n in got) for k in range(4)) > 45
