@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -75,15 +76,20 @@ def digests(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _deal(n_buckets: int):
-    """Rows (chunk, bucket, kind, part). kind 0: the documents of a chunk; kind 1: shingles asked about."""
+    """Rows (chunk, bucket, kind, part). kind 0: the documents of a chunk; kind 1: shingles asked about.
+
+    A chunk is named by its task and its place there, mixed one to one: no two
+    share a name, whatever rows they hold, and a task run again repeats its own.
+    """
 
     def task(batches):
-        for batch in chunks(batches, 1, CHUNK):
+        of_task = TaskContext.get().partitionId() << 32
+        for place, batch in enumerate(chunks(batches, 1, CHUNK)):
             ids = np.asarray(batch.column(0))
             sets = shingle_sets(Words.of(*text_buffer(batch.column(1)), lower=True))
             size = np.array([len(s) for s in sets], np.int64)
             sid = digests(sets)
-            chunk = int(mixed(np.array([(mixed(sid + np.arange(len(sid), dtype=np.uint64)) ^ mixed(ids.astype(np.uint64))).sum()]))[0] >> np.uint64(1))
+            chunk = int(mixed(np.array([of_task | place], np.uint64)).view(np.int64)[0])
             _, first, cls = np.unique(sid, return_index=True, return_inverse=True)
             own = [sets[i] for i in first]
             tok = np.concatenate(own) if own else np.zeros(0, np.uint64)

@@ -251,6 +251,19 @@ def test_set_join_edges(spark, docs):
     assert setjoin.components(docs.limit(0), Scratch(spark)).count() == 0
 
 
+def test_set_join_keeps_every_repeated_row(spark):
+    """Chunks that hold the same rows: halves batched alike, a repeated text that fills a chunk, null ids batch after batch."""
+    schema = "doc_id long, text string"
+    half = spark.createDataFrame(near_copies(40), schema).coalesce(1)
+    long = spark.createDataFrame([(500, "long " * 150_000 + "end")] * 3, schema).repartition(1)
+    nulls = spark.range(0, 3500, 1, 1).select(F.lit(None).cast("long").alias("doc_id"), F.lit(EN).alias("text"))
+    once = jaccard_components(near_copies(40))
+    got = rows_of(setjoin.components(half.union(half).union(long).union(nulls), Scratch(spark)), "doc_id", "n_shingles", "component_id")
+    assert len(got) == 80 + 3 + 3500
+    assert sorted(r for r in got if r[0] not in (500, None)) == sorted([(i, *x) for i, x in once.items()] * 2)
+    assert [r[0] for r in got].count(500) == 3 and {r[1] for r in got if r[0] is None} == {len(EN.split()) - 4}
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, EN), (2, None), (3, ""), (4, "one two"), (5, "never found anywhere in these few texts at all")], "item_id long, text string")
     got = rows_of(decontaminate.leaks(docs, bench, Scratch(spark)), "doc_id", "item_id")
