@@ -457,9 +457,12 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     scratch.drop(sets)
     labelled = still_open(labelled, scratch)
     posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(lean(_postings), "token long, sid long, label long"))
-    shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("sid")).alias("x"), F.min("sid").alias("p"), F.max("sid").alias("q"))
-    # shingles held by the same sets need one block
-    tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "p", "q").agg(F.min("token").alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
+    # sums of both halves of a hash, which a set that comes twice doesn't cancel
+    held = [F.sum(part(F.xxhash64("sid"))).alias(c) for c, part in (("x", lambda h: F.shiftright(h, 32)), ("y", lambda h: h.bitwiseAND(F.lit(2**32 - 1))))]
+    shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), *held, F.min("sid").alias("p"), F.max("sid").alias("q"))
+    # shingles held by the same sets need one block, that of the least: first among all of them in every set, as unsigned numbers
+    least = F.min(F.col("token").bitwiseXOR(F.lit(-(2**63)))).bitwiseXOR(F.lit(-(2**63)))
+    tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "y", "p", "q").agg(least.alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
     near = scratch.save(posts.join(tokens, "token").select("token", "parts", "sid", "p"))
     families = scratch.save(star_components(near.select(F.col("sid").alias("u"), F.col("p").alias("v")), scratch))
     of = families.select(F.col("id").alias("sid"), F.col("component").alias("fam")).union(families.select("component", "component").distinct())

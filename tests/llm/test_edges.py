@@ -251,6 +251,82 @@ def test_set_join_edges(spark, docs):
     assert setjoin.components(docs.limit(0), Scratch(spark)).count() == 0
 
 
+def linked(sets):
+    """Components of sets by brute force, as a set of frozensets of numbers."""
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if 4 * len(sets[a] & sets[b]) >= 3 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    out = {}
+    for i in range(len(sets)):
+        out.setdefault(find(i), set()).add(i)
+    return {frozenset(g) for g in out.values() if len(g) > 1}
+
+
+def chained_pairs(n, seed=3):
+    """Pairs of sets of 8 shingles that link by 7, the least of each being one that the next pair has too.
+
+    Both minimum hashes tell the sets of a pair apart, and their second and third shingles lie on both sides of 2^63.
+    """
+    from graphloom.llm.wordarrays import mixed
+
+    rng, out = np.random.default_rng(seed), []
+    chain = rng.integers(0, 1 << 60, 100 * n, dtype=np.uint64)
+    chain = np.sort(chain[mixed(chain) < np.uint64(1 << 60)][: n + 1])
+    assert len(chain) == n + 1
+    while len(out) < 2 * n:
+        own = chain[len(out) // 2 : len(out) // 2 + 2]
+        common = np.append(rng.integers(1 << 61, 1 << 63, 1, dtype=np.uint64), rng.integers(1 << 63, (1 << 64) - 1, 6, dtype=np.uint64))
+        if mixed(own).max() < mixed(common).min():
+            out += [{*common.tolist(), int(x)} for x in own]
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 2])
+@pytest.mark.parametrize("kind", ["chained", "random"])
+def test_set_join_shingle_blocks_brute_force(spark, kind, copies):
+    """Few sets a block send open families to shingle blocks; shingles fill all 64 bits and sets may come twice."""
+    from graphloom.llm.wordarrays import mixed
+
+    if kind == "chained":
+        sets = chained_pairs(30)
+    else:
+        rng = np.random.default_rng(8)
+        pool = rng.integers(0, (1 << 64) - 1, 400, dtype=np.uint64).tolist()
+        sets = []
+        for _ in range(60):
+            at = int(rng.integers(0, 380))
+            base = set(rng.choice(pool[at : at + 20], int(rng.integers(4, 17)), replace=False).tolist())
+            sets += [base, *({*rng.permutation(sorted(base))[: len(base) - 1].tolist(), int(rng.choice(pool))} for _ in range(3))]
+        sets = [set(s) for s in {frozenset(s) for s in sets}]
+    arrays = [np.array(sorted(s), np.uint64) for s in sets]
+    rows = [(i, len(a), a.tobytes(), int(a[0] >> np.uint64(1)), int(mixed(a).min() >> np.uint64(1))) for i, a in enumerate(arrays)]
+    df = spark.createDataFrame([(r[0], r[1], bytearray(r[2]), r[3], r[4]) for r in rows] * copies, "sid long, n long, tokens binary, k0 long, k1 long")
+    links = setjoin.link_sets(Scratch(spark).save(df), Scratch(spark), 5).collect()
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        x, y = find(u), find(v)
+        root[max(x, y)] = min(x, y)
+    got = {}
+    for i in range(len(sets)):
+        got.setdefault(find(i), set()).add(i)
+    assert {frozenset(g) for g in got.values() if len(g) > 1} == linked(sets)
+
+
 def test_set_join_keeps_every_repeated_row(spark):
     """Chunks that hold the same rows: halves batched alike, a repeated text that fills a chunk, null ids batch after batch."""
     schema = "doc_id long, text string"
