@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Words are hashed to DIM numbers; their document frequencies count the passages
-of the whole corpus, and words in more than COMMON of all passages weigh
-nothing. The TF-IDF passages of a block of benchmark items are factored by
+of the whole corpus. A word of every passage still weighs 1, so that an item
+of frequent words, or one held by much of the corpus, is searched for like any
+other. The TF-IDF passages of a block of benchmark items are factored by
 distributed randomised subspace iteration (each step sums A'(AQ) over tasks);
 the leading RANK directions are the latent space. Every passage of every whole
 document is projected there and compared with all items of the block by cosine
@@ -32,8 +33,6 @@ RANK, POWER_STEPS = 192, 2
 STEP, PASSAGE = 16, 48
 #: Items of one block of the query set.
 ITEMS = 256
-#: Share of passages from which a word weighs nothing.
-COMMON = 0.2
 #: Cosine from which a passage is verified.
 COSINE = 0.25
 #: Share of an item's words, in order, that is a leak; with the answer nearby; words of the answer.
@@ -265,7 +264,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, id_col: str =
     short_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     df, n = passage_frequency(rows.select("_text"))
-    idf = np.where(df > COMMON * n, 0.0, np.log((1 + n) / (1 + df))).astype(np.float32)
+    idf = (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
     texts = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null")
     blocks = max(1, -(-texts.count() // ITEMS))
     found = None

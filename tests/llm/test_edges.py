@@ -360,6 +360,22 @@ def test_decontamination_finds_paraphrases_by_the_answer(spark):
     assert rows_of(decontaminate.leaks(df, bench, Scratch(spark)), "doc_id", "item_id") == [(900, 7), (901, 7)]
 
 
+def test_decontamination_finds_items_of_frequent_words(spark):
+    """One document that is the item; a third of all rows holding it; an item made of words that every text has."""
+    rng = np.random.default_rng(4)
+    say = lambda k, n: " ".join(rng.choice([f"term{i}" for i in range(k)], n))
+    item, plain = say(4000, 40), say(12, 30)
+    schema = "doc_id long, text string"
+    bench = spark.createDataFrame([(7, item), (8, plain)], "item_id long, text string")
+    found = lambda rows: rows_of(decontaminate.leaks(spark.createDataFrame(rows, schema), bench, Scratch(spark)), "doc_id", "item_id")
+    assert found([(1, item)]) == [(1, 7)]
+    rows = [(i, item if i % 3 == 0 else say(4000, 60) + " " + say(12, 8)) for i in range(150)]
+    held = [(900, f"{say(4000, 70)} {item} {say(4000, 70)}"), (901, f"{say(4000, 70)} {plain} {say(4000, 70)}")]
+    assert set(found(rows + held)) == {(i, 7) for i in range(0, 150, 3)} | {(900, 7), (901, 8)}
+    common = [(i, say(12, 8) + " " + say(4000, 20)) for i in range(100)]
+    assert found([*common, held[1]]) == [(901, 8)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), min_size=1, max_size=12), st.lists(st.integers(0, 4), max_size=14))
 def test_lcs(a, b):
