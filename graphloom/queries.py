@@ -493,7 +493,7 @@ def als_full(spark, sf):
 @query()
 def movie_recommender(spark, sf):
     r = Scratch(spark).save(fx.ratings(spark, sf))
-    users = r.filter("src % 50 = 1").select(F.col("src").alias("source")).distinct()
+    users = r.select(F.col("src").alias("source")).distinct()
     return recommend.movie_recommender(r, factor.als(r, rank=5, iterations=3), users, Scratch(spark), walks=10)
 
 
