@@ -415,6 +415,29 @@ def test_certified_cutoffs_keep_their_promise(spark):
     assert got["a"]["cut_symbols"] == 0.05 and got["b"]["cut_symbols"] is None
 
 
+def test_rules_of_strata_on_both_sides_of_the_least_label_count(spark, tmp_path):
+    """With the least count a stratum certifies cutoffs and rejects by them, with one document less it rejects nothing; the SQL agrees."""
+    from math import ceil, log
+
+    from tests.oracle import agree
+
+    tests = sum(len(cuts) for _, cuts in quality_rules.RULES.values())
+    least = ceil(log(quality_rules.DELTA / (2 * tests)) / log(1 - quality_rules.ALPHA))
+    rows, labels = [], []
+    for lang, n in (("aa", least), ("bb", least - 1)):
+        for i in range(n):
+            rows.append((len(rows), " ".join(f"w{i}x{j}" for j in range(12)), lang))
+            labels.append((rows[-1][0], 1, 0))
+        rows += [(len(rows) + i, " ".join(f"# $ w{i}x{j}" for j in range(12)), lang) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    docs.toPandas().to_parquet(tmp_path / "documents.parquet")
+    marks.toPandas().to_parquet(tmp_path / "labels.parquet")
+    agree(lambda s, _: quality_rules.judge(docs, marks, Scratch(s)), quality_rules.oracle(), spark, str(tmp_path))
+    kept = dict(quality_rules.judge(docs, marks, Scratch(spark)).select("doc_id", "kept").collect())
+    assert [sum(kept[r[0]] for r in rows if r[2] == lang) for lang in ("aa", "bb")] == [least, least - 1 + 20]
+
+
 def test_urls(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.Example.com/en/71?x", "k"), (2, "http://example.com/en/8", "k"), (3, None, "k"), (4, "no scheme", "k"), (5, "s://b.net/de/#f", "k"), (6, "s://x.example.net/de/80", "k"), (7, "s://org/es/", "k"), (8, "s://bad.test/1.html", "k"), (8, "s://bad.test/1.html", "k"), (None, "s://HÖST/p", "k")],
