@@ -294,3 +294,16 @@ def test_random_neighbor(spark):
     e = edges(spark, [(i, 100 + k) for i in range(300) for k in range(4)])
     got = table(draws.random_neighbor(e, spark.range(400), 7))
     assert len(got) == 300 and min(sum(n == 100 + k for _, n in got) for k in range(4)) > 45
+
+
+def test_als_takes_any_long_ids(spark):
+    """Ids beyond 32 bits on either side come back with factors that predict as well as those of small ids."""
+    far = lambda c: F.when(F.col(c) % 2 == 0, F.col(c) + 2**40).otherwise(-F.col(c) - 2**50)
+    r = spark.createDataFrame([(i, 100 + j, float(1 + (i * j) % 5)) for i in range(12) for j in range(9)], "src long, dst long, rating double")
+    error = lambda x: factor.rmse(factor.predict(x, *factor.als(x, rank=4))).first()[0]
+    small = error(r)
+    for moved in (r.withColumn("src", far("src")), r.withColumns({"src": far("src"), "dst": far("dst")})):
+        left, right = factor.als(moved, rank=4)
+        assert {x[0] for x in left.select("id").collect()} == {x[0] for x in moved.select("src").collect()}
+        assert {x[0] for x in right.select("id").collect()} == {x[0] for x in moved.select("dst").collect()}
+        assert factor.predict(moved, left, right).count() == r.count() and error(moved) < 1.3 * small + 0.05
