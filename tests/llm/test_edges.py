@@ -465,14 +465,109 @@ def test_domains(spark):
     assert [tuple(r) for r in df.select(urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", "")]
 
 
-def test_licences(spark, docs):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
-    extra = spark.createDataFrame([(100, mit), (101, "Text.\nLicensed under CC BY-NC 4.0.\nmore"), (102, "the above copyright notice"), (103, LONG + "\nReleased under the MIT License.")], "doc_id long, text string")
-    got = dict(rows_of(licenses.recognise(extra), "doc_id", "licences"))
-    assert got == {100: "MIT", 101: "CC-BY-NC-4.0", 102: "", 103: "MIT"}
+MIT = """MIT License
+
+Copyright (c) 2020 Some One, Inc. All rights reserved.
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+BSD2 = """BSD 2-Clause License
+
+Copyright (c) 2015, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD3 = BSD2.replace("2-Clause", "3-Clause") + """3. Neither the name of Some Company nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS".
+"""
+APACHE = """/*
+ * Copyright 2019 The Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS.
+ */
+"""
+GPL3 = """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+GPL2 = GPL3.replace("software:", "software;").replace("version 3", "version 2")
+
+
+def notices():
+    """(id, text, licences): whole files, single lines, sequences that a strange sentence breaks."""
+    first, second = MIT.split("\n\n")[2:4]
+    texts = [
+        (MIT, "MIT"), (MIT.replace("\n", "\r\n"), "MIT"), (BSD2, "BSD-2-Clause"), (BSD3, "BSD-3-Clause"), (APACHE, "Apache-2.0"), (GPL3, "GPL-3.0"), (GPL2, "GPL-2.0"),
+        (" Apache License\n Version 2.0, January 2004\n http://www.apache.org/licenses/\n\nTERMS", "Apache-2.0"), ("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nPreamble", "GPL-3.0"), ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\n Copyright", "GPL-2.0"),
+        ("// SPDX-License-Identifier: MIT\nint x;", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-or-later */", "GPL-2.0"), ("# SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("SPDX-License-Identifier: ISC", "ISC"),
+        ("Text.\nLicensed under CC BY-NC 4.0.\nmore", "CC-BY-NC-4.0"), ("the above copyright notice", ""), ("MIT License", ""), (LONG + "\nReleased under the MIT License.", "MIT"), (LONG + "\n" + MIT + LONG, "MIT"),
+        (first + "\n\n" + second, "MIT"), (first + "\n\nDo not. At all.\n\n" + second, ""), (MIT + "\n\n" + GPL3, "GPL-3.0,MIT"), (None, ""), ("", ""), (MIT, "MIT"),
+    ]
+    return [(100 + i, *t) for i, t in enumerate(texts)]
+
+
+def test_licences(spark, docs, tmp_path):
+    from tests.oracle import agree
+
+    rows = notices()
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    assert dict(rows_of(licenses.recognise(df), "doc_id", "licences")) == {i: want for i, _, want in rows}
+    df.toPandas().to_parquet(tmp_path / "documents.parquet")
+    agree(lambda s, _: licenses.recognise(df), licenses.oracle(), spark, str(tmp_path))
     assert {r[1] for r in rows_of(licenses.recognise(docs), "doc_id", "licences")} == {""} and licenses.recognise(docs.limit(0)).count() == 0
 
 
+def test_licence_rules_are_parameters_and_ordered(spark):
+    """The longer rule takes its sentences; of two of one length the first does."""
+    df = spark.createDataFrame([(1, "A permit. B permit. C permit. A permit. B permit."), (2, "A permit. Other. B permit.")], "doc_id long, text string")
+    sentences = ("a permit", "b permit", "c permit")
+    found = lambda *rules: dict(rows_of(licenses.recognise(df, sentences=sentences, rules=rules), "doc_id", "licences"))
+    assert found(("ab", (1, 2)), ("abc", (1, 2, 3))) == {1: "ab,abc", 2: ""}
+    assert found(("bc", (2, 3)), ("ab", (1, 2)), ("ca", (3, 1))) == {1: "ab,bc", 2: ""}
+    assert found(("ca", (3, 1)), ("b", (2,))) == {1: "b,ca", 2: "b"}
+
+
 def test_stages(spark, docs):
     import corpus_pipeline as p
 
