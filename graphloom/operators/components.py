@@ -3,47 +3,35 @@
 Each step is a grouped minimum and a join; the number of rounds grows with the
 logarithm of the number of vertices, not with the diameter. The state is a
 table of edges that shrinks to one star a component, written to shared storage
-after each round. Only a count and a checksum reach the driver.
+after each round. The edges at a star's centre are spread over several parts
+where there are more of them than a task should hold. Only a count and a
+checksum reach the driver.
 """
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.plans import dealt
 from graphloom.plans.scratch import Scratch
 
-#: Edges that one task may hold: beyond this number the rounds are distributed.
-LOCAL_EDGES = 200_000
-
 
 def _mark(e: DataFrame):
     return e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
 
 
-def _union_find(batches):
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    kind = None
-    for batch in batches:
-        kind = batch.schema.field(0).type
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            a, b = find(a), find(b)
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    stars = [(x, find(x)) for x in root]
-    stars = [(x, r) for x, r in stars if x != r]
-    if stars:
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in stars], kind) for i in (0, 1)], names=["a", "b"])
+def _with_least(e: DataFrame, key: str, least: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """e joined with least(key, m). A table of no more rows than a task may hold has no key to be split."""
+    if n <= dealt.HUB:
+        return e.join(least, key)
+    rows = dealt.Dealt(e, key, scratch)
+    out = scratch.save(rows.join(least))
+    rows.close()
+    return out
 
 
-def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100) -> DataFrame:
     """(id, component) of every id of pairs(u, v) but the least of each component, which is its component.
 
     The two ends of a pair have one orderable type. Pairs with a null end or
@@ -52,18 +40,15 @@ def star_components(pairs: DataFrame, scratch: Scratch, max_rounds: int = 100, l
     e = pairs.filter("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
     e = scratch.save(e)
     before = _mark(e)
-    if before[0] <= local_edges:
-        kind = dict(e.dtypes)["a"]
-        done = scratch.save(e.coalesce(1).mapInArrow(_union_find, f"a {kind}, b {kind}"))
-        return done.select(F.col("a").alias("id"), F.col("b").alias("component"))
-    for _ in range(max_rounds):
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        large = scratch.save(large)
+    for _ in range(max_rounds if before[0] else 0):
+        # large star: the greater ends of a vertex's edges go to the least vertex around it, or to itself
+        both = e.select(F.col("b").alias("c"), F.col("a").alias("o")).union(e.select("a", "b"))
+        least = both.groupBy("c").agg(F.min("o").alias("o")).select(F.col("c").alias("b"), F.least("o", "c").alias("m"))
+        large = scratch.save(_with_least(e, "b", least, before[0], scratch).select("a", F.col("m").alias("b")).distinct())
+        # small star: the lesser ends of a vertex's edges, and itself, go to the least of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m")).distinct()
-        new = scratch.save(small)
+        small = _with_least(large, "a", low, before[0], scratch).filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", "m"))
+        new = scratch.save(small.distinct())
         scratch.drop(large, e)
         e, after = new, _mark(new)
         if after == before:

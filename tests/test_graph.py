@@ -103,10 +103,14 @@ def test_multi_compute(spark):
     assert dict(((r[0], r[1]), r[2]) for r in got.collect()) == {(1, 1): 0, (1, 2): 0, (2, 1): 4, (2, 2): 8, (3, 1): 0, (3, 2): 0}
 
 
-@pytest.mark.parametrize("local", [0, 10**6])
-def test_components_against_union_find(spark, local):
+@pytest.mark.parametrize("hub", [20, 10**6])
+def test_components_against_union_find(spark, monkeypatch, hub):
+    from graphloom.plans import dealt
+
+    monkeypatch.setattr(dealt, "HUB", hub)
     rng = np.random.default_rng(3)
     pairs = [tuple(map(int, p)) for p in rng.integers(0, 300, (170, 2))] + [(400 + i, 401 + i) for i in range(60)]
+    pairs += [(600, 601 + i) for i in range(80)] + [(550, 600)]  # a centre with many edges that is not the least
     root = {}
 
     def find(x):
@@ -117,7 +121,7 @@ def test_components_against_union_find(spark, local):
     for a, b in pairs:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    got = dict(table(star_components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark), local_edges=local)))
+    got = dict(table(star_components(spark.createDataFrame(pairs, "u long, v long"), Scratch(spark))))
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
