@@ -1,10 +1,12 @@
 """Exact n-gram Jaccard self-join by prefix trees, down to linked components.
 
 1. Every whole text becomes its set of 5-word shingles, as 64-bit hashes; equal
-   sets share a digest and form one class from then on. Shingles are dealt to
-   buckets by hash, and each bucket says which are held by two classes or more.
-   A set can link only if at least 3/4 of its own shingles are so held: the
-   rest of the corpus leaves here, having moved some four bytes a shingle.
+   sets share a 128-bit digest and form one class from then on. Shingles are
+   dealt to buckets by hash, each once a chunk of texts, and each bucket says
+   which were seen twice. A set can link to another, or equal one, only if at
+   least 3/4 of its own shingles were: the rest of the corpus leaves here,
+   having moved some five bytes a shingle. A bucket is settled block by block
+   and keeps its different shingles, not the chunks that hold them.
 2. The remaining sets, in global (hash) order, are joined by prefix trees: sets
    of a block form a trie, a set walks the trie of those before it, overlap is
    counted once for each shared path, and subtrees whose remaining lengths
@@ -13,7 +15,8 @@
    nearly all that is alike.
 3. An exact pass ends it. A set can still link to another component only if
    3/4 of its shingles are held by other components, so the counting of step 1
-   is repeated with components in place of classes until nothing leaves. By the
+   is repeated, two shingles of one component counting as one, until nothing
+   leaves. By the
    prefix filter two linked sets share a shingle among their first
    n - ceil(0.75 n) + 1; sets that share one form a block, in which only pairs
    whose first common shingle it is are followed. A block beyond the bound is
@@ -39,7 +42,10 @@ SHINGLE = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 75, 100
 CHUNK = 1 << 20
+#: Bytes of input for each bucket of shingles.
 BUCKET_BYTES = 4 << 20
+#: Shingles that a bucket task settles at once, at least.
+SETTLE = 1 << 21
 #: Sets of one block.
 BLOCK = 400
 
@@ -70,108 +76,184 @@ def shingle_sets(words: Words) -> list[np.ndarray]:
 
 
 def digests(sets: list[np.ndarray]) -> np.ndarray:
-    """64-bit digests of sets."""
-    with np.errstate(over="ignore"):
-        return np.array([mixed(np.array([mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum() + np.uint64(len(s))]))[0] for s in sets], np.uint64)
+    """128-bit digests of sets, as rows of two 64-bit numbers."""
+    out = np.empty((len(sets), 2), np.uint64)
+    for i, s in enumerate(sets):
+        for k, salt in enumerate((0x5851F42D4C957F2D, 0x14057B7EF767814F)):
+            out[i, k] = mixed(np.array([mixed(s ^ np.uint64(salt)).sum() + np.uint64(len(s))], np.uint64))[0]
+    return out
+
+
+def _binary(d: np.ndarray) -> pa.Array:
+    """Digests as an Arrow column of 16 bytes each."""
+    raw = np.ascontiguousarray(d).tobytes()
+    return pa.array([raw[i : i + 16] for i in range(0, len(raw), 16)], pa.binary())
+
+
+def _numbers(col: pa.Array) -> np.ndarray:
+    """Digests back from an Arrow column."""
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint64).reshape(-1, 2)
+
+
+class Chunks:
+    """Names of a task's chunks: its number and the chunk's place, mixed one to one. No two share a name, and a task run again repeats its own."""
+
+    def __init__(self):
+        self.at = TaskContext.get().partitionId() << 32
+
+    def next(self) -> int:
+        self.at += 1
+        return int(mixed(np.array([self.at], np.uint64)).view(np.int64)[0])
+
+
+def _planes(tok: np.ndarray) -> np.ndarray:
+    """Sorted 32-bit numbers as differences, byte by byte, which compresses well."""
+    return np.ascontiguousarray(np.diff(tok, prepend=np.uint32(0)).astype(np.uint32).view(np.uint8).reshape(-1, 4).T).ravel()
+
+
+def _from_planes(raw: np.ndarray) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
+_DOCS = (np.int64, np.uint64, np.int64, np.int64, np.int64)  # ids, digests, sizes, shingles known to be shared, own set
+_ASK = (np.uint8, np.uint32, np.uint8)  # shingles with an asker, their askers, shingles held twice here
+
+
+def _rows(rows, names=("chunk", "kind", "part"), kinds=(pa.int64(), pa.int32(), pa.binary())):
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=list(names))
+
+
+def _dealt_rows(rows):
+    return _rows(rows, ("chunk", "bucket", "kind", "part"), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))
+
+
+DEALT = "chunk long, bucket int, kind int, part binary"
+
+
+def _slices(bucket: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of equal entries."""
+    cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
+    return list(zip(cuts[:-1], cuts[1:]))
 
 
 def _deal(n_buckets: int):
     """Rows (chunk, bucket, kind, part). kind 0: the documents of a chunk; kind 1: shingles asked about.
 
-    A chunk is named by its task and its place there, mixed one to one: no two
-    share a name, whatever rows they hold, and a task run again repeats its own.
+    A chunk says each of its shingles once: with the set that asks, or, where
+    two of its sets hold it, only so that other chunks learn it.
     """
 
     def task(batches):
-        of_task = TaskContext.get().partitionId() << 32
-        for place, batch in enumerate(chunks(batches, 1, CHUNK)):
+        names = Chunks()
+        for batch in chunks(batches, 1, CHUNK):
             ids = np.asarray(batch.column(0))
             sets = shingle_sets(Words.of(*text_buffer(batch.column(1)), lower=True))
             size = np.array([len(s) for s in sets], np.int64)
-            sid = digests(sets)
-            chunk = int(mixed(np.array([of_task | place], np.uint64)).view(np.int64)[0])
-            _, first, cls = np.unique(sid, return_index=True, return_inverse=True)
+            d = digests(sets)
+            chunk = names.next()
+            _, first, cls = np.unique(d.view([("a", np.uint64), ("b", np.uint64)]).ravel(), return_index=True, return_inverse=True)
             own = [sets[i] for i in first]
             tok = np.concatenate(own) if own else np.zeros(0, np.uint64)
             of = np.repeat(np.arange(len(own)), [len(s) for s in own])
-            # settle here what two sets of this chunk hold; of such a shingle two askers are enough
             order = np.argsort(tok)
             t = tok[order]
             new = np.append(True, t[1:] != t[:-1])[: len(t)]
-            again = np.zeros(len(t), bool)
-            again[1:] = ~new[1:]
-            shared = again.copy()
-            shared[:-1] |= again[1:]
-            third = again.copy()
-            third[1:] &= again[:-1]
-            third[:1] = False
-            known = np.bincount(of[order[shared]], minlength=len(own))
-            # a shingle known to be shared is asked about only so that other chunks learn it: bit 0 of `ask`
-            ask, told = order[~third], shared[~third]
-            bucket = (tok[ask] >> np.uint64(32)) % np.uint64(n_buckets)
-            by = np.lexsort((of[ask], bucket))
-            ask, told, bucket = ask[by], told[by], bucket[by].astype(np.int64)
-            rows = [(chunk, chunk % n_buckets, 0, _pack(ids, sid[first][cls].astype(np.int64), size, known[cls].astype(np.int64), cls.astype(np.int64)))]
-            cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket)) if len(bucket) else [0]
-            short = (sid[first] >> np.uint64(32)).astype(np.uint32)
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                d = of[ask[i:j]]
-                head = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                n = np.diff(np.append(head, j - i))
-                rows.append((chunk, int(bucket[i]), 1, _pack(d[head].astype(np.uint16 if len(own) < 65536 else np.uint32).astype(np.uint32), short[d[head]], n.astype(np.uint32), _three(tok[ask[i:j]]), told[i:j])))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "part"])
+            twice = np.append(~new[1:], False)[: len(t)] | ~new
+            known = np.bincount(of[order[twice]], minlength=len(own))
+            ask, told = t[new], twice[new]
+            asker = of[order[new]].astype(np.uint32)
+            bucket, low = ((ask >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), ask.astype(np.uint32)
+            by = np.lexsort((low, bucket))
+            bucket, low, told, asker = bucket[by], low[by], told[by], asker[by]
+            rows = [(chunk, chunk % n_buckets, 0, _pack(ids, d.ravel(), size, known[cls].astype(np.int64), cls.astype(np.int64)))]
+            for i, j in _slices(bucket):
+                held = told[i:j]
+                rows.append((chunk, int(bucket[i]), 1, _pack(_planes(low[i:j][~held]), asker[i:j][~held], _planes(low[i:j][held]))))
+            yield _dealt_rows(rows)
 
     return task
 
 
-_ASK = (np.uint32, np.uint32, np.uint32, np.uint8, bool)  # local set, short digest, shingles of it, shingles, known
+NOBODY = np.uint32(0xFFFFFFFF)
+
 
+class Asked:
+    """Shingles asked about in the buckets of a task, settled block by block.
+
+    A shingle is (bucket, 32 bits): with the bucket these tell most shingles
+    apart; where they don't, a set only seems to share more. What is known to
+    be shared is kept once and without askers, so memory follows the different
+    shingles of the buckets and not the chunks that hold them.
+    """
 
-def _three(tok: np.ndarray) -> np.ndarray:
-    """The low three bytes of each hash. With the bucket they tell most shingles apart; where they don't, a set only seems to share more."""
-    return np.ascontiguousarray(tok).view(np.uint8).reshape(-1, 8)[:, :3].ravel()
+    def __init__(self):
+        self.parts, self.size, self.limit = [], 0, SETTLE
 
+    def add(self, key, chunk, local, label=None) -> bool:
+        """Whether it is time to settle. label: pairs of numbers; askers of one label don't count against each other."""
+        label = np.zeros((len(key), 0), np.uint64) if label is None else label
+        self.parts.append((key, np.full(len(key), chunk, np.int64), local, label))
+        self.size += len(key)
+        return self.size >= self.limit
 
-def _number(three: np.ndarray) -> np.ndarray:
-    t = three.reshape(-1, 3).astype(np.uint64)
-    return t[:, 0] | t[:, 1] << np.uint64(8) | t[:, 2] << np.uint64(16)
+    def settle(self, labels: bool = False):
+        """Rows (chunk, 1, part): how many shingles of each asker are shared, of those that weren't known to be before."""
+        if not self.parts:
+            return []
+        key, chunk, local, label = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key, chunk, local, label = key[order], chunk[order], local[order], label[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(starts, len(key)))
+        shared = np.logical_or.reduceat(local == NOBODY, starts)
+        if labels:
+            for k in range(label.shape[1]):
+                shared |= np.minimum.reduceat(label[:, k], starts) != np.maximum.reduceat(label[:, k], starts)
+        else:
+            shared |= n > 1
+        each = np.repeat(shared, n)
+        told = np.flatnonzero(each & (local != NOBODY))
+        out = []
+        if len(told):
+            told = told[np.lexsort((local[told], chunk[told]))]
+            c, who = chunk[told], local[told]
+            new = np.append(True, (c[1:] != c[:-1]) | (who[1:] != who[:-1]))
+            at = np.flatnonzero(new)
+            count = np.diff(np.append(at, len(c))).astype(np.uint32)
+            c, who = c[at], who[at]
+            out = [(int(c[i]), 1, _pack(who[i:j], count[i:j])) for i, j in _slices(c)]
+        head = starts[shared]
+        left = ~each
+        marks = len(head)
+        self.parts = [(np.append(key[left], key[head]), np.append(chunk[left], chunk[head]), np.append(local[left], np.full(marks, NOBODY)), np.append(label[left], label[head], axis=0))]
+        self.size = len(self.parts[0][0])
+        self.limit = max(SETTLE, 2 * self.size)
+        return out
 
 
 def _answer(batches):
     """Rows (chunk, kind, part): documents as they came; for each asking chunk its sets and their numbers of shared shingles."""
-    asked = []
+    asked = Asked()
     for batch in batches:
         out = []
         for chunk, bucket, kind, part in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            if kind:
-                asked.append((chunk, bucket, _unpack(part, _ASK)))
-            else:
+            if not kind:
                 out.append((chunk, 0, part))
+                continue
+            low, local, held = _unpack(part, _ASK)
+            low, held = _from_planes(low), _from_planes(held)
+            key = np.append(low, held).astype(np.uint64) | np.uint64(bucket) << np.uint64(32)
+            if asked.add(key, chunk, np.append(local, np.full(len(held), NOBODY))):
+                out += asked.settle()
         yield _rows(out)
-    if not asked:
-        return
-    key = np.concatenate([_number(p[3]) | np.uint64(b) << np.uint64(32) for _, b, p in asked])
-    who = np.concatenate([np.repeat(p[1], p[2]) for _, _, p in asked])
-    order = np.argsort(key)
-    k, w = key[order], who[order]
-    del key, who
-    starts = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-    several = np.minimum.reduceat(w, starts) != np.maximum.reduceat(w, starts)
-    shared = np.empty(len(k), bool)
-    shared[order] = np.repeat(several, np.diff(np.append(starts, len(k))))
-    at, out = 0, []
-    for chunk, _, (local, _, n, tok, told) in asked:
-        yes = shared[at : at + len(told)] & ~told
-        at += len(told)
-        count = np.add.reduceat(yes.astype(np.int64), np.cumsum(n, dtype=np.int64) - n)
-        some = count > 0
-        if some.any():
-            out.append((chunk, 1, _pack(local[some], count[some].astype(np.uint32))))
-    yield _rows(out)
-
-
-def _rows(rows):
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["chunk", "kind", "part"])
+    yield _rows(asked.settle())
+
+
+def _counts(parts, n: int) -> np.ndarray:
+    out = np.zeros(n, np.int64)
+    for local, k in parts:
+        out[local] += k
+    return out
 
 
 def _sum_up(batches):
@@ -180,19 +262,13 @@ def _sum_up(batches):
     for batch in batches:
         for chunk, kind, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
             if kind:
-                local, n = _unpack(part, (np.uint32, np.uint32))
-                got = counts.setdefault(chunk, np.zeros(0, np.int64))
-                if len(local) and local.max() >= len(got):
-                    got = np.append(got, np.zeros(int(local.max()) + 1 - len(got), np.int64))
-                    counts[chunk] = got
-                got[local] += n
+                counts.setdefault(chunk, []).append(_unpack(part, (np.uint32, np.uint32)))
             else:
-                docs.setdefault(chunk, part)
+                docs[chunk] = part
     for chunk, part in docs.items():
-        ids, sid, size, known, cls = _unpack(part, (np.int64,) * 5)
-        got = counts.get(chunk, np.zeros(0, np.int64))
-        got = np.append(got, np.zeros(max(0, int(cls.max(initial=-1)) + 1 - len(got)), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(sid), pa.array(size), pa.array((size > 0) & (known + got[cls] >= required(size)))], names=["_id", "sid", "n", "may"])
+        ids, d, size, known, cls = _unpack(part, _DOCS)
+        got = _counts(counts.get(chunk, ()), int(cls.max(initial=-1)) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(d), pa.array(size), pa.array((size > 0) & (known + got[cls] >= required(size)))], names=["_id", "sid", "n", "may"])
 
 
 def _whole(batches):
@@ -201,11 +277,11 @@ def _whole(batches):
     for batch in chunks(batches, 0, CHUNK):
         sets = shingle_sets(Words.of(*text_buffer(batch.column(0)), lower=True))
         rows = []
-        for s, d in zip(sets, digests(sets).view(np.int64).tolist()):
+        for s, d in zip(sets, _binary(digests(sets)).to_pylist()):
             if len(s) and d not in seen:
                 seen.add(d)
                 rows.append((d, len(s), s.tobytes(), int(s[0] >> np.uint64(1)), int(mixed(s).min() >> np.uint64(1))))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["sid", "n", "tokens", "k0", "k1"])
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()))], names=["sid", "n", "tokens", "k0", "k1"])
 
 
 # --- the prefix tree ----------------------------------------------------------------------------------------------
@@ -318,68 +394,66 @@ def _join_block(group: pa.Table) -> pa.Table:
         root[max(u, v)] = min(u, v)
     stars = [(x, find(x)) for x in sorted(root)]
     stars = [(x, r) for x, r in stars if x != r]
-    return pa.table({"u": pa.array([x for x, _ in stars], pa.int64()), "v": pa.array([r for _, r in stars], pa.int64())})
+    return pa.table({"u": pa.array([x for x, _ in stars], pa.binary()), "v": pa.array([r for _, r in stars], pa.binary())})
 
 
 _BLOCK_ROW = ("key", "i", "j", "own", "first", "sid", "label", "tokens")
 
 
 def _joined(rows: DataFrame) -> DataFrame:
-    return rows.select(*_BLOCK_ROW).groupBy("key", "i", "j").applyInArrow(_join_block, "u long, v long")
+    return rows.select(*_BLOCK_ROW).groupBy("key", "i", "j").applyInArrow(_join_block, "u binary, v binary")
 
 
 def _deal_sets(n_buckets: int):
-    """(sid, label, tokens) to rows (chunk, bucket, kind, part): kind 0 holds the sets of a chunk, kind 1 shingles of a bucket with the set and label that ask."""
+    """(sid, label, tokens) to rows (chunk, bucket, kind, part): kind 0 holds the sets of a chunk, kind 1 shingles of a bucket with the sets and labels that ask.
+
+    A shingle that two labels of a chunk hold is settled here, and said once without askers.
+    """
 
     def task(batches):
+        names = Chunks()
         for batch in batches:
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
-                sid, label = np.asarray(some.column(0)), np.asarray(some.column(1))
+                label = _numbers(some.column(1))
                 sets = [np.frombuffer(t, np.uint64) for t in some.column(2).to_pylist()]
                 tok, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
                 bucket = ((tok >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
-                by = np.lexsort((of, bucket))
-                cuts = np.append(np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)), len(by))
-                chunk = int(mixed(np.array([mixed(sid.view(np.uint64) + np.arange(len(sid), dtype=np.uint64)).sum()]))[0] >> np.uint64(1))
-                rows = [(chunk, chunk % n_buckets, 0, _pack(sid))]
-                for i, j in zip(cuts[:-1], cuts[1:]):
-                    d = of[by[i:j]]
-                    head = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-                    rows.append((chunk, int(bucket[by[i]]), 1, _pack(d[head], label[d[head]], np.diff(np.append(head, j - i)), tok[by[i:j]])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["chunk", "bucket", "kind", "part"])
+                by = np.lexsort((tok, bucket))
+                tok, of, bucket = tok[by], of[by], bucket[by]
+                starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+                own = label[of]
+                here = np.zeros(len(starts), bool)
+                for h in range(2):
+                    here |= np.minimum.reduceat(own[:, h], starts) != np.maximum.reduceat(own[:, h], starts)
+                n = np.diff(np.append(starts, len(tok)))
+                known = np.bincount(of[np.repeat(here, n)], minlength=len(sets))
+                ask = ~np.repeat(here, n)
+                ask[starts[here]] = True
+                local = np.where(np.repeat(here, n), NOBODY, of.astype(np.uint32))[ask].astype(np.uint32)
+                tok, bucket, own = tok[ask], bucket[ask], own[ask]
+                chunk = names.next()
+                rows = [(chunk, chunk % n_buckets, 0, _pack(_numbers(some.column(0)).ravel(), known.astype(np.int64)))]
+                rows += [(chunk, int(bucket[i]), 1, _pack(local[i:j], own[i:j].ravel(), tok[i:j])) for i, j in _slices(bucket)]
+                yield _dealt_rows(rows)
 
     return task
 
 
 def _answer_sets(batches):
     """Rows (chunk, kind, part): sets as they came; for each asking chunk how many shingles of its sets other labels hold too."""
-    asked = []
+    asked = Asked()
     for batch in batches:
         out = []
         for chunk, _, kind, part in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            if kind:
-                asked.append((chunk, _unpack(part, (np.int64, np.int64, np.int64, np.uint64))))
-            else:
+            if not kind:
                 out.append((chunk, 0, part))
+                continue
+            local, label, tok = _unpack(part, (np.uint32, np.uint64, np.uint64))
+            if asked.add(tok, chunk, local, label.reshape(-1, 2)):
+                out += asked.settle(labels=True)
         yield _rows(out)
-    if not asked:
-        return
-    tok = np.concatenate([p[3] for _, p in asked])
-    who = np.concatenate([np.repeat(p[1], p[2]) for _, p in asked])
-    order = np.argsort(tok)
-    t, w = tok[order], who[order]
-    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
-    several = np.minimum.reduceat(w, starts) != np.maximum.reduceat(w, starts)
-    shared = np.empty(len(t), np.int64)
-    shared[order] = np.repeat(several, np.diff(np.append(starts, len(t))))
-    at, out = 0, []
-    for chunk, (local, _, n, own) in asked:
-        count = np.add.reduceat(shared[at : at + len(own)], np.cumsum(n) - n)
-        at += len(own)
-        if (count > 0).any():
-            out.append((chunk, 1, _pack(local[count > 0].astype(np.uint32), count[count > 0].astype(np.uint32))))
-    yield _rows(out)
+    yield _rows(asked.settle(labels=True))
 
 
 def _sum_sets(batches):
@@ -390,13 +464,10 @@ def _sum_sets(batches):
             if kind:
                 counts.setdefault(chunk, []).append(_unpack(part, (np.uint32, np.uint32)))
             else:
-                sets.setdefault(chunk, part)
+                sets[chunk] = part
     for chunk, part in sets.items():
-        (sid,) = _unpack(part, (np.int64,))
-        k = np.zeros(len(sid), np.int64)
-        for local, n in counts.get(chunk, []):
-            k[local] += n
-        yield pa.RecordBatch.from_arrays([pa.array(sid), pa.array(k)], names=["sid", "k"])
+        sid, known = _unpack(part, (np.uint64, np.int64))
+        yield pa.RecordBatch.from_arrays([_binary(sid), pa.array(known + _counts(counts.get(chunk, ()), len(known)))], names=["sid", "k"])
 
 
 def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFrame:
@@ -404,9 +475,9 @@ def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFr
     n = buckets_for(labelled, BUCKET_BYTES, n_partitions(labelled.sparkSession))
     before = labelled.count()
     for _ in range(rounds):
-        dealt = labelled.select("sid", "label", "tokens").mapInArrow(lean(_deal_sets(n)), "chunk long, bucket int, kind int, part binary")
+        dealt = labelled.select("sid", "label", "tokens").mapInArrow(lean(_deal_sets(n)), DEALT)
         answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer_sets), "chunk long, kind int, part binary")
-        shared = answers.repartition(n, "chunk").mapInArrow(lean(_sum_sets), "sid long, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
+        shared = answers.repartition(n, "chunk").mapInArrow(lean(_sum_sets), "sid binary, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
         new = scratch.save(labelled.join(shared, "sid").filter(F.col("k") * DEN >= NUM * F.col("n")).drop("k"))
         after = new.count()
         scratch.drop(labelled)
@@ -424,7 +495,8 @@ def _postings(batches):
         heads = [s[: len(s) - required(len(s)) + 1] for s in sets]
         n = [len(h) for h in heads]
         token = np.concatenate(heads).astype(np.int64) if heads else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(np.repeat(np.asarray(batch.column(0)), n)), pa.array(np.repeat(np.asarray(batch.column(1)), n))], names=["token", "sid", "label"])
+        at = pa.array(np.repeat(np.arange(len(n)), n))
+        yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(at), batch.column(1).take(at)], names=["token", "sid", "label"])
 
 
 # --- the join -----------------------------------------------------------------------------------------------------
@@ -456,7 +528,7 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     labelled = scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens"))
     scratch.drop(sets)
     labelled = still_open(labelled, scratch)
-    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(lean(_postings), "token long, sid long, label long"))
+    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(lean(_postings), "token long, sid binary, label binary"))
     # sums of both halves of a hash, which a set that comes twice doesn't cancel
     held = [F.sum(part(F.xxhash64("sid"))).alias(c) for c, part in (("x", lambda h: F.shiftright(h, 32)), ("y", lambda h: h.bitwiseAND(F.lit(2**32 - 1))))]
     shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), *held, F.min("sid").alias("p"), F.max("sid").alias("q"))
@@ -477,7 +549,7 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     return links.union(rest[0]).union(rest[1])
 
 
-def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of docs.
 
     Texts are lower-cased (A-Z) and cut into words. Two rows link when their
@@ -487,27 +559,32 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     null id counts as the greatest and comes back as null. Other columns of
     docs are ignored; an empty table gives none.
 
-    Shingles and sets are told apart by 64-bit hashes.
+    Shingles are told apart by 64-bit hashes, sets by 128-bit digests. ``buckets``
+    is the number of buckets of shingles; by default it follows the bytes that
+    Spark expects of docs, BUCKET_BYTES each.
     """
     spark = docs.sparkSession
     short_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(key.alias("_id"), F.col(text_col).alias("_text"))
-    n = buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
-    dealt = rows.mapInArrow(lean(_deal(n)), "chunk long, bucket int, kind int, part binary")
+    n = buckets or buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
+    dealt = rows.mapInArrow(lean(_deal(n)), DEALT)
     answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer), "chunk long, kind int, part binary")
-    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(lean(_sum_up), "_id long, sid long, n long, may boolean"))
+    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(lean(_sum_up), "_id long, sid binary, n long, may boolean"))
 
     classes = per_doc.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.max("may").alias("may"))
     classes = scratch.save(classes.filter("m > 1 or may"))
-    wanted = scratch.save(classes.filter("may").select(F.col("rep").alias("_id")))
-    texts = rows.join(wanted.hint("shuffle_hash"), "_id", "left_semi").select("_text")
-    sets = scratch.save(texts.mapInArrow(lean(_whole), "sid long, n long, tokens binary, k0 long, k1 long"))
+    # few texts are wanted: Spark broadcasts their ids or filters by them where that is small, else it sorts
+    wanted = classes.filter("may").select(F.col("rep").alias("_id")).distinct()
+    texts = rows.join(wanted, "_id", "left_semi").select("_text")
+    sets = scratch.save(texts.mapInArrow(lean(_whole), "sid binary, n long, tokens binary, k0 long, k1 long"))
     found = star_components(link_sets(sets, scratch), scratch).select(F.col("id").alias("sid"), F.col("component").alias("label"))
-    reps = scratch.save(classes.select("sid", "rep").join(found, "sid", "left").select("sid", "rep", F.coalesce("label", "sid").alias("label")))
+    reps = scratch.save(classes.select("sid", "rep", "m").join(found, "sid", "left").withColumn("label", F.coalesce("label", "sid")))
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_class = reps.join(least, "label").select("sid", "component_id")
-    out = per_doc.join(of_class, "sid", "left")
+    # documents without words, and those that link with nothing, need no class
+    of_class = reps.join(least, "label").filter("m > 1 or rep <> component_id").select("sid", "component_id")
+    worded = per_doc.filter("n > 0").join(of_class, "sid", "left").select("_id", "n", "component_id")
+    out = worded.union(per_doc.filter("n = 0").select("_id", "n", F.lit(None).cast("long")))
     null = F.lit(2**63 - 1)
     real = lambda c: F.when(c != null, c)
     component = F.when(F.col("n") > 0, F.coalesce("component_id", "_id")).otherwise(F.col("_id"))

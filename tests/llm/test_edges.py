@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns, for every operator and stage."""
 
 import re
+import types
 
 import numpy as np
 import pytest
@@ -290,6 +291,49 @@ def chained_pairs(n, seed=3):
     return out
 
 
+def test_digests_that_agree_in_part_link(spark, monkeypatch):
+    """Sets whose digests agree in all but the last bits are still two, and link."""
+    text = " ".join(f"w{i}" for i in range(100))
+    df = spark.createDataFrame([(1, text), (2, text + " more"), (3, text + " more or less")], "doc_id long, text string").repartition(3)
+
+    def alike(sets):
+        return np.array([(7, (7 << 32) | len(s)) for s in sets], np.uint64).reshape(-1, 2)
+
+    monkeypatch.setattr(setjoin, "digests", alike)
+    # a function of another name goes to the workers by value, with the digests above
+    whole = types.FunctionType(setjoin._whole.__code__, vars(setjoin) | {"digests": alike})
+    whole.__qualname__ = "whole"
+    monkeypatch.setattr(setjoin, "_whole", whole)
+    assert rows_of(setjoin.components(df.coalesce(1), Scratch(spark)), "doc_id", "component_id") == [(1, 1), (2, 1), (3, 1)]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 21])
+def test_asked_shingles_settle_block_by_block(monkeypatch, block):
+    """Counts agree with a plain count whatever the block; what is shared is kept once."""
+    monkeypatch.setattr(setjoin, "SETTLE", block)
+    rng = np.random.default_rng(6)
+    for labels in (False, True):
+        asked, got, truth, of = setjoin.Asked(), {}, {}, {}
+        for chunk in range(30):
+            key = np.unique(rng.integers(0, 40, 8)).astype(np.uint64)
+            local = rng.integers(0, 3, len(key)).astype(np.uint32)
+            own = rng.integers(0, 2, (3, 2)).astype(np.uint64)
+            for k, i in zip(key.tolist(), local.tolist()):
+                of.setdefault(k, []).append((chunk, i, tuple(own[i].tolist()) if labels else (chunk, i)))
+            if asked.add(key, chunk, local, own[local] if labels else None):
+                for c, _, part in asked.settle(labels):
+                    for i, n in zip(*setjoin._unpack(part, (np.uint32, np.uint32))):
+                        got[c, int(i)] = got.get((c, int(i)), 0) + int(n)
+        for c, _, part in asked.settle(labels):
+            for i, n in zip(*setjoin._unpack(part, (np.uint32, np.uint32))):
+                got[c, int(i)] = got.get((c, int(i)), 0) + int(n)
+        for askers in of.values():
+            if len({a[2] for a in askers}) > 1:
+                for c, i, _ in askers:
+                    truth[c, i] = truth.get((c, i), 0) + 1
+        assert got == truth and asked.size <= sum(len(a) for a in of.values())
+
+
 @pytest.mark.parametrize("copies", [1, 2])
 @pytest.mark.parametrize("kind", ["chained", "random"])
 def test_set_join_shingle_blocks_brute_force(spark, kind, copies):
@@ -309,7 +353,7 @@ def test_set_join_shingle_blocks_brute_force(spark, kind, copies):
         sets = [set(s) for s in {frozenset(s) for s in sets}]
     arrays = [np.array(sorted(s), np.uint64) for s in sets]
     rows = [(i, len(a), a.tobytes(), int(a[0] >> np.uint64(1)), int(mixed(a).min() >> np.uint64(1))) for i, a in enumerate(arrays)]
-    df = spark.createDataFrame([(r[0], r[1], bytearray(r[2]), r[3], r[4]) for r in rows] * copies, "sid long, n long, tokens binary, k0 long, k1 long")
+    df = spark.createDataFrame([(bytearray(r[0].to_bytes(16, "big")), r[1], bytearray(r[2]), r[3], r[4]) for r in rows] * copies, "sid binary, n long, tokens binary, k0 long, k1 long")
     links = setjoin.link_sets(Scratch(spark).save(df), Scratch(spark), 5).collect()
     root = list(range(len(sets)))
 
@@ -319,7 +363,7 @@ def test_set_join_shingle_blocks_brute_force(spark, kind, copies):
         return x
 
     for u, v in links:
-        x, y = find(u), find(v)
+        x, y = (find(int.from_bytes(e, "big")) for e in (u, v))
         root[max(x, y)] = min(x, y)
     got = {}
     for i in range(len(sets)):
