@@ -17,11 +17,11 @@
    3/4 of its shingles are held by other components, so the counting of step 1
    is repeated, two shingles of one component counting as one, until nothing
    leaves. By the
-   prefix filter two linked sets share a shingle among their first
-   n - ceil(0.75 n) + 1; sets that share one form a block, in which only pairs
-   whose first common shingle it is are followed. A block beyond the bound is
-   split into pairs of parts, so that no pair of sets is left out and none is
-   emitted unless it links.
+   prefix filter two linked sets of two components share one of their rarest
+   shingles: of the k that other components hold, one of the first
+   k - ceil(0.75 n) + 1, rare ones first. Sets that share one form a block. A
+   block beyond the bound is split into pairs of parts, so that no pair of sets
+   is left out and none is emitted unless it links.
 """
 
 from __future__ import annotations
@@ -315,12 +315,8 @@ class Trie:
                 cuts = [lo, *(lo + 1 + np.flatnonzero(common[lo + 1 : hi] == end)).tolist(), hi]
                 todo += [(a, b, end, me) for a, b in zip(cuts[:-1], cuts[1:])]
 
-    def links(self, labels: list, parts: list | None = None, first: int | None = None) -> list[tuple[int, int]]:
-        """Pairs of set numbers that link and, with those before them, connect different labels.
-
-        With parts, only pairs of different parts count; with first, only pairs
-        that have no common token below it.
-        """
+    def links(self, labels: list, parts: list | None = None) -> list[tuple[int, int]]:
+        """Pairs of set numbers that link and, with those before them, connect different labels. With parts, only pairs of different parts count."""
         if not self.sets:
             return []
         _, comp = np.unique([labels[i] for i in self.order], return_inverse=True)
@@ -348,8 +344,6 @@ class Trie:
                 if len(seg):
                     at = np.searchsorted(x, seg)
                     same = x[np.minimum(at, n - 1)] == seg
-                    if first is not None and not overlap and seg[0] < first and (same & (seg < first)).any():
-                        continue
                     overlap += int(np.count_nonzero(same))
                     rest = n - int(at[-1]) - int(same[-1])
                 elif end:
@@ -372,7 +366,7 @@ def _join_block(group: pa.Table) -> pa.Table:
     """Links inside a block of sets, as stars: each linked set with the least of those it is connected to here.
 
     A set that comes twice counts once. Blocks (i, j) of two parts compare one
-    with the other; blocks of a shingle follow pairs that have none before it.
+    with the other.
     """
     sid = group.column("sid").to_pylist()
     once = {s: i for i, s in enumerate(sid)}
@@ -380,8 +374,7 @@ def _join_block(group: pa.Table) -> pa.Table:
     tokens, label, own = (group.column(c).to_pylist() for c in ("tokens", "label", "own"))
     sets = [np.frombuffer(tokens[i], np.uint64) for i in at]
     parts = [own[i] for i in at] if group.column("i")[0].as_py() != group.column("j")[0].as_py() else None
-    first = group.column("first")[0].as_py()
-    pairs = Trie(sets).links([label[i] for i in at], parts, None if first is None else np.uint64(first & (2**64 - 1)))
+    pairs = Trie(sets).links([label[i] for i in at], parts)
     root: dict[int, int] = {}
 
     def find(x):
@@ -397,17 +390,29 @@ def _join_block(group: pa.Table) -> pa.Table:
     return pa.table({"u": pa.array([x for x, _ in stars], pa.binary()), "v": pa.array([r for _, r in stars], pa.binary())})
 
 
-_BLOCK_ROW = ("key", "i", "j", "own", "first", "sid", "label", "tokens")
+_BLOCK_ROW = ("key", "i", "j", "own", "sid", "label", "tokens")
 
 
 def _joined(rows: DataFrame) -> DataFrame:
     return rows.select(*_BLOCK_ROW).groupBy("key", "i", "j").applyInArrow(_join_block, "u binary, v binary")
 
 
-def _deal_sets(n_buckets: int):
-    """(sid, label, tokens) to rows (chunk, bucket, kind, part): kind 0 holds the sets of a chunk, kind 1 shingles of a bucket with the sets and labels that ask.
+def _set_part(local: np.ndarray, label: np.ndarray, tok: np.ndarray) -> bytes:
+    """Shingles with their askers; the label of an asker goes once."""
+    _, first = np.unique(local, return_index=True)
+    return _pack(local, label[first].ravel(), tok)
+
+
+def _from_set_part(part: bytes):
+    local, label, tok = _unpack(part, (np.uint32, np.uint64, np.uint64))
+    return local, label.reshape(-1, 2)[np.unique(local, return_inverse=True)[1]], tok
 
-    A shingle that two labels of a chunk hold is settled here, and said once without askers.
+
+def _deal_sets(n_buckets: int, settled: bool):
+    """(sid, label, n, tokens) to rows (chunk, bucket, kind, part): kind 0 holds the sets of a chunk, kind 1 shingles of a bucket with the sets and labels that ask.
+
+    If settled, a shingle that two labels of a chunk hold is said once without
+    askers, and its sets count it here.
     """
 
     def task(batches):
@@ -416,30 +421,35 @@ def _deal_sets(n_buckets: int):
             for k in range(0, batch.num_rows, 512):
                 some = batch.slice(k, 512)
                 label = _numbers(some.column(1))
-                sets = [np.frombuffer(t, np.uint64) for t in some.column(2).to_pylist()]
-                tok, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(t) for t in sets])
+                sets = [np.frombuffer(t, np.uint64) for t in some.column(3).to_pylist()]
+                tok, of = np.concatenate(sets), np.repeat(np.arange(len(sets), dtype=np.uint32), [len(t) for t in sets])
                 bucket = ((tok >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
                 by = np.lexsort((tok, bucket))
                 tok, of, bucket = tok[by], of[by], bucket[by]
-                starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
                 own = label[of]
-                here = np.zeros(len(starts), bool)
-                for h in range(2):
-                    here |= np.minimum.reduceat(own[:, h], starts) != np.maximum.reduceat(own[:, h], starts)
-                n = np.diff(np.append(starts, len(tok)))
-                known = np.bincount(of[np.repeat(here, n)], minlength=len(sets))
-                ask = ~np.repeat(here, n)
-                ask[starts[here]] = True
-                local = np.where(np.repeat(here, n), NOBODY, of.astype(np.uint32))[ask].astype(np.uint32)
-                tok, bucket, own = tok[ask], bucket[ask], own[ask]
+                known = np.zeros(len(sets), np.int64)
+                if settled:
+                    starts = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
+                    here = np.zeros(len(starts), bool)
+                    for h in range(2):
+                        here |= np.minimum.reduceat(own[:, h], starts) != np.maximum.reduceat(own[:, h], starts)
+                    each = np.repeat(here, np.diff(np.append(starts, len(tok))))
+                    known = np.bincount(of[each], minlength=len(sets))
+                    ask = ~each
+                    ask[starts[here]] = True
+                    of = np.where(each, NOBODY, of).astype(np.uint32)[ask]
+                    tok, bucket, own = tok[ask], bucket[ask], own[ask]
                 chunk = names.next()
-                rows = [(chunk, chunk % n_buckets, 0, _pack(_numbers(some.column(0)).ravel(), known.astype(np.int64)))]
-                rows += [(chunk, int(bucket[i]), 1, _pack(local[i:j], own[i:j].ravel(), tok[i:j])) for i, j in _slices(bucket)]
+                rows = [(chunk, chunk % n_buckets, 0, _pack(_numbers(some.column(0)).ravel(), label.ravel(), np.asarray(some.column(2)), known.astype(np.int64)))]
+                rows += [(chunk, int(bucket[i]), 1, _set_part(of[i:j], own[i:j], tok[i:j])) for i, j in _slices(bucket)]
                 yield _dealt_rows(rows)
 
     return task
 
 
+_SETS = (np.uint64, np.uint64, np.int64, np.int64)  # sets, labels, sizes, shingles known to be shared
+
+
 def _answer_sets(batches):
     """Rows (chunk, kind, part): sets as they came; for each asking chunk how many shingles of its sets other labels hold too."""
     asked = Asked()
@@ -449,8 +459,8 @@ def _answer_sets(batches):
             if not kind:
                 out.append((chunk, 0, part))
                 continue
-            local, label, tok = _unpack(part, (np.uint32, np.uint64, np.uint64))
-            if asked.add(tok, chunk, local, label.reshape(-1, 2)):
+            local, label, tok = _from_set_part(part)
+            if asked.add(tok, chunk, local, label):
                 out += asked.settle(labels=True)
         yield _rows(out)
     yield _rows(asked.settle(labels=True))
@@ -466,7 +476,7 @@ def _sum_sets(batches):
             else:
                 sets[chunk] = part
     for chunk, part in sets.items():
-        sid, known = _unpack(part, (np.uint64, np.int64))
+        sid, _, _, known = _unpack(part, _SETS)
         yield pa.RecordBatch.from_arrays([_binary(sid), pa.array(known + _counts(counts.get(chunk, ()), len(known)))], names=["sid", "k"])
 
 
@@ -475,7 +485,7 @@ def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFr
     n = buckets_for(labelled, BUCKET_BYTES, n_partitions(labelled.sparkSession))
     before = labelled.count()
     for _ in range(rounds):
-        dealt = labelled.select("sid", "label", "tokens").mapInArrow(lean(_deal_sets(n)), DEALT)
+        dealt = labelled.select("sid", "label", "n", "tokens").mapInArrow(lean(_deal_sets(n, True)), DEALT)
         answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer_sets), "chunk long, kind int, part binary")
         shared = answers.repartition(n, "chunk").mapInArrow(lean(_sum_sets), "sid binary, k long").filter("k > 0").groupBy("sid").agg(F.max("k").alias("k"))
         new = scratch.save(labelled.join(shared, "sid").filter(F.col("k") * DEN >= NUM * F.col("n")).drop("k"))
@@ -488,15 +498,94 @@ def still_open(labelled: DataFrame, scratch: Scratch, rounds: int = 2) -> DataFr
     return labelled
 
 
-def _postings(batches):
-    """(sid, label, tokens) to (token, sid, label) for the prefix of each set."""
+#: Sets from which on a shingle counts as frequent: frequent ones are not told apart by their frequency.
+FREQUENT = 1000
+
+
+class Counted(Asked):
+    """Shingles asked about by sets, answered with the number of sets that hold them, FREQUENT at most.
+
+    A shingle is answered as soon as it is known to be frequent and kept without askers from then on.
+    """
+
+    def settle(self, last: bool = False):
+        """Rows (chunk, 1, part): askers, their shingles that several labels hold, and the numbers of sets."""
+        if not self.parts:
+            return []
+        key, chunk, local, label = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(key, kind="stable")
+        key, chunk, local, label = key[order], chunk[order], local[order], label[order]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        n = np.diff(np.append(starts, len(key)))
+        told = np.logical_or.reduceat(local == NOBODY, starts)
+        several = told.copy()
+        for k in range(2):
+            several |= np.minimum.reduceat(label[:, k], starts) != np.maximum.reduceat(label[:, k], starts)
+        held = np.where(told, FREQUENT, np.minimum(n, FREQUENT))
+        ready = several if last else several & (held == FREQUENT)
+        each = np.repeat(ready, n)
+        say = np.flatnonzero(each & (local != NOBODY))
+        say = say[np.argsort(chunk[say], kind="stable")]
+        sets = np.repeat(held, n).astype(np.uint32)
+        out = [(int(chunk[say[i]]), 1, _pack(local[say[i:j]], key[say[i:j]], sets[say[i:j]])) for i, j in _slices(chunk[say])]
+        head, left = starts[ready], ~each
+        self.parts = [(np.append(key[left], key[head]), np.append(chunk[left], chunk[head]), np.append(local[left], np.full(len(head), NOBODY)), np.append(label[left], label[head], axis=0))]
+        self.size = len(self.parts[0][0])
+        self.limit = max(SETTLE, 2 * self.size)
+        return out
+
+
+def _count_sets(batches):
+    """Rows (chunk, kind, part): sets as they came; for each asking chunk its shingles of several labels with their numbers of sets."""
+    counted = Counted()
+    for batch in batches:
+        out = []
+        for chunk, _, kind, part in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            if not kind:
+                out.append((chunk, 0, part))
+                continue
+            local, label, tok = _from_set_part(part)
+            if counted.add(tok, chunk, local, label):
+                out += counted.settle()
+        yield _rows(out)
+    yield _rows(counted.settle(last=True))
+
+
+def _prefixes(batches):
+    """Rows (token, sid, label): the rarest shingles of a set, so many that two sets that link have one in common.
+
+    Only shingles that several labels hold can be common to sets of two labels.
+    Of k such shingles a link needs required(n), so it has one among the first
+    k - required(n) + 1, in an order that is the same for all sets.
+    """
+    sets, answers = {}, {}
     for batch in batches:
-        sets = [np.frombuffer(t, np.uint64) for t in batch.column(2).to_pylist()]
-        heads = [s[: len(s) - required(len(s)) + 1] for s in sets]
-        n = [len(h) for h in heads]
-        token = np.concatenate(heads).astype(np.int64) if heads else np.zeros(0, np.int64)
-        at = pa.array(np.repeat(np.arange(len(n)), n))
-        yield pa.RecordBatch.from_arrays([pa.array(token), batch.column(0).take(at), batch.column(1).take(at)], names=["token", "sid", "label"])
+        for chunk, kind, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+            if kind:
+                answers.setdefault(chunk, []).append(_unpack(part, (np.uint32, np.uint64, np.uint32)))
+            else:
+                sets[chunk] = part
+    for chunk, part in sets.items():
+        sid, label, size, _ = _unpack(part, _SETS)
+        if chunk not in answers:
+            continue
+        local, tok, m = (np.concatenate(x) for x in zip(*answers.pop(chunk)))
+        by = np.lexsort((tok, m, local))
+        local, tok = local[by], tok[by]
+        k = np.bincount(local, minlength=len(size))
+        take = np.maximum(k - required(size) + 1, 0)
+        place = np.arange(len(local)) - (np.cumsum(k) - k)[local]
+        kept = place < take[local]
+        of = local[kept]
+        yield pa.RecordBatch.from_arrays([pa.array(tok[kept].view(np.int64)), _binary(sid.reshape(-1, 2)[of]), _binary(label.reshape(-1, 2)[of])], names=["token", "sid", "label"])
+
+
+def prefixes(labelled: DataFrame) -> DataFrame:
+    """(token, sid, label) of the prefixes of labelled(sid, n, label, tokens)."""
+    n = buckets_for(labelled, BUCKET_BYTES, n_partitions(labelled.sparkSession))
+    dealt = labelled.select("sid", "label", "n", "tokens").mapInArrow(lean(_deal_sets(n, False)), DEALT)
+    answers = dealt.repartition(n, "bucket").mapInArrow(lean(_count_sets), "chunk long, kind int, part binary")
+    return answers.repartition(n, "chunk").mapInArrow(lean(_prefixes), "token long, sid binary, label binary")
 
 
 # --- the join -----------------------------------------------------------------------------------------------------
@@ -517,24 +606,23 @@ def _parted(members: DataFrame) -> DataFrame:
 def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
     """(u, v): links that connect all sets that similarity connects. sets(sid, n, tokens, k0, k1); equal rows count once."""
     links = []
-    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    zero = F.lit(0).cast("long")
     for key in ("k0", "k1"):
         many = scratch.save(sets.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("m")).filter("m > 1"))
         dealt = sets.select(F.col(key).alias("key"), "sid", F.col("sid").alias("label"), "tokens").join(many, "key")
-        dealt = dealt.withColumns({"i": F.pmod(F.xxhash64("sid", F.lit(key)), F.ceil(F.col("m") / block)), "own": zero, "first": none})
+        dealt = dealt.withColumns({"i": F.pmod(F.xxhash64("sid", F.lit(key)), F.ceil(F.col("m") / block)), "own": zero})
         links.append(scratch.save(_joined(dealt.withColumn("j", F.col("i")))))
     links = links[0].union(links[1])
 
     labelled = scratch.save(_with_labels(sets, links, scratch).select("sid", "n", "label", "tokens"))
     scratch.drop(sets)
     labelled = still_open(labelled, scratch)
-    posts = scratch.save(labelled.select("sid", "label", "tokens").mapInArrow(lean(_postings), "token long, sid binary, label binary"))
+    posts = scratch.save(prefixes(labelled))
     # sums of both halves of a hash, which a set that comes twice doesn't cancel
     held = [F.sum(part(F.xxhash64("sid"))).alias(c) for c, part in (("x", lambda h: F.shiftright(h, 32)), ("y", lambda h: h.bitwiseAND(F.lit(2**32 - 1))))]
     shared = posts.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("m"), *held, F.min("sid").alias("p"), F.max("sid").alias("q"))
-    # shingles held by the same sets need one block, that of the least: first among all of them in every set, as unsigned numbers
-    least = F.min(F.col("token").bitwiseXOR(F.lit(-(2**63)))).bitwiseXOR(F.lit(-(2**63)))
-    tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "y", "p", "q").agg(least.alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
+    # shingles in the prefixes of the same sets need one block
+    tokens = scratch.save(shared.filter("a <> b").groupBy("m", "x", "y", "p", "q").agg(F.min("token").alias("token")).select("token", "p", "m", F.ceil(F.col("m") / block).alias("parts")))
     near = scratch.save(posts.join(tokens, "token").select("token", "parts", "sid", "p"))
     families = scratch.save(star_components(near.select(F.col("sid").alias("u"), F.col("p").alias("v")), scratch))
     of = families.select(F.col("id").alias("sid"), F.col("component").alias("fam")).union(families.select("component", "component").distinct())
@@ -543,8 +631,8 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     apart = tokens.join(of, tokens["p"] == of["sid"]).groupBy("fam").agg(F.sum(F.col("m") * F.col("parts")).alias("token_cost"))
     way = scratch.save(whole.join(apart, "fam").select("fam", "fam_parts", (F.col("cost") <= F.col("token_cost")).alias("as_one")))
     of = scratch.save(of.join(way, "fam"))
-    by_family = of.filter("as_one").select(F.col("fam").alias("key"), F.col("fam_parts").alias("parts"), "sid", none.alias("first"))
-    by_token = near.join(of.filter("not as_one").select("sid"), "sid", "left_semi").select(F.col("token").alias("key"), "parts", "sid", F.col("token").alias("first"))
+    by_family = of.filter("as_one").select(F.col("fam").alias("key"), F.col("fam_parts").alias("parts"), "sid")
+    by_token = near.join(of.filter("not as_one").select("sid"), "sid", "left_semi").select(F.col("token").alias("key"), "parts", "sid")
     rest = [scratch.save(_joined(_parted(m).join(labelled, "sid"))) for m in (by_family, by_token)]
     return links.union(rest[0]).union(rest[1])
 

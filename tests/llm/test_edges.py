@@ -334,6 +334,34 @@ def test_asked_shingles_settle_block_by_block(monkeypatch, block):
         assert got == truth and asked.size <= sum(len(a) for a in of.values())
 
 
+@pytest.mark.parametrize("block", [3, 1 << 21])
+def test_counted_shingles_get_one_frequency(monkeypatch, block):
+    """Every asker of a shingle that several labels hold gets the same capped count, whenever it is settled; others get none."""
+    monkeypatch.setattr(setjoin, "SETTLE", block)
+    monkeypatch.setattr(setjoin, "FREQUENT", 5)
+    rng = np.random.default_rng(9)
+    counted, got, of = setjoin.Counted(), {}, {}
+
+    def note(rows):
+        for c, _, part in rows:
+            for i, k, m in zip(*(x.tolist() for x in setjoin._unpack(part, (np.uint32, np.uint64, np.uint32)))):
+                got.setdefault(k, []).append((c, i, m))
+
+    for chunk in range(30):
+        key = np.sort(rng.zipf(1.5, 12) % 30).astype(np.uint64)
+        local = rng.integers(0, 3, len(key)).astype(np.uint32)
+        own = rng.integers(0, 2, (3, 2)).astype(np.uint64)
+        for k, i in zip(key.tolist(), local.tolist()):
+            of.setdefault(k, []).append((chunk, i, tuple(own[i].tolist())))
+        if counted.add(key, chunk, local, own[local]):
+            note(counted.settle())
+    note(counted.settle(last=True))
+    several = {k: a for k, a in of.items() if len({x[2] for x in a}) > 1}
+    assert set(got) == set(several)
+    for k, a in several.items():
+        assert sorted(got[k]) == sorted((c, i, min(5, len(a))) for c, i, _ in a)
+
+
 @pytest.mark.parametrize("copies", [1, 2])
 @pytest.mark.parametrize("kind", ["chained", "random"])
 def test_set_join_shingle_blocks_brute_force(spark, kind, copies):
