@@ -45,7 +45,7 @@ CHUNK = 1 << 20
 #: Bytes of input for each bucket of shingles.
 BUCKET_BYTES = 4 << 20
 #: Shingles that a bucket task settles at once, at least.
-SETTLE = 1 << 21
+SETTLE = 1 << 19
 #: Sets of one block.
 BLOCK = 400
 

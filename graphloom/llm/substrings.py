@@ -8,6 +8,9 @@ that share a minimiser (the least hash of their words, words of up to SHORT
 bytes last because these are the frequent ones) are one packed string, sent to the minimiser's bucket with the number of its first word.
 Equal windows have equal minimisers, so they meet in one bucket, where sorting
 their hashes brings them together and comparing their bytes makes it exact.
+A first pass counts all windows by the hash of their minimiser, CELLS numbers;
+minimisers with far more than their share are split by the hash of the window,
+so that equal windows still meet and no bucket is much larger than the others.
 A bucket is read block by block; what is settled is let go, so memory follows
 its distinct windows and not the copies.
 """
@@ -20,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import buckets_for, chunks, lean, short_batches
+from graphloom.llm.common import PIECES, buckets_for, chunks, lean, short_batches, vector_pieces, vector_sum
 from graphloom.llm.wordarrays import Words, mixed, rolled, rolled_min, same_bytes, text_buffer
 from graphloom.plans.scratch import n_partitions
 
@@ -30,6 +33,8 @@ CHUNK = 1 << 20
 BUCKET_BYTES = 1 << 20
 #: Bytes of packed strings that a bucket task settles at once, at least.
 SETTLE = 4 << 20
+#: Numbers in which windows are counted by minimiser; times its fair share from which a cell of minimisers is split.
+CELLS, HEAVY = 1 << 16, 4.0
 MARKS = "_id long, _key long, s int, e int"
 
 
@@ -117,8 +122,41 @@ _SEG = (np.int64, np.int64, np.int32, np.int32, np.uint8)  # document, key, firs
 _MARK = (np.int64, np.int64, np.int32, np.int32)
 
 
-def _send(n_buckets: int):
+def minimisers(words: Words, win: np.ndarray) -> np.ndarray:
+    """The least rank of the words of each window."""
+    rank = (words.hashes() >> np.uint64(1)) | ((np.diff(words.start) <= SHORT + 1).astype(np.uint64) << np.uint64(63))
+    return rolled_min(rank, WINDOW)[win]
+
+
+def cell_of(least: np.ndarray) -> np.ndarray:
+    return (mixed(least) % np.uint64(CELLS)).astype(np.int64)
+
+
+def window_counts(texts: DataFrame) -> np.ndarray:
+    """Windows of texts(text) by the cell of their minimiser; CELLS numbers a task are summed over the cluster."""
+
+    def task(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in chunks(batches, 0, CHUNK):
+            words = Words.of(*text_buffer(batch.column(0)))
+            n_win = np.maximum(np.diff(words.first) - WINDOW + 1, 0)
+            win = np.arange(int(n_win.sum())) + np.repeat(words.first[:-1] - (np.cumsum(n_win) - n_win), n_win)
+            if len(win):
+                total += np.bincount(cell_of(minimisers(words, win)), minlength=CELLS)
+        yield vector_pieces(total)
+
+    return vector_sum(texts.mapInArrow(lean(task), PIECES), CELLS, np.int64)
+
+
+def splits(counts: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Parts into which each cell is split: 1 unless it has more than HEAVY times the share of a bucket or cell."""
+    fair = max(1.0, counts.sum() / min(n_buckets, CELLS))
+    return np.where(counts > HEAVY * fair, np.ceil(counts / fair), 1).astype(np.int64)
+
+
+def _send(n_buckets: int, parts: np.ndarray):
     """Map side: rows (bucket, kind, part); kind 0: super-k-mers, kind 1: words already known to go."""
+    heavy = parts.max(initial=1) > 1
 
     def task(batches):
         for batch in chunks(batches, 2, CHUNK):
@@ -135,8 +173,10 @@ def _send(n_buckets: int):
                 t = text[a]
                 base = words.first[t]
                 rows.append((int(ids[t[0]] % n_buckets), 1, _pack(ids[t], keys[t], (win[a] - base).astype(np.int32), (win[b] - base + WINDOW).astype(np.int32))))
-            rank = (words.hashes() >> np.uint64(1)) | ((np.diff(words.start) <= SHORT + 1).astype(np.uint64) << np.uint64(63))
-            least = rolled_min(rank, WINDOW)[win]
+            least = minimisers(words, win)
+            if heavy:  # windows of a heavy minimiser part by their own hash
+                many = parts[cell_of(least)].astype(np.uint64)
+                least = np.where(many > 1, mixed(least + np.uint64(1) + rolled(words.hashes(), WINDOW)[win] % many), least)
             a, b = runs(~removed, breaks | np.append(True, least[1:] != least[:-1]))
             if len(a):
                 bucket = (mixed(least[a]) % np.uint64(n_buckets)).astype(np.int32)
@@ -229,28 +269,35 @@ def _cut(whole_text: bool):
     return task
 
 
+def super_kmers(rows: DataFrame, n_buckets: int) -> DataFrame:
+    """(bucket, kind, part) of rows(_id, _key, _text)."""
+    parts = splits(window_counts(rows.select("_text")), n_buckets)  # CELLS numbers, whatever the input
+    return rows.mapInArrow(lean(_send(n_buckets, parts)), "bucket int, kind int, part binary")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), buckets: int | None = None) -> DataFrame:
     """Rows (id, n_words, n_removed, kept_text) for every row of docs; with keep, (id, keep..., text, n_words, ...).
 
     Every word is removed that a window of 13 words covers whose words also
     start in a document with a smaller id; windows are judged on the input.
-    Null texts have no words; a null id is greater than any other. Rows with
-    one id don't count against each other. Other columns of docs are ignored;
-    an empty table gives none.
+    Null texts have no words; a null id is greater than any other. Ids are whole
+    numbers; text that isn't one raises. Rows with one id don't count against
+    each other, and repeated rows get equal results. Other columns of docs are
+    ignored; an empty table gives none. ``buckets`` is the number of buckets; by
+    default it follows the bytes that Spark expects of docs, BUCKET_BYTES each.
     """
     spark = docs.sparkSession
     short_batches(docs.sparkSession)
     order = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
     rows = docs.select(F.col(id_col).alias("_row"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(text_col).alias("_text"))
     n = buckets or buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
-    sent = rows.select("_id", "_key", "_text").mapInArrow(lean(_send(n)), "bucket int, kind int, part binary")
-    marks = sent.repartition(n, "bucket").mapInArrow(lean(_judge), MARKS)
-    marks = marks.groupBy("_id", "_key").agg(F.collect_list(F.struct("s", "e")).alias("_marks"))
+    marks = super_kmers(rows.select("_id", "_key", "_text"), n).repartition(n, "bucket").mapInArrow(lean(_judge), MARKS)
+    marks = marks.groupBy("_id", "_key").agg(F.collect_set(F.struct("s", "e")).alias("_marks"))  # repeated rows send the same marks
     passed = docs.select(F.col(text_col).alias("_text"), order.alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), F.col(id_col).alias("_row"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
     kinds = dict(passed.dtypes)
     own = passed.columns[3:]
     texts = passed.mapInArrow(lean(_squeezed), ", ".join(["_z binary", *(f"{c} {kinds[c]}" for c in passed.columns[1:])]))
-    joined = texts.join(marks.hint("shuffle_hash"), ["_id", "_key"], "left").select("_z", "_marks", *own)
+    joined = texts.join(marks, ["_id", "_key"], "left").select("_z", "_marks", *own)
     out = joined.mapInArrow(lean(_cut(bool(keep))), ", ".join([*(f"{c} {kinds[c]}" for c in own), *(["_text string"] if keep else []), "n_words long", "n_removed long", "kept_text string"]))
     return out.toDF(id_col, *keep, *([text_col] if keep else []), "n_words", "n_removed", "kept_text")
 

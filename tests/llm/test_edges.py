@@ -4,6 +4,7 @@ import re
 import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -148,9 +149,28 @@ def test_substrings_brute_force(spark, monkeypatch, buckets, settle):
     assert got == brute_windows(rows)
 
 
-def test_settle_tells_colliding_hashes_apart(monkeypatch):
-    import pyarrow as pa
+def test_substrings_of_a_word_in_half_of_all_windows(spark):
+    """Its windows are dealt by their own hashes: no bucket is more than twice the median, and the result stays exact."""
+    rng = np.random.default_rng(3)
+    words = np.array([f"long{i}" for i in range(3000)])
+    rank = Words.of(*substrings.text_buffer(pa.array([" ".join(words)]))).hashes()
+    hot = str(words[rank.argmin()])  # the minimiser of every window that has it
+    rows = []
+    for i in range(600):
+        w = rng.choice(words, 120).tolist()
+        w[:60] = [x if k % 9 else hot for k, x in enumerate(w[:60])]
+        if i % 6 == 0:
+            w[10:40] = rows[0][1].split()[10:40] if rows else w[10:40]
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    sent = substrings.super_kmers(df.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_key"), F.col("text").alias("_text")), 16)
+    size = sorted(r[1] for r in sent.filter("kind = 0").groupBy("bucket").agg(F.sum(F.length("part"))).collect())
+    assert len(size) == 16 and size[-1] <= 2 * size[8]
+    got = dict(rows_of(substrings.remove_repeats(df, buckets=16), "doc_id", "kept_text"))
+    assert got == brute_windows(rows)
 
+
+def test_settle_tells_colliding_hashes_apart(monkeypatch):
     texts = [" ".join(f"{p}{i}" for i in range(14)) for p in "abab"]
     words = Words.of(*substrings.text_buffer(pa.array(texts)))
     honest = substrings.settle(words, np.array([4, 3, 2, 1]))
@@ -161,8 +181,6 @@ def test_settle_tells_colliding_hashes_apart(monkeypatch):
 
 
 def test_word_arrays(monkeypatch):
-    import pyarrow as pa
-
     col = pa.array(["a  bé\x0bc", None, "", "  ", "X", "y" * 600_000 + " z"])
     w = Words.of(*substrings.text_buffer(col), lower=True)
     assert w.buf.tobytes().decode().split() == ["a", "bé", "c", "x", "y" * 600_000, "z"]
