@@ -438,6 +438,46 @@ def test_decontamination(spark, docs):
     assert decontaminate.leaks(docs.limit(0), bench, Scratch(spark)).count() == 0
 
 
+def test_decontamination_item_ids(spark):
+    """Null, repeated and string item ids; several blocks in one pass and in passes of their own."""
+    docs = spark.createDataFrame([(1, EN + " and more"), (2, DE), (None, EN)], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, EN), (5, DE), (5, DE), (5, "no such words"), (6, EN)], "item_id long, text string")
+    want = [(1, 6), (1, None), (2, 5), (None, 6), (None, None)]
+    found = lambda b: rows_of(decontaminate.leaks(docs, b, Scratch(spark)), "doc_id", "item_id")
+    assert found(bench) == sorted(want, key=repr)
+    text = bench.withColumn("item_id", F.concat(F.lit("item"), F.col("item_id").cast("string")))
+    assert found(text) == sorted([(d, i and f"item{i}") for d, i in want], key=repr)
+
+
+@pytest.mark.parametrize("bytes", [1, 64 << 20])
+def test_decontamination_blocks(spark, monkeypatch, bytes):
+    monkeypatch.setattr(decontaminate, "ITEMS", 3)
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", bytes)
+    rng = np.random.default_rng(5)
+    say = lambda n: " ".join(rng.choice([f"term{i}" for i in range(900)], n))
+    items = [say(30) for _ in range(10)]
+    docs = spark.createDataFrame([(i, say(50) + " " + x + " " + say(50)) for i, x in enumerate(items)] + [(100 + i, say(120)) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert rows_of(decontaminate.leaks(docs, bench, Scratch(spark)), "doc_id", "item_id") == sorted([(i, i) for i in range(10)], key=repr)
+
+
+def test_latent_space_acts(spark):
+    """Far fewer directions than words, other shares than plain TF-IDF, and other candidates without the space."""
+    path = "/root/testdata/sf0.01"
+    docs, bench = (spark.read.parquet(f"{path}/{t}.parquet") for t in ("documents", "benchmark"))
+    texts, scratch = docs.select("text"), Scratch(spark)
+    df, n = decontaminate.passage_frequency(texts)
+    idf = (1 + np.log((1 + n) / (1 + df))).astype(np.float32)
+    latent = decontaminate.block_index(bench.select("item_id", "text"), decontaminate.sample_of(texts, n, scratch), idf, scratch)
+    words = np.unique(decontaminate.numbers(np.array([w for x in latent.items for w in x.words], np.uint64)))
+    plain = decontaminate.Index(latent.items, idf, words, np.eye(len(words), 1, dtype=np.float32), latent=False)
+    assert latent.rank < 0.2 * len(words) and latent.latent.mean() > 0.9
+    assert np.abs(latent.share - plain.share).max() > 0.1 * np.abs(plain.share).max()
+    cut, h = decontaminate.cut(pa.array([r[0] for r in texts.collect()]))
+    near = [set(zip(*(x.tolist() for x in decontaminate.near_windows(cut, h, ix, decontaminate.COSINE)[1:]))) for ix in (latent, plain)]
+    assert near[0] - near[1] and near[1] - near[0], (len(near[0]), len(near[1]))
+
+
 def test_decontamination_finds_paraphrases_by_the_answer(spark):
     rng = np.random.default_rng(2)
     vocabulary = [f"term{i}" for i in range(4000)]

@@ -91,9 +91,10 @@ def common(a, b):
     return row[-1]
 
 
-def test_op6_recall_against_brute_force(spark):
-    docs, bench = pandas(spark, LARGER, "documents"), pandas(spark, LARGER, "benchmark")
-    got = {(r.doc_id, r.item_id) for r in QUERIES["op6_latent_decontamination"](spark, LARGER).toPandas().itertuples()}
+@pytest.mark.parametrize("sf", [LARGER, "/root/testdata/sf0.1"])
+def test_op6_recall_against_brute_force(spark, sf):
+    docs, bench = pandas(spark, sf, "documents"), pandas(spark, sf, "benchmark")
+    got = {(r.doc_id, r.item_id) for r in QUERIES["op6_latent_decontamination"](spark, sf).toPandas().itertuples()}
     items = {r.item_id: words(r.text) for r in bench.itertuples()}
     index = defaultdict(set)
     for k, w in items.items():
