@@ -40,7 +40,8 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 def short_batches(spark) -> None:
     """Whole texts go to Python workers in batches of BATCH_ROWS at most: Spark's default of 10,000 rows holds
-    tens of MB of texts off the heap in each task."""
+    tens of MB of texts off the heap in each task. Plans read the setting when they run, so it stays lowered
+    for the session; a smaller one of the caller's is left alone."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.llm.common import PIECES, vector_pieces, vector_sum
 
@@ -63,6 +65,21 @@ def idf_of(df: np.ndarray, n: int) -> np.ndarray:
     return (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
 
+def smallest(rows: DataFrame, group: str, draw: Column, sizes: dict, limit: int) -> DataFrame:
+    """Of each group's rows with different draws the ``limit`` with the smallest, one row a draw; sizes: about how many draws a group has.
+
+    A first cut by the expected place of that draw leaves few more than needed,
+    so what is ranked is bounded, whatever the input.
+    """
+    most = (1 << 63) - 1
+    cuts = [(g, -most - 1 + min(2 * most + 1, int((2 * most + 1) * (1.2 * limit + 50) / max(1, n)))) for g, n in sizes.items()]
+    kind = dict(rows.dtypes)[group]
+    cut = rows.sparkSession.createDataFrame(cuts, f"_g {kind}, _cut long")  # one row a group
+    some = rows.withColumn("_draw", draw).join(F.broadcast(cut), F.col(group) == F.col("_g")).filter("_draw <= _cut").dropDuplicates([group, "_draw"])
+    place = F.row_number().over(W.partitionBy(group).orderBy("_draw"))
+    return some.withColumn("_place", place).filter(F.col("_place") <= limit).select(*rows.columns)
+
+
 def collect_sparse(rows: DataFrame, lower: bool, extra=lambda text: np.zeros(0, np.float32)) -> list[tuple]:
     """(label, indices, damped counts, extra(text)) of rows(label, text) in a stable order. For bounded samples only."""
 

@@ -5,8 +5,10 @@ code points, hashed), trained by follow-the-regularised-leader with an
 elastic-net penalty, then calibrated by a temperature on examples kept apart.
 
 Document frequencies cover every training text. The regression itself learns
-from a bounded sample: PER_LANG documents of each language at most (all of
-them where there are fewer), taken by a hash of the id.
+from a bounded sample: PER_LANG different texts of each language at most (all of
+them where there are fewer), those with the smallest hashes. The model has a
+row of weights for each language, so the driver and the tasks hold as many rows
+as there are values of lang.
 """
 
 from __future__ import annotations
@@ -80,25 +82,24 @@ class Model:
         return self.langs[best], float(p[best] / p.sum())
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", per_lang: int = PER_LANG) -> Model:
+def train(docs: DataFrame, text_col="text", lang_col="lang", per_lang: int = PER_LANG) -> Model:
     """Learns from the rows of docs that have a text and a language.
 
     Rows with a null in either are left out; without any row left, the model
-    says ``und`` to everything.
+    says ``und`` to everything. Ids play no part: null and repeated ids learn
+    like others, and a text that comes again counts once a language in the
+    sample. Other columns of docs are ignored.
     """
     short_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
-    sizes = dict(rows.groupBy("_lang").count().collect())  # one row a language
+    rows = docs.select(F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).filter("_text is not null and _lang is not null")
+    draw = F.xxhash64("_text", F.lit("langid"))
+    sizes = dict(rows.groupBy("_lang").agg(F.approx_count_distinct(draw, 0.02)).collect())  # one row a language
     langs = sorted(sizes)
     if not langs:
         return Model([], np.zeros(features.DIM, np.float32), np.zeros((0, features.DIM + 1), np.float32), 1.0)
     df, n = features.document_frequency(rows.select("_text"), lower=True)
     idf = features.idf_of(df, n)
-    draw = F.pmod(F.xxhash64(F.coalesce("_id", F.lit("")), F.lit("langid")), F.lit(1 << 30))
-    limit = F.lit(0).cast("long")
-    for lang, size in sizes.items():
-        limit = F.when(F.col("_lang") == lang, F.lit(min(1 << 30, int((1 << 30) * per_lang / size) + 1))).otherwise(limit)
-    sample = features.collect_sparse(rows.filter(draw < limit).select("_lang", "_text"), lower=True)
+    sample = features.collect_sparse(features.smallest(rows, "_lang", draw, sizes, per_lang).select("_lang", "_text"), lower=True)
     order = np.random.default_rng(11).permutation(len(sample))
     number = {x: i for i, x in enumerate(langs)}
     examples = [(number[sample[i][0]], sample[i][1], features.weighted(sample[i][1], sample[i][2], idf)) for i in order]
@@ -116,7 +117,9 @@ def identify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", ke
     """Rows (id, lang_pred, score) for every row of docs; with keep, rows (keep..., text, lang_pred, score).
 
     Null texts and texts without a letter get ``und`` and score 0; long texts
-    count whole. Repeated rows repeat, other columns of docs are ignored.
+    count whole. Of languages of equal score the first in order is told.
+    Repeated rows repeat, null ids stay null, other columns of docs are ignored;
+    an empty table gives none.
     """
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # languages x DIM weights, whatever the input

@@ -12,7 +12,8 @@ table of the sources; nothing but the largest error reaches the driver.
 Rates become whole copies: for each source the sizes are walked from the
 largest down and each size's number of copies takes up the words that rounding
 has left so far. Within a size, documents get their copies in the order of a
-hash of their id, ranked in SALTS parts so that no task holds a large group.
+hash of their id and text, ranked in parts of the whole mix whose number grows
+with the table, one for each PART rows, so that no task holds a large group.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from graphloom.plans.scratch import Scratch
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Words of the mix as a share of all words; most that a document or source is taken.
 SHARE, CAP = 1.5, 2.0
-SALTS, STEPS, TOLERANCE = 64, 60, 1e-7
+PART, SALTS, STEPS, TOLERANCE = 100_000, 64, 60, 1e-7
 
 
 def size_of(text: Column) -> Column:
@@ -116,13 +117,14 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     """Rows (id, keep..., size, source_size, target, rate, copies, taken) for every row of docs.
 
     Null texts have size 0; documents of size 0 are taken once. A null source
-    is a source of its own. Repeated rows may get different numbers of copies;
-    which of them is left open, all else agrees between runs. Other columns of
-    docs are ignored; an empty table gives none.
+    is a source of its own, null ids are told apart by their texts. Repeated rows
+    may get different numbers of copies; which of them is left open, all else
+    agrees between runs. Other columns of docs are ignored; an empty table gives
+    none.
     """
-    own = docs.select(F.col(id_col).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(source_col).cast("string").alias("_src"), source_key(F.col(source_col)).alias("key"), size_of(F.col(text_col)).alias("size"))
-    salt = F.pmod(F.xxhash64(F.col("_id"), F.lit("mix")), F.lit(SALTS)).cast("int")
-    own = own.withColumn("salt", salt)
+    own = docs.select(F.col(id_col).alias("_id"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)], F.col(source_col).cast("string").alias("_src"), source_key(F.col(source_col)).alias("key"), size_of(F.col(text_col)).alias("size"), F.xxhash64(id_col, text_col).alias("hash"))
+    salts = max(SALTS, -(-docs.count() // PART))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("hash", F.lit("mix")), F.lit(salts)))
     parts = scratch.save(own.groupBy("key", "size", "salt").agg(F.min("_src").alias("source"), F.count("*").alias("c")))
     hist = scratch.save(parts.groupBy("key", "size").agg(F.min("source").alias("source"), F.sum("c").alias("c")))
     goal = targets(hist.groupBy("key").agg(F.min("source").alias("source"), F.sum(F.col("c") * F.col("size")).alias("source_size")), weights, share, cap)
@@ -134,7 +136,7 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
     before = F.coalesce(F.sum("c").over(W.partitionBy("key", "size").orderBy("salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     plan = parts.select("key", "size", "salt", before.alias("before")).join(cells.select("key", "size", F.col("c").alias("n"), "rate", "k"), ["key", "size"])
     plan = scratch.save(plan.join(goal.select("key", "source_size", "target"), "key"))
-    ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy(F.xxhash64("_id"), "_id")))
+    ranked = own.withColumn("rank", F.row_number().over(W.partitionBy("key", "size", "salt").orderBy("hash", "_id")))
     got = ranked.join(plan, ["key", "size", "salt"])
     copies = F.floor(F.col("k") / F.col("n")) + (F.col("before") + F.col("rank") <= F.pmod(F.col("k"), F.col("n"))).cast("long")
     got = got.withColumn("copies", copies)

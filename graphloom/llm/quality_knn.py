@@ -6,8 +6,8 @@ two shares of repetition that damped counts hide. The labelled vectors are broad
 them are computed in blocks, exactly, and its K nearest vote with their labels
 weighted by similarity.
 
-The labelled sample is bounded: PER_LABEL documents of each label at most, by
-a hash of the id. Document frequencies cover every text.
+The labelled sample is bounded: PER_LABEL different texts of each label at most,
+by a hash of id and text. Document frequencies cover every text.
 """
 
 from __future__ import annotations
@@ -64,10 +64,12 @@ class Model:
         v = self.embed(texts)
         cos = v @ self.vectors.T
         k = min(K, cos.shape[1])
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        w = np.maximum(np.take_along_axis(cos, near, 1), 0).astype(np.float64) ** POWER
+        # neighbours as near as the K-th, to six digits, vote with it
+        cos = np.round(cos, 6)
+        least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+        w = np.where(cos >= least, np.maximum(cos, 0), 0).astype(np.float64) ** POWER
         total = w.sum(1)
-        vote = (w * self.labels[near]).sum(1)
+        vote = w @ self.labels
         # one neighbour's worth of the prior keeps scores inside (0, 1)
         return np.where(total > 0, (vote + self.prior) / (total + 1), self.prior)
 
@@ -78,20 +80,23 @@ def unit(v: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="quality", per_label: int = PER_LABEL) -> Model:
-    """labels(id, label) with labels 0 and 1; others and nulls are left out. A document marked twice counts twice."""
+    """labels(id, label) with labels 0 and 1; others and nulls are left out.
+
+    A document marked twice alike counts once, marked both ways once for each.
+    Of rows of docs with one id each different text counts.
+    """
     short_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     marks = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_id is not null and _y in (0, 1)")
-    sizes = dict(marks.groupBy("_y").count().collect())  # two rows at most
+    draw = F.xxhash64(F.col("_id").cast("string"), F.lit("quality"))
+    sizes = dict(marks.groupBy("_y").agg(F.approx_count_distinct(draw, 0.02)).collect())  # two rows at most
     df, n = features.document_frequency(texts.select("_text"), lower=False)
     idf = features.idf_of(df, n)
-    draw = F.pmod(F.xxhash64(F.col("_id").cast("string"), F.lit("quality")), F.lit(1 << 30))
-    limit = F.lit(0).cast("long")
-    for y, size in sizes.items():
-        limit = F.when(F.col("_y") == y, F.lit(min(1 << 30, int((1 << 30) * per_label / size) + 1))).otherwise(limit)
-    # PER_LABEL ids of each label: bounded whatever the input, so they can be broadcast
-    sample = F.broadcast(marks.filter(draw < limit))
-    rows = features.collect_sparse(texts.join(sample, "_id").select("_y", "_text"), lower=False, extra=repetition)
+    # PER_LABEL ids of each label at most, so they can be broadcast; then as many different texts of theirs
+    sample = F.broadcast(features.smallest(marks, "_y", draw, sizes, per_label))
+    found = texts.join(sample, "_id").filter("_text is not null")
+    found = features.smallest(found, "_y", F.xxhash64("_text", F.lit("quality")), {y: 1 for y in sizes}, per_label)
+    rows = features.collect_sparse(found.select("_y", "_text"), lower=False, extra=repetition)
     x = [(at, features.weighted(at, tf, idf)) for _, at, tf, _ in rows]
     y = np.array([r[0] for r in rows], np.float64)
     prior = float((y.sum() + 1) / (len(y) + 2))
@@ -104,8 +109,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
 def classify(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """Rows (id, score, predicted) for every row of docs.
 
-    Null and empty texts get the prior; long texts count whole. Repeated rows
-    repeat, other columns of docs are ignored.
+    Null and empty texts get the prior; long texts count whole. Neighbours that
+    tie with the K-th vote too. Repeated rows repeat and get equal scores, null
+    ids stay null, other columns of docs are ignored; an empty table gives none.
     """
     short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIM x RANK and 2 x PER_LABEL x RANK numbers

@@ -2,11 +2,13 @@
 
 Metrics come from one projection of the text. Each rule rejects a document
 when its metric lies beyond a cutoff. For every stratum and rule the cutoffs
-of a grid are tested on labelled good documents: a cutoff is certified when
-the exact binomial test (the Clopper-Pearson bound) shows that it rejects less
-than ALPHA of the good ones, at a level corrected for all strata, rules and
-cutoffs (Bonferroni). The certified cutoff that rejects most is applied; where
-none is certified a rule rejects nothing.
+of a grid are tested on labelled good documents in a fixed sequence, from the
+mildest to the strictest: a cutoff is certified when the exact binomial test
+(the Clopper-Pearson bound) shows that it, and all milder ones, reject less than
+ALPHA of the good ones. Testing stops at the first failure, so one level serves
+a whole sequence; it is corrected for all strata and rules (Bonferroni). The
+strictest certified cutoff is applied; where none is certified a rule rejects
+nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from graphloom.plans.scratch import Scratch
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW = 10, 5
 #: False rejections allowed to each rule, and the error level shared by all tests.
-ALPHA, DELTA = 0.005, 0.05
+ALPHA, DELTA = 0.02, 0.05
 #: rule -> (metric, cutoffs from the mildest to the strictest); a document fails when metric > cutoff.
 RULES = {
     "symbols": ("n_symbols / n_words", (1.0, 0.8, 0.6, 0.4, 0.3, 0.2, 0.1, 0.05)),
@@ -92,9 +94,10 @@ def certified(good: DataFrame, rules: dict = RULES, alpha: float = ALPHA, delta:
     fails = lambda r, c: F.expr(f"try_divide(cast({rules[r][0].split(' / ')[0]} as double), {rules[r][0].split(' / ')[1]})") > c
     counts = good.groupBy("stratum").agg(F.count("*").alias("n"), *[F.count_if(fails(r, c)).alias(f"k{i}") for i, (r, c) in enumerate(tests)])
     strata = counts.agg(F.count("*")).first()[0]
-    level = F.log(F.lit(delta / max(1, strata * len(tests))))
+    level = F.log(F.lit(delta / max(1, strata * len(rules))))
     # k beyond n * alpha can't pass; its sum is not needed
     passes = lambda i: F.when(F.col(f"k{i}") <= alpha * F.col("n"), log_binomial_cdf(F.col(f"k{i}"), F.col("n"), alpha) <= level).otherwise(False)
+    # a stricter cutoff rejects what a milder one does and more, so one that passes has all milder ones passed
     pick = {r: F.least(*[F.when(passes(i), F.lit(c)) for i, (q, c) in enumerate(tests) if q == r]) for r in rules}
     return counts.select("stratum", *[v.alias(f"cut_{r}") for r, v in pick.items()])
 
@@ -104,7 +107,9 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, stratum: str = "
 
     labels(doc_id, quality): documents marked 1 are the good ones; a document
     marked more than once counts if all its marks are 1. Strata come from the
-    column ``stratum`` (null is a stratum). Other columns of docs are ignored.
+    column ``stratum`` (null is a stratum). Null and empty texts fail the base;
+    null ids are judged like others, repeated rows alike. Other columns of docs
+    are ignored; an empty table gives none.
     """
     name = F.coalesce(F.col(stratum), F.lit("\x00"))
     # narrow, written once: the texts are read and cut a single time
@@ -112,16 +117,11 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, stratum: str = "
     good_ids = labels.filter("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).filter("_q = 1").select("doc_id")
     good = df.join(good_ids, "doc_id", "left_semi").filter(~base_failed()).withColumn("stratum", F.col("_stratum"))
     cuts = certified(good, rules).withColumnRenamed("stratum", "_s")
-    # a row a stratum reaches the driver and comes back as literals: the cutoffs are the model
-    model = cuts.collect()
+    df = df.join(scratch.save(cuts), F.col("_stratum") == F.col("_s"), "left")  # one row a stratum
     failed = F.lit(False)
     for r, (metric, _) in rules.items():
         a, b = metric.split(" / ")
-        cut = F.lit(None).cast("double")
-        for row in model:
-            if row[f"cut_{r}"] is not None:
-                cut = F.when(F.col("_stratum") == row["_s"], F.lit(row[f"cut_{r}"])).otherwise(cut)
-        failed = failed | F.coalesce(F.expr(f"try_divide(cast({a} as double), {b})") > cut, F.lit(False))
+        failed = failed | F.coalesce(F.expr(f"try_divide(cast({a} as double), {b})") > F.col(f"cut_{r}"), F.lit(False))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & ~failed).alias("kept"))
 
 
@@ -130,7 +130,6 @@ def oracle() -> str:
     cls = r"[^\x20\x09-\x0D]"
     tests = ", ".join(f"('{r}', {c})" for r, (_, cuts) in RULES.items() for c in cuts)
     value = "CASE rule " + " ".join(f"WHEN '{r}' THEN {m.replace(' / ', ' / nullif(')}, 0)" for r, (m, _) in RULES.items()) + " END"
-    n_tests = sum(len(cuts) for _, cuts in RULES.values())
     return f"""
 WITH d AS (SELECT row_number() OVER () rid, doc_id, coalesce(lang, chr(1)) lang, coalesce(text, '') t FROM documents),
 w AS (SELECT rid, doc_id, lang, t, regexp_extract_all(t, '{cls}+') ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{cls}')) ls FROM d),
@@ -144,6 +143,6 @@ tests(rule, cut) AS (VALUES {tests}),
 good AS (SELECT b.* FROM b SEMI JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) q USING (doc_id) WHERE NOT base_failed),
 k AS (SELECT lang, rule, cut, count(*) n, count(*) FILTER (WHERE {value} > cut) k FROM good, tests GROUP BY ALL),
 p AS (SELECT *, list_transform(range(0, k + 1), lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA}) + (n - i) * ln(1 - {ALPHA})) lp FROM k),
-cuts AS (SELECT lang, rule, min(cut) cut FROM p WHERE k <= {ALPHA} * n AND list_max(lp) + ln(list_sum(list_transform(lp, lambda x: exp(x - list_max(lp))))) <= ln({DELTA} / ((SELECT count(DISTINCT lang) FROM good) * {n_tests})) GROUP BY lang, rule),
+cuts AS (SELECT lang, rule, min(cut) cut FROM p WHERE k <= {ALPHA} * n AND list_max(lp) + ln(list_sum(list_transform(lp, lambda x: exp(x - list_max(lp))))) <= ln({DELTA} / ((SELECT count(DISTINCT lang) FROM good) * {len(RULES)})) GROUP BY lang, rule),
 bad AS (SELECT DISTINCT b.doc_id FROM b JOIN cuts USING (lang) WHERE {value} > cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM b"""

@@ -115,7 +115,7 @@ def _from_planes(raw: np.ndarray) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view(np.uint32).ravel(), dtype=np.uint32)
 
 
-_DOCS = (np.int64, np.uint64, np.int64, np.int64, np.int64)  # ids, digests, sizes, shingles known to be shared, own set
+_DOCS = (np.int64, np.int64, np.uint64, np.int64, np.int64, np.int64)  # ids, hashes of texts, digests, sizes, shingles known to be shared, own set
 _ASK = (np.uint8, np.uint32, np.uint8)  # shingles with an asker, their askers, shingles held twice here
 
 
@@ -165,7 +165,7 @@ def _deal(n_buckets: int):
             bucket, low = ((ask >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), ask.astype(np.uint32)
             by = np.lexsort((low, bucket))
             bucket, low, told, asker = bucket[by], low[by], told[by], asker[by]
-            rows = [(chunk, chunk % n_buckets, 0, _pack(ids, d.ravel(), size, known[cls].astype(np.int64), cls.astype(np.int64)))]
+            rows = [(chunk, chunk % n_buckets, 0, _pack(ids, np.asarray(batch.column(2)), d.ravel(), size, known[cls].astype(np.int64), cls.astype(np.int64)))]
             for i, j in _slices(bucket):
                 held = told[i:j]
                 rows.append((chunk, int(bucket[i]), 1, _pack(_planes(low[i:j][~held]), asker[i:j][~held], _planes(low[i:j][held]))))
@@ -257,7 +257,7 @@ def _counts(parts, n: int) -> np.ndarray:
 
 
 def _sum_up(batches):
-    """Rows (_id, sid, n, may): may is whether a document's set shares enough shingles to link. All rows of a chunk are here."""
+    """Rows (_id, _key, sid, n, may): may is whether a document's set shares enough shingles to link. All rows of a chunk are here."""
     docs, counts = {}, {}
     for batch in batches:
         for chunk, kind, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
@@ -266,9 +266,9 @@ def _sum_up(batches):
             else:
                 docs[chunk] = part
     for chunk, part in docs.items():
-        ids, d, size, known, cls = _unpack(part, _DOCS)
+        ids, keys, d, size, known, cls = _unpack(part, _DOCS)
         got = _counts(counts.get(chunk, ()), int(cls.max(initial=-1)) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), _binary(d), pa.array(size), pa.array((size > 0) & (known + got[cls] >= required(size)))], names=["_id", "sid", "n", "may"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys), _binary(d), pa.array(size), pa.array((size > 0) & (known + got[cls] >= required(size)))], names=["_id", "_key", "sid", "n", "may"])
 
 
 def _whole(batches):
@@ -637,7 +637,7 @@ def link_sets(sets: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFram
     return links.union(rest[0]).union(rest[1])
 
 
-def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
+def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, groups: bool = False) -> DataFrame:
     """Rows (id, n_shingles, component_id) for every row of docs.
 
     Texts are lower-cased (A-Z) and cut into words. Two rows link when their
@@ -645,7 +645,11 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     smallest id that links reach. Null texts and texts without words have empty
     sets and link with nothing. Rows of one id with equal sets are one class; a
     null id counts as the greatest and comes back as null. Other columns of
-    docs are ignored; an empty table gives none.
+    docs are ignored; an empty table gives none. Ids are whole numbers; text that
+    isn't one raises. With ``groups`` the rows are (_id, _key, n, group) instead:
+    the id with null as 2^63 - 1, xxhash64 of the text, the size of its set and a
+    name of its component, null without words; components of texts of one id stay
+    apart.
 
     Shingles are told apart by 64-bit hashes, sets by 128-bit digests. ``buckets``
     is the number of buckets of shingles; by default it follows the bytes that
@@ -654,11 +658,11 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     spark = docs.sparkSession
     short_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(2**63 - 1))
-    rows = docs.select(key.alias("_id"), F.col(text_col).alias("_text"))
+    rows = docs.select(key.alias("_id"), F.col(text_col).alias("_text"), F.xxhash64(text_col).alias("_key"))
     n = buckets or buckets_for(docs.select(id_col, text_col), BUCKET_BYTES, n_partitions(spark))
     dealt = rows.mapInArrow(lean(_deal(n)), DEALT)
     answers = dealt.repartition(n, "bucket").mapInArrow(lean(_answer), "chunk long, kind int, part binary")
-    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(lean(_sum_up), "_id long, sid binary, n long, may boolean"))
+    per_doc = scratch.save(answers.repartition(n, "chunk").mapInArrow(lean(_sum_up), "_id long, _key long, sid binary, n long, may boolean"))
 
     classes = per_doc.filter("n > 0").groupBy("sid").agg(F.min("_id").alias("rep"), F.count("*").alias("m"), F.max("may").alias("may"))
     classes = scratch.save(classes.filter("m > 1 or may"))
@@ -671,6 +675,9 @@ def components(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     least = reps.groupBy("label").agg(F.min("rep").alias("component_id"))
     # documents without words, and those that link with nothing, need no class
     of_class = reps.join(least, "label").filter("m > 1 or rep <> component_id").select("sid", "component_id")
+    if groups:
+        label = reps.select("sid", F.col("label").alias("_label"))
+        return per_doc.join(label, "sid", "left").select("_id", "_key", "n", F.when(F.col("n") > 0, F.coalesce("_label", "sid")).alias("group"))
     worded = per_doc.filter("n > 0").join(of_class, "sid", "left").select("_id", "n", "component_id")
     out = worded.union(per_doc.filter("n = 0").select("_id", "n", F.lit(None).cast("long")))
     null = F.lit(2**63 - 1)

@@ -10,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from graphloom.llm import chat, decontaminate, langid, licenses, mixing, quality_knn, quality_rules, setjoin, substrings, urls
+from graphloom.llm import chat, decontaminate, features, langid, licenses, mixing, quality_knn, quality_rules, setjoin, substrings, urls
 from graphloom.llm.wordarrays import Words, rolled_min, same_bytes
 from graphloom.plans.scratch import Scratch
 
@@ -52,6 +52,70 @@ def test_quality(spark, docs):
     assert quality_knn.classify(docs.limit(0), model).count() == 0
 
 
+def test_samples_stay_bounded_and_learn(spark):
+    """Null ids, one id for all, and one text for most rows: the sample keeps its bound and both languages are learnt."""
+    schema = "doc_id long, text string, lang string"
+    sizes = lambda rows: dict(rows.groupBy("lang").count().collect())
+    for ids in (None, 7):
+        rows = [(ids, f"{EN} number {i}", "en") for i in range(300)] + [(ids, f"{DE} nummer {i}", "de") for i in range(300)] + [(ids, EN, "en")] * 2000
+        df = spark.createDataFrame(rows, schema)
+        draw = F.xxhash64("text")
+        few = features.smallest(df, "lang", draw, {"en": 301, "de": 300}, 40)
+        assert sizes(few) == {"en": 40, "de": 40} and few.distinct().count() == 80
+        model = langid.train(df, per_lang=40)
+        assert [model.predict(t)[0] for t in (EN, DE)] == ["en", "de"]
+    marks = spark.createDataFrame([(7, 1), (7, 1), (8, 0), (None, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame([(7, f"{EN} {i}") for i in range(200)] + [(8, DE)] * 50, "doc_id long, text string")
+    model = quality_knn.train(docs, marks, per_label=30)
+    assert len(model.vectors) == 31 and model.labels.sum() == 30
+
+
+def test_ftrl_against_a_dense_version():
+    """The sparse learner gives the weights of a plain one over dense vectors, coordinate by coordinate."""
+    rng = np.random.default_rng(4)
+    dim, classes = 30, 3
+    rows = [(np.sort(rng.choice(dim, 6, replace=False)), rng.random(6), int(rng.integers(0, classes))) for _ in range(120)]
+    l1 = 0.4
+    model = langid.Ftrl(classes, dim, l1=l1)
+    z, n = np.zeros((classes, dim + 1)), np.zeros((classes, dim + 1))
+    for at, x, y in rows:
+        model.learn(at, x, y)
+        dense = np.zeros(dim + 1)
+        dense[at], dense[dim] = x, 1.0
+        w = np.zeros_like(z)
+        for c in range(classes):
+            for k in range(dim + 1):
+                if abs(z[c, k]) > l1:
+                    w[c, k] = -(z[c, k] - np.sign(z[c, k]) * l1) / ((langid.BETA + np.sqrt(n[c, k])) / langid.ALPHA + langid.L2)
+        p = np.exp(w @ dense)
+        p /= p.sum()
+        for c in range(classes):
+            g = (p[c] - (c == y)) * dense
+            z[c] += g - (np.sqrt(n[c] + g * g) - np.sqrt(n[c])) / langid.ALPHA * w[c]
+            n[c] += g * g
+    assert np.allclose(model.z, z) and np.allclose(model.n, n) and (model.weights() == 0).any()
+
+
+def test_votes_against_all_pairs(spark):
+    """Scores are those of a plain loop over all labelled vectors, ties with the K-th included."""
+    rng = np.random.default_rng(5)
+    say = lambda good: " ".join(rng.choice(["fine", "clear", "prose", "text", "words"] if good else ["spam", "click", "buy", "now", "words"], 8))
+    rows = [(i, say(i % 2)) for i in range(160)] + [(1000 + i, rows_text) for i, rows_text in enumerate([say(1)] * 5 + ["", None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality_knn.train(df, marks)
+    got = {r[0]: r[1] for r in quality_knn.classify(df, model).select("doc_id", "score").collect()}
+    for i, t in rows:
+        (v,) = model.embed([t or ""])
+        cos = [round(float(np.float32(sum(a * b for a, b in zip(v.tolist(), x.tolist())))), 6) for x in model.vectors]
+        least = sorted(cos, reverse=True)[min(quality_knn.K, len(cos)) - 1]
+        near = [(max(c, 0) ** quality_knn.POWER, y) for c, y in zip(cos, model.labels) if c >= least - 2e-6]
+        total = sum(w for w, _ in near)
+        want = (sum(w * y for w, y in near) + model.prior) / (total + 1) if total else model.prior
+        assert got[i] == pytest.approx(want, abs=0.05)
+    assert len({got[1000 + i] for i in range(5)}) == 1
+
+
 def test_mixing(spark, docs):
     got = mixing.mix(docs, Scratch(spark), keep=("text", "label")).toPandas()
     assert len(got) == docs.count() and (got.taken <= 2 * got["size"]).all() and (got.copies[got["size"] == 0] == 1).all()
@@ -551,8 +615,7 @@ def test_rules_of_strata_on_both_sides_of_the_least_label_count(spark, tmp_path)
 
     from tests.oracle import agree
 
-    tests = sum(len(cuts) for _, cuts in quality_rules.RULES.values())
-    least = ceil(log(quality_rules.DELTA / (2 * tests)) / log(1 - quality_rules.ALPHA))
+    least = ceil(log(quality_rules.DELTA / (2 * len(quality_rules.RULES))) / log(1 - quality_rules.ALPHA))
     rows, labels = [], []
     for lang, n in (("aa", least), ("bb", least - 1)):
         for i in range(n):

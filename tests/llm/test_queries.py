@@ -25,6 +25,14 @@ def pandas(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet").toPandas()
 
 
+def test_op8_certified_cutoffs_against_sql(spark):
+    """On sf0.1 every language certifies cutoffs and rejects by them, as the SQL does."""
+    sf = "/root/testdata/sf0.1"
+    agree(QUERIES["op8_quality_rules"], ORACLES["op8_quality_rules"], spark, sf)
+    got = QUERIES["op8_quality_rules"](spark, sf).toPandas().merge(pandas(spark, sf, "documents")[["doc_id", "lang"]], on="doc_id")
+    assert (got[~got.base_failed & ~got.kept].groupby("lang").size() > 0).sum() == got.lang.nunique()
+
+
 def test_op1_held_out_accuracy(spark):
     got = QUERIES["op1_langid_ftrl"](spark, LARGER).toPandas().merge(pandas(spark, LARGER, "documents"), on="doc_id")
     assert len(got) == 1000 and got.score.between(0, 1).all()
@@ -146,5 +154,8 @@ def test_pipeline(spark):
     assert rows.groupby("doc_id").size().max() <= 2 and 0 < rows.doc_id.nunique() <= docs.count()
     leaked = QUERIES["op6_latent_decontamination"](spark, SF).select("doc_id").distinct().toPandas().doc_id
     assert not set(rows.doc_id) & set(leaked)
+    again = p.run(spark, SF).toPandas()
+    order = ["doc_id", "copy"]
+    assert rows.sort_values(order).values.tolist() == again.sort_values(order).values.tolist()
     comp = QUERIES["op7_prefix_tree_join"](spark, SF).filter("doc_id <> component_id and n_shingles > 0").toPandas().doc_id
     assert not set(rows.doc_id) & set(comp)
