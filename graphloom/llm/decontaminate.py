@@ -44,7 +44,7 @@ ITEMS = 256
 #: Bytes of items in latent space that one pass over the corpus broadcasts.
 PASS_BYTES = 64 << 20
 #: Cosine from which a passage is verified.
-COSINE = 0.15
+COSINE = 0.2
 #: Share of an item's words, in order, that is a leak; with the answer nearby; words of the answer.
 LEAK, LEAK_WITH_ANSWER, ANSWER = 0.7, 0.5, 6
 #: An item of fewer words must be found word by word.
