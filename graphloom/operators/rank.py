@@ -27,12 +27,18 @@ def _shares(edges: DataFrame, weight: str | None) -> DataFrame:
     return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
 
 
+def stored(graph: Graph, scratch: Scratch, *columns: str) -> Graph:
+    """The graph with its edges written once: degrees, vertices and shares then read them instead of making them again."""
+    return Graph(scratch.save(graph.edges.select("src", "dst", *columns)), graph._given)
+
+
 def pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3, weight: str | None = None) -> DataFrame:
     """(id, rank): rank 1 at first, then RESET + DAMPING * (sum of in-neighbours' shares), not normalised.
 
     With weight, an edge carries weight / (its source's sum of weights);
     weights may not be null.
     """
+    graph = stored(graph, scratch, *([weight] if weight else []))
     e = Dealt(_shares(graph.edges, weight), "src", scratch)
     ids = scratch.save(graph.vertices.select("id"))
 
@@ -47,6 +53,7 @@ def pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3, weight: str | None
 
 def gas_pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3) -> DataFrame:
     """The same by gather, apply and scatter."""
+    graph = stored(graph, scratch)
     out = graph.degrees().select("id", "out_degree")
     state = out.select("id", F.lit(1.0).alias("rank"), F.try_divide(F.lit(1.0), F.col("out_degree")).alias("sent"), "out_degree")
     program = Gather(
@@ -63,7 +70,8 @@ def topic_pagerank(graph: Graph, seeds: DataFrame, scratch: Scratch, sweeps: int
     in-neighbours) / out-degree; the others keep RESET on their seeds. The
     result is multiplied by the out-degree again.
     """
-    e = Dealt(graph.edges.select("src", "dst"), "src", scratch)
+    graph = stored(graph, scratch)
+    e = Dealt(graph.edges, "src", scratch)
     out = scratch.save(graph.degrees().filter("out_degree > 0").select("id", "out_degree"))
     seed = scratch.save(seeds.select("id", "topic").distinct())
     own = seed.join(out, "id").select("id", "topic", (F.lit(RESET) / F.col("out_degree")).alias("base"))
@@ -95,7 +103,8 @@ def weighted_topic_pagerank(graph: Graph, weights: DataFrame, scratch: Scratch,
     out-neighbours), undivided where that sum is 0; divided values are
     multiplied back at the end. Only vertices with out-edges are updated.
     """
-    e = Dealt(graph.edges.select("src", "dst"), "src", scratch)
+    graph = stored(graph, scratch)
+    e = Dealt(graph.edges, "src", scratch)
     w = scratch.save(weights.filter("weight <> 0"))
     live = scratch.save(graph.edges.select(F.col("src").alias("id")).distinct())
     out = graph.edges.join(w, graph.edges["dst"] == w["id"]).groupBy(F.col("src").alias("id"), "topic").agg(F.sum("weight").alias("out"))
@@ -118,11 +127,12 @@ def hits(edges: DataFrame, scratch: Scratch, iterations: int = 8, total: DataFra
     edges(src, dst, value): left to right; the first right pass reads value.
     total(id, total) overrides the in-degree of right vertices as list length.
     Even passes update the right side, odd ones the left; two numbers (the
-    norms) reach the driver.
+    norms) reach the driver. The edges are dealt by either side once and kept.
     """
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).persist()
+    e = scratch.save(edges.select("src", "dst", F.col("value").cast("double").alias("value")))
+    by_src, by_dst = (Dealt(e.select("src", "dst"), k, scratch) for k in ("src", "dst"))
     right = e.groupBy("dst").agg(F.count("*").alias("deg"))
     if total is not None:
         right = right.join(total.select(F.col("id").alias("dst"), "total"), "dst", "left")
@@ -133,14 +143,15 @@ def hits(edges: DataFrame, scratch: Scratch, iterations: int = 8, total: DataFra
     left_norm, right_norm, a, h = 1.0, 1.0, None, None
     for t in range(iterations):
         if t % 2 == 0:
-            sent = e.withColumn("x", F.col("value")) if a is None else e.join(a, "src").withColumn("x", F.col("a"))
+            sent = e.withColumn("x", F.col("value")) if a is None else by_src.join(a).withColumn("x", F.col("a"))
             got = sent.groupBy("dst").agg(F.sum(F.col("x") / left_norm).alias("s"))
             h = scratch.save(got.join(right, "dst").select("dst", (F.col("s") * F.col("scale")).alias("h")))
             right_norm = h.agg(F.sqrt(F.sum(F.col("h") * F.col("h")))).first()[0] or 1.0
         else:
-            a = scratch.save(e.join(h, "dst").groupBy("src").agg(F.sum(F.col("h") / right_norm).alias("a")))
+            a = scratch.save(by_dst.join(h).groupBy("src").agg(F.sum(F.col("h") / right_norm).alias("a")))
             left_norm = a.agg(F.sqrt(F.sum(F.col("a") * F.col("a")))).first()[0] or 1.0
-    e.unpersist()
+    by_src.close()
+    by_dst.close()
     return a.select(F.col("src").alias("id"), (F.col("a") / left_norm).alias("score")).filter("score > 0")
 
 
@@ -148,15 +159,17 @@ def salsa(edges: DataFrame, scratch: Scratch, iterations: int = 8) -> DataFrame:
     """(id, score) of the left side by SALSA: values are divided by the degree of the side that sends them."""
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = edges.select("src", "dst", F.col("value").cast("double").alias("value")).persist()
+    e = scratch.save(edges.select("src", "dst", F.col("value").cast("double").alias("value")))
+    by_src, by_dst = (Dealt(e.select("src", "dst"), k, scratch) for k in ("src", "dst"))
     out = scratch.save(e.groupBy("src").agg(F.count("*").alias("out")))
     a = h = None
     for t in range(iterations):
         if t % 2 == 0:
-            sent = e.withColumn("x", F.col("value")) if a is None else e.join(a.join(out, "src").select("src", (F.col("a") / F.col("out")).alias("x")), "src")
+            sent = e.withColumn("x", F.col("value")) if a is None else by_src.join(a.join(out, "src").select("src", (F.col("a") / F.col("out")).alias("x")))
             # the right side sends its sum over its degree
             h = scratch.save(sent.groupBy("dst").agg((F.sum("x") / F.count("*")).alias("h")))
         else:
-            a = scratch.save(e.join(h, "dst").groupBy("src").agg(F.sum("h").alias("a")))
-    e.unpersist()
+            a = scratch.save(by_dst.join(h).groupBy("src").agg(F.sum("h").alias("a")))
+    by_src.close()
+    by_dst.close()
     return a.select(F.col("src").alias("id"), F.col("a").alias("score")).filter("score > 0")

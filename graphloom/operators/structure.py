@@ -20,6 +20,7 @@ def connected_components(graph: Graph, scratch: Scratch) -> DataFrame:
 
 def propagate_labels(graph: Graph, scratch: Scratch, iterations: int = 5) -> DataFrame:
     """(id, component) after so many rounds of taking the least label around: may stop before the fixpoint."""
+    graph = Graph(scratch.save(graph.edges.select("src", "dst")), graph._given)
     both = Dealt(graph.undirected().edges.select("src", "dst"), "src", scratch)
     labels = graph.vertices.select("id", F.col("id").alias("component"))
     for _ in range(iterations):
@@ -35,7 +36,7 @@ def kcore(graph: Graph, scratch: Scratch, max_sweeps: int = 1000) -> DataFrame:
     The h-index comes from counts by estimate, capped at the vertex's own, so a
     hub's window holds one row a distinct estimate and not one a neighbour.
     """
-    e = Dealt(graph.edges.select("src", "dst"), "dst", scratch)
+    e = Dealt(scratch.save(graph.edges.select("src", "dst")), "dst", scratch)
     est = scratch.save(e.rows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("est")))
     down = W.partitionBy("id").orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
     low = est.agg(F.sum("est")).first()[0]

@@ -7,6 +7,8 @@ neither the executors that wrote it nor the plan that made it.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,13 +18,17 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a temporary one only where none is set."""
+    """The session's checkpoint folder; where none is set, a temporary one of this process if all runs in it, else an error."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
-        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="graphloom-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="graphloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _OWN[app] = "file://" + own
     return _OWN[app]
 
 
@@ -31,7 +37,7 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 class Scratch:
-    """Writes intermediate tables; ``drop`` deletes those no plan needs any more."""
+    """Writes intermediate tables; ``drop`` deletes those no plan needs any more, ``close`` all of them once results are written."""
 
     def __init__(self, spark: SparkSession, name: str = "t"):
         self.spark = spark
@@ -56,3 +62,8 @@ class Scratch:
             if path:
                 p = jvm.org.apache.hadoop.fs.Path(path)
                 p.getFileSystem(conf).delete(p, True)
+
+    def close(self) -> None:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.base)
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self._paths.clear()

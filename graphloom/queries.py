@@ -42,6 +42,11 @@ def long(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("long") for c in cols})
 
 
+def saved(g: Graph) -> Graph:
+    """A graph that a query reads more than once, written once."""
+    return Graph(Scratch(g.edges.sparkSession, "graph").save(g.edges), g._given)
+
+
 # --- structure of the graph -----------------------------------------------------------------------------------------
 
 DEG = "SELECT id, CAST(sum(i) AS BIGINT) in_degree, CAST(sum(o) AS BIGINT) out_degree FROM (SELECT dst id, 1 i, 0 o FROM e UNION ALL SELECT src, 0, 1 FROM e) GROUP BY id"
@@ -81,13 +86,14 @@ def id_translation(spark, sf):
     return out.withColumn("back", translate_back("internal", 4, 1000).cast("long"))
 
 
-# --- neighbourhood queries: the query vertices are those with number 7 of each hundred ----------------------------
+# --- neighbourhood queries: every vertex with out-edges is asked for; the two searches over friends (fof_top20,
+# --- wtf_top10) take the vertices whose id is divisible by 50 as their query set, against all edges ------------------
 
-ASK = "WITH e AS (" + CS + "), q AS (SELECT DISTINCT src AS id FROM e WHERE src % 100 = 7)"
+ASK = "WITH e AS (" + CS + "), q AS (SELECT DISTINCT src AS id FROM e)"
 
 
 def asked(g: Graph) -> DataFrame:
-    return g.edges.filter("src % 100 = 7").select(F.col("src").alias("id")).distinct()
+    return g.edges.select(F.col("src").alias("id")).distinct()
 
 
 @query(f"{ASK} SELECT q.id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbors FROM q JOIN e ON e.src = q.id GROUP BY q.id")
@@ -114,13 +120,13 @@ def neighbors_with_values(spark, sf):
     return neighbours.neighbors_with_values(g, asked(g), "w")
 
 
-@query(f"""WITH e AS ({CO}), q AS (SELECT DISTINCT src AS id FROM e WHERE src % 500 = 0),
+@query(f"""WITH e AS ({CO}), q AS (SELECT DISTINCT src AS id FROM e WHERE src % 50 = 0),
 t AS (SELECT a.src AS id, b.dst AS fof, count(*) AS count FROM e a JOIN e b ON a.dst = b.src WHERE a.src IN (SELECT id FROM q) AND b.dst <> a.src GROUP BY ALL),
 k AS (SELECT t.* FROM t LEFT JOIN e ON e.src = t.id AND e.dst = t.fof WHERE e.src IS NULL)
 SELECT * FROM (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY count DESC, fof) AS BIGINT) AS rank, fof, count FROM k) WHERE rank <= 20""")
 def fof_top20(spark, sf):
-    g = fx.copurchase(spark, sf)
-    ids = g.edges.filter("src % 500 = 0").select(F.col("src").alias("id")).distinct()
+    g = saved(fx.copurchase(spark, sf))
+    ids = g.edges.filter("src % 50 = 0").select(F.col("src").alias("id")).distinct()
     return long(neighbours.friends_of_friends(g, ids), "rank")
 
 
@@ -314,12 +320,12 @@ def circle_sql(iterations: int = 3) -> str:
     return sql
 
 
-CIRCLE = f"WITH e AS ({CS}), c AS (SELECT DISTINCT src % 10 AS query, src AS hub FROM e WHERE src % 100 < 10), {circle_sql()}"
+CIRCLE = f"WITH e AS ({CS}), c AS (SELECT DISTINCT src % 10 AS query, src AS hub FROM e), {circle_sql()}"
 
 
 def circle_scores(spark, sf) -> tuple[Graph, DataFrame]:
-    g = fx.cust_supp(spark, sf)
-    circles = g.edges.filter("src % 100 < 10").select((F.col("src") % 10).alias("query"), F.col("src").alias("hub")).distinct()
+    g = saved(fx.cust_supp(spark, sf))
+    circles = g.edges.select((F.col("src") % 10).alias("query"), F.col("src").alias("hub")).distinct()
     return g, recommend.circle_salsa(g, circles, Scratch(spark))
 
 
@@ -355,16 +361,17 @@ w{t + 1} AS MATERIALIZED (SELECT walk_id, source, coalesce(num.dst, source) AS p
     return sql + f", v AS (SELECT source, pos AS id, count(*) AS count FROM ({arrivals}) GROUP BY ALL)"
 
 
-WALKERS = "SELECT DISTINCT src AS source FROM e WHERE src % 10 = 3"
+WALKERS = "SELECT DISTINCT src AS source FROM e"
+SEARCHED = WALKERS + " WHERE src % 50 = 0"
 SEQ_WALKS = "WITH " + walk_sql(SEQ, WALKERS, 20, 4)
 
 
 def walkers(g: Graph) -> DataFrame:
-    return g.edges.filter("src % 10 = 3").select(F.col("src").alias("source")).distinct()
+    return g.edges.select(F.col("src").alias("source")).distinct()
 
 
 def seq_visits(spark, sf) -> tuple[Graph, DataFrame]:
-    g = fx.user_seq(spark, sf)
+    g = saved(fx.user_seq(spark, sf))
     return g, rw.visits(rw.start(walkers(g), 20), g, rw.Policy(), Scratch(spark), 4).select("source", "id", "count")
 
 
@@ -375,7 +382,7 @@ def ppr_walk_visits(spark, sf):
 
 @query(f"{SEQ_WALKS} SELECT * FROM (SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY count DESC, id) AS BIGINT) AS rank, id, count FROM v WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = v.source AND e.dst = v.id)) WHERE rank <= 10")
 def ppr_walk_top(spark, sf):
-    g = fx.user_seq(spark, sf)
+    g = saved(fx.user_seq(spark, sf))
     return long(rw.personalized_pagerank(g, walkers(g), Scratch(spark), 20, 4, 10), "rank")
 
 
@@ -407,7 +414,7 @@ LOG = f"{SEQ_WALKS}, log AS (SELECT walk_id, 0 AS hop, pos AS vertex FROM w0 " +
 
 
 def walk_log(spark, sf) -> DataFrame:
-    g = fx.user_seq(spark, sf)
+    g = saved(fx.user_seq(spark, sf))
     return rw.paths(rw.start(walkers(g), 20), g, rw.Policy(), Scratch(spark), 3)
 
 
@@ -426,24 +433,24 @@ def two_key_visits(spark, sf):
     return rw.two_key_visits(walk_log(spark, sf), F.col("hop").cast("long"), F.col("vertex") % 5, F.col("vertex"))
 
 
-WTF = f"WITH {walk_sql(SEQ, WALKERS, 40, 4)}, c AS (SELECT source AS query, id AS hub FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY count DESC, id) AS r FROM v) WHERE r <= 200), {circle_sql(4)}"
+WTF = f"WITH {walk_sql(SEQ, SEARCHED, 40, 4)}, c AS (SELECT source AS query, id AS hub FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY count DESC, id) AS r FROM v) WHERE r <= 200), {circle_sql(4)}"
 
 
 @query(f"""{WTF} SELECT * FROM (SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY round(s, 6) DESC, dst) AS BIGINT) AS rank, dst AS id, round(s, 6) AS score FROM s4
 WHERE dst <> query AND NOT EXISTS (SELECT 1 FROM e WHERE e.src = s4.query AND e.dst = s4.dst)) WHERE rank <= 10""")
 def wtf_top10(spark, sf):
-    g = fx.user_seq(spark, sf)
-    return long(recommend.who_to_follow(g, walkers(g), Scratch(spark), 40, 4, digits=6), "rank")
+    g = saved(fx.user_seq(spark, sf))
+    return long(recommend.who_to_follow(g, walkers(g).filter("source % 50 = 0"), Scratch(spark), 40, 4, digits=6), "rank")
 
 
 # --- ratings --------------------------------------------------------------------------------------------------------
 
-MULTI = f"WITH r AS ({RAT}), e AS (SELECT src, dst, rating AS w FROM r WHERE src % 50 = 1), cdf AS (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY dst) - w AS lo, sum(w) OVER (PARTITION BY src ORDER BY dst) AS hi, sum(w) OVER (PARTITION BY src) AS total FROM e)"
+MULTI = f"WITH r AS ({RAT}), e AS (SELECT src, dst, rating AS w FROM r), cdf AS (SELECT src, dst, sum(w) OVER (PARTITION BY src ORDER BY dst % {draws.PARTS}, dst) - w AS lo, sum(w) OVER (PARTITION BY src ORDER BY dst % {draws.PARTS}, dst) AS hi, sum(w) OVER (PARTITION BY src) AS total FROM e)"
 
 
 @query(f"{MULTI}, d AS (SELECT DISTINCT src, k, {draw_sql("'5'", 'src', 'k')} AS u FROM e, (SELECT unnest(range(0, 10)) AS k)) SELECT d.src, CAST(k AS BIGINT) AS k, dst FROM d JOIN cdf ON cdf.src = d.src AND u * total >= lo AND u * total < hi")
 def multinomial_sample(spark, sf):
-    r = fx.ratings(spark, sf).filter("src % 50 = 1")
+    r = fx.ratings(spark, sf)
     return long(draws.multinomial(r, "src", "dst", "rating", 10, 5), "k")
 
 
@@ -451,10 +458,11 @@ def multinomial_sample(spark, sf):
 d AS (SELECT *, {draw_sql("'1'", 'walk_id', "'0'", "'reset'")} < 0.15 AS stay, {draw_sql("'1'", 'walk_id', "'0'", "'hop'")} AS u FROM w0)
 SELECT walk_id, source, source AS pos FROM d WHERE stay UNION ALL SELECT walk_id, source, dst FROM d JOIN cdf ON cdf.src = d.source AND u * total >= lo AND u * total < hi WHERE NOT stay""")
 def weighted_hop_walk(spark, sf):
-    r = fx.ratings(spark, sf).filter("src % 50 = 1")
-    g, policy = Graph(r), rw.Policy(weight="rating")
+    r = fx.ratings(spark, sf)
+    scratch = Scratch(spark)
+    g, policy = Graph(scratch.save(r)), rw.Policy(weight="rating")
     first = rw.start(g.edges.select(F.col("src").alias("source")).distinct(), 5)
-    return rw.hop(first, rw.adjacency(g, policy, Scratch(spark)), policy, 0).select("walk_id", "source", "pos")
+    return rw.hop(first, rw.adjacency(g, policy, scratch), policy, 0).select("walk_id", "source", "pos")
 
 
 @query(f"WITH r AS ({RAT}) SELECT rating, round(CASE CAST(rating AS INT) WHEN 0 THEN 0 WHEN 1 THEN 1e-5 WHEN 2 THEN 1e-5 WHEN 3 THEN 1e-4 WHEN 4 THEN 100 ELSE 1000 END, 6) AS weight, count(*) AS n FROM r GROUP BY ALL")
