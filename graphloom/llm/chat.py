@@ -16,10 +16,13 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from graphloom.plans.scratch import Scratch
 
 TURN, END = "<|turn|>", "<|end|>"
+#: Roles whose texts are learnt.
+LOSS_ROLES = ("assistant",)
 #: A control string is < or [ with one of these rests: its own marks and those of common templates.
 REST = r"(\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 
@@ -46,6 +49,16 @@ def render(turns: Column) -> Column:
     return F.array_join(F.transform(turns, lambda t: F.concat(F.lit(TURN), escape_role(t["role"]), F.lit("\n"), escape(t["text"]), F.lit(END))), "")
 
 
+def turn_lengths(role: Column, text: Column) -> tuple[Column, Column]:
+    """Code points of a rendered turn before its text, and of its escaped text."""
+    return F.length(escape_role(role)) + (len(TURN) + 1), F.length(escape(text))
+
+
+def masked(formatted: Column, spans: Column) -> Column:
+    """The texts under a loss mask, unescaped, one after another."""
+    return F.array_join(F.transform(spans, lambda m: unescape(F.substring(formatted, m["start"] + 1, m["length"]))), "")
+
+
 def parse(formatted: Column) -> Column:
     """array<struct<role, text>> back from a rendered string."""
     pieces = F.filter(F.split(formatted, r"<\|turn\|>"), lambda p: p != "")
@@ -80,7 +93,10 @@ def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def format_trees(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
-    """The ``top`` best paths of each tree, each as one row (tree, leaf, rank, score, formatted).
+    """The ``top`` best paths of each tree, each as one row (tree, leaf, rank, score, formatted, loss).
+
+    ``loss`` is the loss mask: (start, length) in code points of the escaped text
+    of each turn of a role in LOSS_ROLES, in order.
 
     nodes(tree, node, parent, role, text, score): null roles and texts count as
     empty, null trees as one tree of their own, null nodes are dropped. Of rows
@@ -99,15 +115,19 @@ def format_trees(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     ranked = score.groupBy("key").agg(F.slice(best, 1, top).alias("b")).select("key", F.posexplode("b").alias("rank", "b"))
     ranked = ranked.select("key", F.col("b.leaf").alias("leaf"), (F.col("rank") + 1).alias("rank"), (-F.col("b.down")).alias("score"))
     chosen = way.join(ranked, ["key", "leaf"]).join(own.select("key", "node", "tree", "role", "text"), ["key", "node"])
-    turns = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("at"), "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text")))
-    out = chosen.groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.first("rank").alias("rank"), F.first("score").alias("score"), turns.alias("turns"))
-    return out.select("tree", "leaf", "rank", "score", render(F.col("turns")).alias("formatted"))
+    head, size = turn_lengths(F.col("role"), F.col("text"))
+    before = W.partitionBy("key", "leaf").orderBy(F.col("dist").desc()).rowsBetween(W.unboundedPreceding, -1)
+    chosen = chosen.withColumns({"_head": head, "_size": size})
+    chosen = chosen.withColumn("_start", F.coalesce(F.sum(F.col("_head") + F.col("_size") + len(END)).over(before), F.lit(0)) + F.col("_head"))
+    row = F.sort_array(F.collect_list(F.struct((-F.col("dist")).alias("at"), "role", "text", F.col("_start").cast("int").alias("start"), F.col("_size").alias("length"))))
+    out = chosen.groupBy("key", "leaf").agg(F.first("tree").alias("tree"), F.first("rank").alias("rank"), F.first("score").alias("score"), row.alias("turns"))
+    loss = F.transform(F.filter("turns", lambda t: t["role"].isin(*LOSS_ROLES)), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length")))
+    return out.select("tree", "leaf", "rank", "score", render(F.col("turns")).alias("formatted"), loss.alias("loss"))
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """What can be read back from (tree, formatted): turns, and the text under the loss mask (assistant turns)."""
-    df = formatted.select("tree", "formatted", parse(F.col("formatted")).alias("turns"))
-    df = df.withColumn("loss", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), ""))
+    """What can be read back from (tree, formatted, loss): the turns, and the text under the loss mask."""
+    df = formatted.select("tree", "formatted", parse(F.col("formatted")).alias("turns"), masked(F.col("formatted"), F.col("loss")).alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return df.select(
         F.col("tree").alias("conv_id"),

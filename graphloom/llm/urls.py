@@ -33,15 +33,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
+def suffix_of(host: Column, two_label=TWO_LABEL_SUFFIXES) -> Column:
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
+    return F.when(two.isin(*two_label), two).otherwise(F.regexp_extract(host, r"([^.]*)$", 1))
 
 
-def domain_of(host: Column) -> Column:
+def domain_of(host: Column, two_label=TWO_LABEL_SUFFIXES) -> Column:
     two = F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
     three = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES) & (three != ""), three).when(two != "", two).otherwise(host)
+    return F.when(two.isin(*two_label) & (three != ""), three).when(two != "", two).otherwise(host)
 
 
 def by_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -73,13 +73,15 @@ def _strength(groups: DataFrame) -> tuple[float, float]:
     return p, min(STRENGTH[1], max(STRENGTH[0], (1 - rho) / rho))
 
 
-def reputations(outcomes: DataFrame, scratch: Scratch, z: float = Z) -> DataFrame:
+def reputations(outcomes: DataFrame, scratch: Scratch, z: float = Z, two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """Rows (host, lower) for every host of outcomes(host, bad); bad is null, 0.0 or 1.0.
 
+    two_label lists the suffixes of two labels; a caller with a public suffix list passes its own.
+
     Counts are summed before they are shuffled, so a hot host costs one row a task.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0.0)).alias("k"))
-    hosts = scratch.save(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "k"))
+    hosts = scratch.save(hosts.select("host", domain_of(F.col("host"), two_label).alias("domain"), suffix_of(F.col("host"), two_label).alias("suffix"), "n", "k"))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     (p, s_suffix), (_, s_domain), (_, s_host) = map(_strength, (suffixes, domains, hosts))
@@ -90,16 +92,18 @@ def reputations(outcomes: DataFrame, scratch: Scratch, z: float = Z) -> DataFram
     return hosts.join(domains, ["domain", "suffix"]).select("host", (mean - z * F.sqrt(mean * (1 - mean) / (a + b + 1))).alias("lower"))
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT) -> DataFrame:
+def judge(pages: DataFrame, outcomes: DataFrame, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", rules=RULES, limit: float = LIMIT, two_label=TWO_LABEL_SUFFIXES) -> DataFrame:
     """Rows (id, host, path, rule, verdict) for every row of pages.
 
     outcomes(_page, bad) labels pages by id. A url that is null or without ``://``
-    has an empty host and path; an empty host is judged as any other. Rows
-    repeat as they do in pages; other columns of pages are ignored.
+    has an empty host and path; an empty host is judged as any other. Of rules
+    that fit and are equally long the last given wins. Rows repeat as they do in
+    pages, null ids stay null; other columns of pages are ignored; an empty table
+    gives none.
     """
     parts = pages.select(F.col(id_col).alias("_page"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     labelled = parts.select("_page", "host").join(outcomes.select("_page", "bad"), "_page", "left")
-    blocked = reputations(labelled, scratch).filter(F.col("lower") > limit).select("host", F.lit("block").alias("_rep"))
+    blocked = reputations(labelled, scratch, two_label=two_label).filter(F.col("lower") > limit).select("host", F.lit("block").alias("_rep"))
     rule, verdict = by_rule(F.col("host"), F.col("path"), rules)
     out = parts.join(blocked, "host", "left")
     return out.select(F.col("_page").alias(id_col), "host", "path", rule.alias("rule"), F.coalesce(verdict, F.col("_rep"), F.lit("allow")).alias("verdict"))

@@ -147,6 +147,8 @@ def test_chat(spark):
     assert set(got) == {(1, 1), (1, 2), (2, 1), (None, 1)}
     assert [tuple(t) for t in got[1, 1]["turns"]] == [("user", "hi"), ("assistant", "b <|turn|> <\\|end|>"), ("user", "")]
     assert [tuple(t) for t in got[1, 2]["turns"]] == [("user", "hi"), ("assistant", "a")]
+    under = {k: [r["formatted"][m["start"] : m["start"] + m["length"]] for m in r["loss"]] for k, r in got.items()}
+    assert under == {(1, 1): ["b <\\|turn|> <\\\\|end|>"], (1, 2): ["a"], (2, 1): [], (None, 1): []}
     assert [tuple(t) for t in got[2, 1]["turns"]] == [("sys\ntem\\", "dangling parent")]
     assert chat.format_trees(nodes.limit(0), Scratch(spark)).count() == 0
 
@@ -653,6 +655,11 @@ def test_reputation_shrinks(spark):
     assert got["spam.worse.com"] > urls.LIMIT > max(v for h, v in got.items() if h != "spam.worse.com") and "new.fine.com" in got
 
 
+def test_suffixes_are_a_parameter(spark):
+    df = spark.createDataFrame([("a.b.co.zz",)], "h string")
+    assert tuple(df.select(urls.domain_of(F.col("h"), ("co.zz",)), urls.suffix_of(F.col("h"), ("co.zz",)), urls.domain_of(F.col("h"))).first()) == ("b.co.zz", "co.zz", "co.zz")
+
+
 def test_domains(spark):
     df = spark.createDataFrame([(h,) for h in ("a.b.co.uk", "b.co.uk", "x.example.com", "example.com", "com", "")], "h string")
     assert [tuple(r) for r in df.select(urls.domain_of(F.col("h")), urls.suffix_of(F.col("h"))).collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("example.com", "com"), ("example.com", "com"), ("com", "com"), ("", "")]
