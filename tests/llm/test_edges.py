@@ -768,6 +768,38 @@ def test_licence_rules_are_parameters_and_ordered(spark):
     assert found(("ca", (3, 1)), ("b", (2,))) == {1: "b,ca", 2: "b"}
 
 
+def test_pipeline_stages_against_brute_force(spark):
+    """One row a component, by (doc_id, hash of the text), with clashing and null ids; windows as by hand; leaks and copies as told."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    texts = [t for _, t in near_copies(90)]
+    ids = [None if i % 11 == 0 else 5 if i % 7 == 0 else 100 + i for i in range(90)]
+    rows = [(i, t, "en", f"s{k % 3}", len(t)) for k, (i, t) in enumerate(zip(ids, texts))]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    keys = dict(df.select("text", F.xxhash64("text")).distinct().collect())
+    by = jaccard_components(list(enumerate(texts)))
+    name = lambda k: (2**63 - 1 if ids[k] is None else ids[k], keys[texts[k]])
+    groups = {}
+    for k in range(90):
+        groups.setdefault(by[k][1], []).append(k)
+    want = [(ids[k], texts[k]) for k in (min(g, key=name) for g in groups.values())]
+    near = p.near_duplicates(spark, df, sf)
+    assert rows_of(near, "doc_id", "text") == sorted(want, key=repr)
+
+    plain = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in enumerate(texts)], df.schema)
+    cut = {i: t for i, t in brute_windows(list(enumerate(texts))).items() if t}
+    assert dict(rows_of(p.substring_dedup(spark, plain, sf), "doc_id", "text")) == cut
+
+    items = [r[0] for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").limit(5).collect()]
+    held = spark.createDataFrame([(i if i else None, f"{t} {items[i // 3] if i % 3 == 0 else ''}", "en", "s", 1) for i, t in enumerate(texts[:15])], df.schema)
+    assert sorted((r[0] for r in p.decontamination(spark, held, sf).select("doc_id").collect()), key=repr) == [i for i in sorted(range(15), key=repr) if i % 3]
+
+    mixed = rows_of(p.source_mix(spark, plain, sf), "doc_id", "copy")
+    taken = sum(len(texts[i].split()) for i, _ in mixed)
+    assert abs(taken - 1.5 * sum(len(t.split()) for t in texts)) < 60 and all(c <= 2 for _, c in mixed) and len(mixed) == len(set(mixed))
+
+
 def test_stages(spark, docs):
     import corpus_pipeline as p
 
