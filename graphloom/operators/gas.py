@@ -48,13 +48,15 @@ def gas(edges: DataFrame, state: DataFrame, program: Gather, scratch: Scratch, t
     """state(id, ...) after ``times`` steps of the program.
 
     activate "all": every vertex runs each time. "changed": after the first
-    step only neighbours of vertices whose state changed run, and the loop ends
-    when nothing changed; vertices gather from all their neighbours in any case.
+    step only vertices that gather from one whose state changed run, and the
+    loop ends when nothing changed; "changed_out" and "changed_in" schedule the
+    out- and in-neighbours of what changed instead. Vertices gather from all
+    their neighbours in any case.
     program.where leaves vertices out of the update.
     """
     columns = state.columns
     dealt = Dealt(incident(edges, program.direction), "far", scratch)
-    near = dealt.rows.drop("_salt")
+    near = incident(edges, {"changed_out": "in", "changed_in": "out"}[activate]) if activate in ("changed_out", "changed_in") else dealt.rows.drop("_salt")
 
     def run(s: DataFrame, only: DataFrame | None) -> DataFrame:
         far = s.select(F.col("id").alias("far"), *[c for c in columns if c != "id"])
@@ -91,6 +93,21 @@ def gas(edges: DataFrame, state: DataFrame, program: Gather, scratch: Scratch, t
     return state
 
 
+def multi_compute_rows(edges: DataFrame, matrix: DataFrame, gather: Callable[[Column], Column], apply: Callable[[Column, Column], Column], scratch: Scratch, times: int, columns: list[str], direction: str = "in", init: float = 0.0) -> DataFrame:
+    """K computations kept as columns of matrix(id, columns...): gather and apply are built for each column, apply from the gathered and the old value."""
+    state = dict.fromkeys(columns)
+    dealt = Dealt(incident(edges, direction), "far", scratch)
+
+    def step(s: DataFrame, _: int) -> DataFrame:
+        rows = dealt.join(s.select(F.col("id").alias("far"), *state))
+        got = rows.groupBy(F.col("me").alias("id")).agg(*[gather(F.col(c)).alias(f"_g_{c}") for c in state])
+        return s.join(got, "id", "left").select("id", *[apply(F.coalesce(f"_g_{c}", F.lit(init)), F.col(c)).alias(c) for c in state])
+
+    out = iterate(matrix.select("id", *state), step, scratch, times)
+    dealt.close()
+    return out
+
+
 def multi_compute(edges: DataFrame, state: DataFrame, gather: Column, apply: Callable[[Column], Column], scratch: Scratch, times: int, direction: str = "in", init: float = 0.0, where: Column | None = None) -> DataFrame:
     """K computations in one pass: state(id, comp, value), gathered by (vertex, computation)."""
     dealt = Dealt(incident(edges, direction), "far", scratch)

@@ -37,16 +37,23 @@ def neighbors_with_values(graph: Graph, ids: DataFrame, value: str) -> DataFrame
     return out_edges(graph, ids).select("id", "nbr", F.col(value).alias("value"))
 
 
-def friends_of_friends(graph: Graph, ids: DataFrame, top: int = 20, fan_out: int | None = None, seed: int = 1) -> DataFrame:
+def friends_of_friends(graph: Graph, ids: DataFrame, top: int = 20, fan_out: int | None = None, seed: int = 1, ranks: DataFrame | None = None) -> DataFrame:
     """(id, rank, fof, count): the most reached friends of friends that are neither the vertex nor its friends.
 
-    With fan_out, so many friends are drawn by a seeded hash where there are more.
+    With fan_out, so many friends are drawn by a seeded hash where there are
+    more; with ranks(id, rank) too, without replacement in proportion to their
+    rank (a friend of u gets the key ln(u) / rank; those without a rank come last).
     """
     friends = out_edges(graph, ids).select("id", "nbr").distinct()
     asked = friends
     if fan_out:
-        w = W.partitionBy("id").orderBy(draw(seed, F.col("id"), F.col("nbr")), "nbr")
-        asked = friends.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fan_out).drop("r")
+        u = draw(seed, F.col("id"), F.col("nbr"))
+        if ranks is not None:
+            asked = friends.join(ranks.select(F.col("id").alias("nbr"), "rank"), "nbr", "left").select("id", "nbr", (F.log(u + F.lit(2.0**-33)) / F.when(F.col("rank") > 0, F.col("rank"))).alias("key"))
+            w = W.partitionBy("id").orderBy(F.col("key").desc_nulls_last(), "nbr")
+        else:
+            w = W.partitionBy("id").orderBy(u, "nbr")
+        asked = asked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= fan_out).select("id", "nbr")
     two = asked.join(graph.edges.select(F.col("src").alias("nbr"), F.col("dst").alias("fof")), "nbr").filter("fof <> id")
     counts = two.groupBy("id", "fof").agg(F.count("*").alias("count"))
     left = counts.join(friends.select("id", F.col("nbr").alias("fof")), ["id", "fof"], "left_anti")

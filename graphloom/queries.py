@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from graphloom import fixtures as fx
 from graphloom.functions import draws, values
 from graphloom.graph import Graph
-from graphloom.operators import factor, generate, neighbours, rank, recommend, structure
+from graphloom.operators import factor, generate, neighbours, program, rank, recommend, structure
+from graphloom.operators import gas as gas_ops
 from graphloom.operators import walks as rw
 from graphloom.plans.scratch import Scratch
 from graphloom.sources import readers, writers
@@ -309,6 +310,37 @@ def kcore(spark, sf):
     return structure.kcore(fx.user_seq(spark, sf).symmetrize(), Scratch(spark))
 
 
+HOPS = f"WITH RECURSIVE e AS ({COD}), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), r AS (SELECT id, 0 AS h FROM v WHERE id % 100 = 0 UNION SELECT e.dst, r.h + 1 FROM r JOIN e ON e.src = r.id WHERE r.h < 6), m AS (SELECT id, min(h) AS h FROM r GROUP BY id)"
+
+
+@query(f"{HOPS} SELECT v.id, CAST(h AS BIGINT) AS hops FROM v LEFT JOIN m ON m.id = v.id")
+def vertex_program_hops(spark, sf):
+    """Hops from the landmarks, the vertices whose id is divisible by 100, 6 at most."""
+    return program.hops_from(saved(fx.copurchase_dir(spark, sf)), F.col("id") % 100 == 0, Scratch(spark), 6)
+
+
+@query(f"WITH e AS ({SEQ}), b AS (SELECT src, dst FROM e), v AS (SELECT src AS id FROM e UNION SELECT dst FROM e), y0 AS (SELECT id, id % 7 + 0.0 AS a, id % 5 + 0.0 AS b FROM v), " + ", ".join(f"y{t + 1} AS (SELECT y.id, 0.5 * y.a + 0.5 * coalesce(g.a, 0) AS a, 0.5 * y.b + 0.5 * coalesce(g.b, 0) AS b FROM y{t} y LEFT JOIN (SELECT dst AS id, max(y{t}.a) AS a, max(y{t}.b) AS b FROM b JOIN y{t} ON y{t}.id = b.src GROUP BY dst) g ON g.id = y.id)" for t in range(3)) + " SELECT id, round(a, 6) AS a, round(b, 6) AS b FROM y3")
+def multi_compute_columns(spark, sf):
+    g = saved(fx.user_seq(spark, sf))
+    start = g.vertices.select("id", (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).cast("double").alias("b"))
+    return gas_ops.multi_compute_rows(g.edges, start, F.max, lambda got, old: 0.5 * old + 0.5 * got, Scratch(spark), 3, ["a", "b"]).select("id", six("a"), six("b"))
+
+
+@query(f"WITH e AS ({SEQ}), d AS ({DEG}) SELECT e.src, e.dst, e.w, CAST(d.in_degree AS BIGINT) AS value FROM e JOIN d ON d.id = e.src WHERE e.src % 10 = 0")
+def stored_graph(spark, sf):
+    """A graph with vertex values, written and read back; of its edges those of looked up vertices with the values of their sources."""
+    g = fx.user_seq(spark, sf)
+    path = Scratch(spark, "stored").base
+    writers.write_graph(Graph(g.edges, g.degrees().select("id", F.col("in_degree").alias("value"))), path)
+    back = writers.read_stored(spark, path)
+    return back.edges.filter("src % 10 = 0").join(back.vertices.select(F.col("id").alias("src"), "value"), "src").select("src", "dst", "w", "value")
+
+
+@query(f"SELECT count(*) AS n FROM ({SEQ})")
+def edge_count(spark, sf):
+    return spark.createDataFrame([(fx.user_seq(spark, sf).edge_count(),)], "n long")
+
+
 # --- circles of trust -----------------------------------------------------------------------------------------------
 
 

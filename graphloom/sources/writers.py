@@ -9,14 +9,33 @@ from graphloom.graph import Graph
 
 
 def write_graph(graph: Graph, path: str, partitions: int | None = None) -> None:
-    """Parquet of edges dealt by dst and sorted by src inside, so that row groups skip by src; degrees beside them."""
-    edges = graph.edges.repartition(partitions, "dst") if partitions else graph.edges.repartition("dst")
+    """Parquet of edges in ranges of src, sorted, so that files and row groups skip by src; degrees and given vertex values beside them."""
+    edges = graph.edges.repartitionByRange(partitions, "src", "dst") if partitions else graph.edges.repartitionByRange("src", "dst")
     edges.sortWithinPartitions("src", "dst").write.mode("overwrite").parquet(f"{path}/edges")
     graph.degrees().write.mode("overwrite").parquet(f"{path}/degrees")
+    given = graph._given if graph._given is not None else graph.edges.select(F.col("src").alias("id")).limit(0)
+    given.write.mode("overwrite").parquet(f"{path}/vertices")
 
 
 def read_stored(spark, path: str) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/edges"))
+    given = spark.read.parquet(f"{path}/vertices")
+    return Graph(spark.read.parquet(f"{path}/edges"), given if given.take(1) else None)
+
+
+def lookup(spark, path: str, *ids: int) -> DataFrame:
+    """Out-edges of a few vertices of a stored graph; the filter reaches the scan, which skips all other ranges."""
+    return spark.read.parquet(f"{path}/edges").filter(F.col("src").isin(*ids))
+
+
+def write_values(values: DataFrame, path: str) -> None:
+    """Vertex values (id, value columns), in ranges of id."""
+    values.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(path)
+
+
+def register(graph: Graph, name: str) -> None:
+    """Temporary views name_edges, name_vertices and name_degrees, for SQL."""
+    for what, df in (("edges", graph.edges), ("vertices", graph.vertices), ("degrees", graph.degrees())):
+        df.createOrReplaceTempView(f"{name}_{what}")
 
 
 def degree_totals(degrees: DataFrame) -> DataFrame:

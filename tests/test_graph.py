@@ -311,3 +311,73 @@ def test_als_takes_any_long_ids(spark):
         assert {x[0] for x in left.select("id").collect()} == {x[0] for x in moved.select("src").collect()}
         assert {x[0] for x in right.select("id").collect()} == {x[0] for x in moved.select("dst").collect()}
         assert factor.predict(moved, left, right).count() == r.count() and error(moved) < 1.3 * small + 0.05
+
+
+def test_vertex_program_reaches_and_halts(spark):
+    from graphloom.operators import program
+
+    g = Graph(edges(spark, [(1, 2), (2, 3), (3, 4), (1, 4), (9, 1)]))
+    assert table(program.hops_from(g, F.col("id") == 1, Scratch(spark))) == sorted([(1, 0), (2, 1), (3, 2), (4, 1), (9, None)])
+    assert dict(table(program.hops_from(g, F.col("id") == 9, Scratch(spark), 1))) == {1: 1, 2: None, 3: None, 4: None, 9: 0}
+    assert {r["hops"] for r in program.hops_from(g, F.lit(False), Scratch(spark)).collect()} == {None}
+
+
+@pytest.mark.parametrize("activate", ["changed_out", "changed"])
+def test_scheduling_of_neighbours(spark, activate):
+    chain = edges(spark, [(i, i + 1) for i in range(8)])
+    state = Graph(chain).vertices.withColumn("low", F.col("id"))
+    program = Gather("in", F.min("low"), F.lit(None).cast("long"), lambda g: {"low": F.least("low", g)})
+    assert dict(table(gas(chain, state, program, Scratch(spark), 20, activate=activate, max_active=2.0))) == {i: 0 for i in range(9)}
+    # in-neighbours of what changed don't gather from it: the value stops after the second step
+    got = dict(table(gas(chain, state, program, Scratch(spark), 20, activate="changed_in", max_active=2.0)))
+    assert got[0] == 0 and got[8] > 0
+
+
+def test_stored_values_lookup_and_views(spark, tmp_path):
+    values = spark.createDataFrame([(1, 5.0), (7, 6.0)], "id long, value double")
+    g = Graph(edges(spark, [(1, 2), (1, 3), (2, 3)]), values)
+    writers.write_graph(g, str(tmp_path / "g"), 2)
+    back = writers.read_stored(spark, str(tmp_path / "g"))
+    assert {r["id"]: r["value"] for r in back.vertices.collect()} == {1: 5.0, 2: None, 3: None, 7: 6.0} and back.edge_count() == 3
+    found = writers.lookup(spark, str(tmp_path / "g"), 1)
+    assert table(found) == [(1, 2), (1, 3)] and "PushedFilters: [IsNotNull(src), EqualTo(src,1)]" in found._jdf.queryExecution().executedPlan().toString()
+    writers.write_values(values, str(tmp_path / "v"))
+    assert table(spark.read.parquet(str(tmp_path / "v"))) == [(1, 5.0), (7, 6.0)]
+    writers.register(g, "small")
+    assert spark.sql("select count(*) from small_edges e join small_degrees d on d.id = e.src where out_degree = 2").first()[0] == 2
+
+
+def test_rank_weighted_fan_out(spark):
+    g = Graph(edges(spark, [(i, 1000 + k) for i in range(300) for k in range(10)] + [(1000 + k, 2000 + k) for k in range(10)]))
+    ranks = spark.createDataFrame([(1000 + k, float(k)) for k in range(10)], "id long, rank double")
+    ids = spark.range(300)
+    seen = dict(neighbours.friends_of_friends(g, ids, fan_out=3, ranks=ranks).groupBy("fof").count().collect())
+    assert sum(seen.values()) == 900 and seen.get(2000, 0) == 0 and seen[2009] > 2 * seen[2001]
+
+
+def test_als_report(spark):
+    r = spark.createDataFrame([(i, 100 + j, float(1 + (i * j) % 5)) for i in range(12) for j in range(9)], "src long, dst long, rating double")
+    ask = spark.createDataFrame([(1, 101), (1, 101), (99, 101)], "src long, dst long")
+    _, report, test = factor.als_report(r, Scratch(spark), validation=r.limit(20), test=ask, low=2.0, high=4.0, rank=3)
+    assert {x["split"] for x in report.collect()} == {"train", "validation"} and all(x["rmse"] < 2 for x in report.collect())
+    got = test.collect()
+    assert len(got) == 3 and all(2 <= x["prediction"] <= 4 for x in got)
+
+
+def test_jobs_with_their_own_policy(spark):
+    g = Graph(edges(spark, [(1, 2), (2, 3), (3, 1), (4, 1)]))
+    one = spark.createDataFrame([(1,)], "source long")
+    jobs = {"out": (one, 40, rw.Policy(reset=0.0)), "in": (one, 40, rw.Policy(reset=0.0, direction="in")), "again": (one, 10, rw.Policy(reset=0.0))}
+    got = rw.run_jobs(jobs, g, Scratch(spark), 3).collect()
+    # the arrivals that count: forwards at 3 by way of 2, backwards at 2 by way of 3, or nowhere from 4
+    assert {(r["job"], r["id"]) for r in got} <= {(j, i) for j in ("out", "in", "again") for i in (2, 3, 4)} and {r["job"] for r in got} == {"out", "in", "again"}
+    assert not any(r["id"] == 4 for r in got if r["job"] != "in") and sum(r["count"] for r in got if r["job"] == "out") == 4 * sum(r["count"] for r in got if r["job"] == "again")
+
+
+def test_weighted_hops_of_skewed_weights(spark):
+    """Slots hold the draw's edge whatever the weights: many tiny ones, one huge one, zero ones."""
+    rows = [(0, k, 1e-6) for k in range(1, 400)] + [(0, 400, 1000.0), (0, 401, 0.0)] + [(1, k, float(k % 3)) for k in range(50)]
+    w = spark.createDataFrame(rows, "src long, dst long, w double")
+    got = draws.multinomial(w, "src", "dst", "w", 2000, 3).groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("dst") == 401).alias("none"), F.count_if(F.col("dst") == 400).alias("big")).collect()
+    assert {r["src"]: r["n"] for r in got} == {0: 2000, 1: 2000} and {r["src"]: r["none"] for r in got} == {0: 0, 1: 0}
+    assert next(r["big"] for r in got if r["src"] == 0) > 1990
