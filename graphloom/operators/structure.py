@@ -30,28 +30,50 @@ def propagate_labels(graph: Graph, scratch: Scratch, iterations: int = 5) -> Dat
     return labels
 
 
-def kcore(graph: Graph, scratch: Scratch, max_sweeps: int = 1000) -> DataFrame:
+def _h_index(far: DataFrame) -> DataFrame:
+    """(id, h) of far(src, far): the h-index of the estimates around each vertex.
+
+    It comes from counts by estimate, so edges are combined before the shuffle
+    and a hub's window holds one row a distinct estimate and not one a neighbour.
+    """
+    down = W.partitionBy("id").orderBy(F.col("far").desc()).rowsBetween(W.unboundedPreceding, 0)
+    counts = far.groupBy(F.col("src").alias("id"), "far").agg(F.count("*").alias("n"))
+    # of the neighbours with estimate k or more there are `have`: min(k, have) is a lower bound of h, and the best one is h
+    return counts.withColumn("have", F.sum("n").over(down)).groupBy("id").agg(F.max(F.least("far", "have")).alias("h"))
+
+
+def kcore(graph: Graph, scratch: Scratch, max_sweeps: int = 1000, every: int = 4, max_active: float = 0.05) -> DataFrame:
     """(id, core) of a symmetric graph: estimates fall from the degree to the h-index of the neighbours' estimates.
 
-    The h-index comes from counts by estimate, capped at the vertex's own, so a
-    hub's window holds one row a distinct estimate and not one a neighbour.
+    Estimates only fall, so a sweep needs no look at the old ones: it sends them
+    to the edges, which are dealt by the far end and stay where they are. The
+    lineage is cut ``every`` sweeps. Once fewer than max_active of the estimates
+    fell between two cuts, only the vertices around those are looked at again.
     """
-    e = Dealt(scratch.save(graph.edges.select("src", "dst")), "dst", scratch)
-    est = scratch.save(e.rows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("est")))
-    down = W.partitionBy("id").orderBy(F.col("k").desc()).rowsBetween(W.unboundedPreceding, 0)
-    low = est.agg(F.sum("est")).first()[0]
-    for _ in range(max_sweeps):
-        far = e.join(est.select(F.col("id").alias("dst"), F.col("est").alias("far")))
-        own = far.join(est.select(F.col("id").alias("src"), "est"), "src")
-        counts = own.groupBy(F.col("src").alias("id"), F.least("far", "est").alias("k")).agg(F.count("*").alias("n"))
-        # of the neighbours with estimate k or more there are `have`: min(k, have) is a lower bound of h, and the best one is h
-        h = counts.withColumn("have", F.sum("n").over(down)).groupBy("id").agg(F.max(F.least("k", "have")).alias("h"))
-        new = scratch.save(est.join(h, "id").select("id", F.least("est", "h").alias("est")))
-        total = new.agg(F.sum("est")).first()[0]
-        scratch.drop(est)
-        est = new
-        if total == low:
+    edges = scratch.save(graph.edges.select("src", "dst"))
+    by_far, by_near = Dealt(edges, "dst", scratch), None
+    est = scratch.save(edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("est")))
+    total = est.count()
+    sent = lambda e: e.select(F.col("id").alias("dst"), F.col("est").alias("far"))
+    fell, done = None, 0
+    while done < max_sweeps:
+        new = est
+        if fell is None:
+            for _ in range(min(every, max_sweeps - done)):
+                new, done = _h_index(by_far.join(sent(new)).select("src", "far")).select("id", F.col("h").alias("est")), done + 1
+        else:
+            by_near = by_near or Dealt(edges, "src", scratch)
+            around = by_far.join(fell.select(F.col("id").alias("dst"))).select("src").distinct()
+            h = _h_index(by_near.join(around).join(sent(est), "dst").select("src", "far"))
+            new, done = est.join(h, "id", "left").select("id", F.coalesce("h", "est").alias("est")), done + 1
+        new = scratch.save(new)
+        less = scratch.save(new.join(est.withColumnRenamed("est", "old"), "id").filter("est < old").select("id"))
+        n = less.count()
+        scratch.drop(est, fell)
+        est, fell = new, less if n <= max_active * total else None
+        if not n:
             break
-        low = total
-    e.close()
+    by_far.close()
+    if by_near:
+        by_near.close()
     return est.select("id", F.col("est").alias("core"))
