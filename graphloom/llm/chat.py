@@ -1,9 +1,10 @@
 """Chat formatting from reply trees, in DataFrame functions only.
 
 Root-to-leaf paths come from self-joins: jump tables double the distance to an
-ancestor each round, so a tree of depth d takes log2(d) rounds, and expanding
-leaves through the tables from the widest down yields each path once. Only
-narrow keys take part; texts join the chosen paths alone.
+ancestor each round, so a tree of depth d takes log2(d) rounds. Walking leaves
+up through the tables from the widest down sums the scores of each path, one
+row a leaf; expanding the chosen leaves the same way yields each chosen path
+once. Only narrow keys take part; texts join the chosen paths alone.
 
 The template marks a turn as ``<|turn|>role\\ntext<|end|>``. Control strings
 inside texts get one backslash after their first character, more where there
@@ -67,15 +68,19 @@ def parse(formatted: Column) -> Column:
     return F.transform(pieces, lambda p: F.struct(unescape_role(F.substring(p, F.lit(1), cut(p) - 1)).alias("role"), unescape(F.substring(body(p), cut(p) + 1, F.length(p))).alias("text")))
 
 
-def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(tree, leaf, node, dist) for every node on the way from each leaf to its root; dist counts from the leaf.
+def best_paths(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
+    """(tree, leaf, rank, score, node, dist) for every node of the ``top`` best paths of each tree; dist counts from the leaf.
 
-    nodes(tree, node, parent) has unique (tree, node). A parent that is not in
-    the tree makes a root. Nodes whose ancestors run in a circle have no root
-    and give no path.
+    nodes(tree, node, parent, score) has unique (tree, node). A parent that is
+    not in the tree makes a root. Nodes whose ancestors run in a circle have no
+    root and give no path.
+
+    Each jump carries the scores it passes, so a leaf learns its path's mean in
+    one row, and only the chosen paths are written out node by node.
     """
     known = nodes.select("tree", F.col("node").alias("anc"))
-    jump = scratch.save(nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("anc")).join(known, ["tree", "anc"], "left_semi").select("tree", "node", "anc"))
+    own = [F.coalesce("score", F.lit(0.0)).alias("sum"), F.col("score").isNotNull().cast("long").alias("n")]
+    jump = scratch.save(nodes.filter("parent is not null").select("tree", "node", F.col("parent").alias("anc"), *own).join(known, ["tree", "anc"], "left_semi").select("tree", "node", "anc", "sum", "n"))
     leaves = nodes.select("tree", "node").join(jump.select("tree", F.col("anc").alias("node")), ["tree", "node"], "left_anti")
     rounds = math.ceil(math.log2(max(2, nodes.count()))) + 1
     jumps = [jump]
@@ -83,12 +88,22 @@ def paths(nodes: DataFrame, scratch: Scratch) -> DataFrame:
         if len(jumps) > rounds:  # what still has an ancestor so far up is in or under a circle
             leaves = leaves.join(jumps[-1].select("tree", "node"), ["tree", "node"], "left_anti")
             break
-        a, b = jumps[-1], jumps[-1].select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"))
-        jumps.append(scratch.save(a.join(b, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"))))
-    found = leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("dist"))
-    for k in reversed(range(len(jumps) - 1)):
-        found = scratch.save(found)
-        found = found.union(found.join(jumps[k], ["tree", "node"]).select("tree", "leaf", F.col("anc").alias("node"), (F.col("dist") + (1 << k)).alias("dist")))
+        a, b = jumps[-1], jumps[-1].select("tree", F.col("node").alias("anc"), F.col("anc").alias("far"), F.col("sum").alias("more"), F.col("n").alias("m"))
+        jumps.append(scratch.save(a.join(b, ["tree", "anc"]).select("tree", "node", F.col("far").alias("anc"), (F.col("sum") + F.col("more")).alias("sum"), (F.col("n") + F.col("m")).alias("n"))))
+    steps = [jumps[k].select("tree", F.col("node").alias("at"), "anc", F.col("sum").alias("more"), F.col("n").alias("m")) for k in range(len(jumps) - 1)]
+    way = leaves.select("tree", F.col("node").alias("leaf"), F.col("node").alias("at"), F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+    none = [F.coalesce("more", F.lit(0.0)), F.coalesce("m", F.lit(0))]
+    for step in reversed(steps):
+        way = scratch.save(way.join(step, ["tree", "at"], "left").select("tree", "leaf", F.coalesce("anc", "at").alias("at"), (F.col("sum") + none[0]).alias("sum"), (F.col("n") + none[1]).alias("n")))
+    root = nodes.select("tree", F.col("node").alias("at"), *[c.alias(name) for c, name in zip(own, ("more", "m"))])
+    score = F.try_divide(F.col("sum") + F.col("more"), (F.col("n") + F.col("m")).cast("double"))
+    # a leaf's rank is asked for up to ``top`` only, which Spark settles within each task before the shuffle
+    order = W.partitionBy("tree").orderBy(F.col("score").isNull(), (-F.col("score")).asc(), "leaf")
+    ranked = way.join(root, ["tree", "at"]).select("tree", "leaf", score.alias("score")).withColumn("rank", F.row_number().over(order))
+    found = scratch.save(ranked.filter(F.col("rank") <= top).select("tree", "leaf", "rank", "score", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("dist")))
+    for k in reversed(range(len(steps))):
+        step = steps[k].select("tree", F.col("at").alias("node"), "anc")
+        found = scratch.save(found.union(found.join(step, ["tree", "node"]).select("tree", "leaf", "rank", "score", F.col("anc").alias("node"), (F.col("dist") + (1 << k)).alias("dist"))))
     return found
 
 
@@ -108,13 +123,8 @@ def format_trees(nodes: DataFrame, scratch: Scratch, top: int = 1) -> DataFrame:
     own = nodes.filter("node is not null").groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.col("score").cast("double").alias("score"))).alias("x"))
     # a key that joins null trees too
     own = scratch.save(own.select(F.to_json(F.struct("tree")).alias("key"), "tree", "node", "x.*"))
-    way = paths(own.select(F.col("key").alias("tree"), "node", "parent"), scratch).withColumnRenamed("tree", "key")
-    way = scratch.save(way)
-    score = way.join(own.select("key", "node", "score"), ["key", "node"]).groupBy("key", "leaf").agg(F.avg("score").alias("score"))
-    best = F.sort_array(F.collect_list(F.struct((-F.col("score")).isNull().alias("last"), (-F.col("score")).alias("down"), F.col("leaf"))))
-    ranked = score.groupBy("key").agg(F.slice(best, 1, top).alias("b")).select("key", F.posexplode("b").alias("rank", "b"))
-    ranked = ranked.select("key", F.col("b.leaf").alias("leaf"), (F.col("rank") + 1).alias("rank"), (-F.col("b.down")).alias("score"))
-    chosen = way.join(ranked, ["key", "leaf"]).join(own.select("key", "node", "tree", "role", "text"), ["key", "node"])
+    way = best_paths(own.select(F.col("key").alias("tree"), "node", "parent", "score"), scratch, top).withColumnRenamed("tree", "key")
+    chosen = way.join(own.select("key", "node", "tree", "role", "text"), ["key", "node"])
     head, size = turn_lengths(F.col("role"), F.col("text"))
     before = W.partitionBy("key", "leaf").orderBy(F.col("dist").desc()).rowsBetween(W.unboundedPreceding, -1)
     chosen = chosen.withColumns({"_head": head, "_size": size})

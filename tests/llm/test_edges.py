@@ -161,6 +161,28 @@ def test_chat_deep_tree_with_many_leaves(spark):
     assert [t["text"] for t in got[0]["turns"]] == [*map(str, range(100)), "leaf49"]
 
 
+@pytest.mark.parametrize("top", [1, 3])
+def test_chat_ranks_against_brute_force(spark, top):
+    rng = np.random.default_rng(top)
+    rows = [(int(t), n, None if n == 0 else int(rng.integers(max(0, n - 6), n)), "user" if n % 2 else "assistant", f"{t}.{n}", None if rng.random() < 0.2 else float(rng.integers(0, 8))) for t in range(12) for n in range(1 + 9 * (t % 5))]
+    scratch = Scratch(spark)
+    got = {(r["tree"], r["rank"]): (r["leaf"], r["score"], [x["text"] for x in r["turns"]]) for r in chat.format_trees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), scratch, top).withColumn("turns", chat.parse(F.col("formatted"))).collect()}
+    want = {}
+    for t in range(12):
+        up = {n: (p, s) for tree, n, p, _, _, s in rows if tree == t}
+        found = []
+        for leaf in set(up) - {p for p, _ in up.values()}:
+            way, at = [], leaf
+            while at is not None:
+                way.append(at)
+                at = up[at][0]
+            known = [up[n][1] for n in way if up[n][1] is not None]
+            found.append((sum(known) / len(known) if known else None, leaf, [f"{t}.{n}" for n in reversed(way)]))
+        found.sort(key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))
+        want.update({(t, k + 1): (leaf, score, way) for k, (score, leaf, way) in enumerate(found[:top])})
+    assert got == want
+
+
 control = st.text(st.sampled_from("<[\\|/sINST]>turnend \nbé\U0001f600"), max_size=30)
 
 
