@@ -121,20 +121,25 @@ def read_topic_weights(spark: SparkSession, index: str) -> DataFrame:
     return out
 
 
+def _records(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """(content, place) of the records of ``width`` bytes in binary files, split at whole records and kept in the JVM."""
+    jvm = spark._jvm
+    placed = spark._jsc.binaryRecords(path, width).zipWithIndex()
+    kinds = jvm.org.apache.spark.sql.Encoders
+    return DataFrame(spark._jsparkSession.createDataset(placed.rdd(), kinds.tuple(kinds.BINARY(), kinds.LONG())).toDF(), spark).toDF("content", "place")
+
+
 def read_walk_log(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
-    """(walk_id, hop, vertex) of binary 10-byte records: int walk, short hop, int vertex, big-endian."""
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "walks_*").load(path) if _is_folder(spark, path) else spark.read.format("binaryFile").load(path)
-    at = F.explode(F.sequence(F.lit(0), F.length("content").cast("int") - 10, F.lit(10)))
-    rows = raw.filter(F.length("content") >= 10).select("content", at.alias("at"))
-    part = lambda a, n: F.conv(F.hex(F.substring("content", F.col("at") + a + 1, F.lit(n))), 16, 10).cast("long")
+    """(walk_id, hop, vertex) of binary 10-byte records: int walk, short hop, int vertex, big-endian. A file that ends inside a record is an error."""
+    raw = _records(spark, f"{path}/walks_*" if _is_folder(spark, path) else path, 10)
+    part = lambda a, n: F.conv(F.hex(F.substring("content", a + 1, n)), 16, 10).cast("long")
     signed = lambda v, bits: F.when(v >= 1 << (bits - 1), v - (1 << bits)).otherwise(v)
-    rows = rows.select(signed(part(0, 4), 32).alias("walk_id"), signed(part(4, 2), 16).alias("hop"), signed(part(6, 4), 32).alias("vertex"))
+    rows = raw.select(signed(part(0, 4), 32).alias("walk_id"), signed(part(4, 2), 16).alias("hop"), signed(part(6, 4), 32).alias("vertex"))
     if first is not None:
         rows = rows.filter(F.col("walk_id") >= first)
     return rows if last is None else rows.filter(F.col("walk_id") <= last)
 
 
 def read_names(spark: SparkSession, path: str, width: int = 16) -> DataFrame:
-    """(id, name) of a file of fixed-width name records, the id being the place of the record."""
-    raw = spark.read.format("binaryFile").load(path).select(F.posexplode(F.sequence(F.lit(0), F.length("content").cast("int") - width, F.lit(width))).alias("id", "at"), "content")
-    return raw.select(F.col("id").cast("long").alias("id"), F.trim(F.regexp_replace(F.decode(F.substring("content", F.col("at") + 1, F.lit(width)), "UTF-8"), "\\x00+$", "")).alias("name"))
+    """(id, name) of a file of fixed-width name records, the id being the place of the record. A file that ends inside a record is an error."""
+    return _records(spark, path, width).select(F.col("place").alias("id"), F.trim(F.regexp_replace(F.decode("content", "UTF-8"), "\\x00+$", "")).alias("name"))

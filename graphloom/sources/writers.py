@@ -66,17 +66,19 @@ def write_histogram(histogram: DataFrame, path: str) -> None:
     histogram.select("label", "count").write.mode("overwrite").csv(path)
 
 
-def factor_lines(factors: DataFrame, rows: int) -> DataFrame:
-    """The body of a dense MatrixMarket file: the numbers of each vertex in turn, by id."""
-    return factors.select("id", F.posexplode("features").alias("k", "x")).orderBy("id", "k").select(F.col("x").cast("string").alias("value"))
+def factor_lines(factors: DataFrame) -> DataFrame:
+    """The lines of a dense MatrixMarket file, in order: the head, the shape, the numbers of each vertex in turn, by id."""
+    shape = factors.agg(F.coalesce(F.max(F.size("features")), F.lit(0)).alias("k"), F.count("*").alias("n"))
+    no_id = F.lit(None).cast("long")
+    head = shape.select(no_id.alias("id"), F.lit(0).alias("k"), F.lit("%%MatrixMarket matrix array real general").alias("value"))
+    size = shape.select(no_id.alias("id"), F.lit(1).alias("k"), F.concat_ws(" ", "k", "n").alias("value"))
+    body = factors.select(F.col("id").cast("long").alias("id"), F.posexplode("features").alias("k", "x")).select("id", "k", F.col("x").cast("string").alias("value"))
+    return head.union(size).union(body).orderBy(F.col("id").asc_nulls_first(), "k").select("value")
 
 
 def write_factors(factors: DataFrame, path: str) -> None:
-    row = factors.select(F.size("features")).first()
-    n = factors.count()
-    head = factors.sparkSession.createDataFrame([(f"%%MatrixMarket matrix array real general\n{row[0] if row else 0} {n}",)], "value string")
-    head.coalesce(1).write.mode("overwrite").text(f"{path}/head")
-    factor_lines(factors, n).write.mode("overwrite").text(f"{path}/body")
+    """One MatrixMarket file in parts: their names are in order, so the parts put together are the file."""
+    factor_lines(factors).write.mode("overwrite").text(path)
 
 
 def write_top_visits(top: DataFrame, path: str) -> None:

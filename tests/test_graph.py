@@ -183,6 +183,16 @@ def test_names(spark):
     assert table(neighbours.with_names(spark.createDataFrame([(1,), (2,)], "id long"), names)) == [(1, "a"), (2, "2")]
 
 
+@pytest.mark.parametrize("vertices", [1, 2, 7, 8, 100])
+def test_rmat_over_any_number_of_vertices(spark, vertices):
+    got = table(generate.rmat_any(spark, vertices, 400, 0.4, 0.2, 0.3, 0.1, seed=9))
+    assert len(got) == 400 and {x for e in got for x in e} <= set(range(vertices))
+    if vertices < 10:
+        assert {x for e in got for x in e} == set(range(vertices))
+    if vertices == 8:
+        assert got == table(generate.rmat(spark, 3, 400, 0.4, 0.2, 0.3, 0.1, seed=9))
+
+
 def test_rmat_probabilities(spark):
     with pytest.raises(ValueError):
         generate.rmat(spark, 3, 10, 0.5, 0.5, 0.5, 0.5)
@@ -242,6 +252,15 @@ def test_binary_files(spark, tmp_path):
     (tmp_path / "walks_0").write_bytes(b"".join(struct.pack(">ihi", w, h, v) for w, h, v in [(1, 0, 5), (1, 1, 70000), (2, 0, 9)]))
     assert table(readers.read_walk_log(spark, str(tmp_path))) == [(1, 0, 5), (1, 1, 70000), (2, 0, 9)]
     assert table(readers.read_walk_log(spark, str(tmp_path), first=2)) == [(2, 0, 9)]
+    many = [(w, w % 7, -w) for w in range(1, 3001)]
+    (tmp_path / "walks_1").write_bytes(b"".join(struct.pack(">ihi", *r) for r in many))
+    split = spark.sparkContext._jsc.hadoopConfiguration()
+    split.set("mapreduce.input.fileinputformat.split.maxsize", "4000")
+    try:
+        log = readers.read_walk_log(spark, str(tmp_path / "walks_1"))
+        assert log.rdd.getNumPartitions() > 1 and table(log) == sorted(many)
+    finally:
+        split.unset("mapreduce.input.fileinputformat.split.maxsize")
     (tmp_path / "n.dat").write_bytes(b"".join(x.encode().ljust(16, b"\0") for x in ("ann", "bob")))
     assert table(readers.read_names(spark, str(tmp_path / "n.dat"))) == [(0, "ann"), (1, "bob")]
 
@@ -257,7 +276,15 @@ def test_writers_round_trip(spark, tmp_path):
     writers.write_cores(structure.kcore(g.symmetrize(), Scratch(spark)), str(tmp_path / "k"))
     assert spark.read.text(str(tmp_path / "k/body")).first()[0] == "1, 2"
     f = spark.createDataFrame([(2, [3.0, 4.0]), (1, [1.0, 2.0])], "id long, features array<double>")
-    assert [r[0] for r in writers.factor_lines(f, 2).collect()] == ["1.0", "2.0", "3.0", "4.0"]
+    writers.write_factors(f, str(tmp_path / "f"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "f").glob("part-*"))).split("\n") == ["%%MatrixMarket matrix array real general", "2 2", "1.0", "2.0", "3.0", "4.0", ""]
+    writers.write_topic_lists(spark.createDataFrame([(1, "a", 0.5)], "id long, topic string, score double"), str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t/of=a")).first()[0] == "1\ta\t0.5"
+    walks = spark.createDataFrame([(1, 2), (1, 3)], "source long, pos long")
+    writers.write_walks(walks, str(tmp_path / "w"))
+    assert table(spark.read.parquet(str(tmp_path / "w"))) == [(1, 2), (1, 3)]
+    writers.write_top_visits(walks, str(tmp_path / "v"))
+    assert table(spark.read.parquet(str(tmp_path / "v"))) == [(1, 2), (1, 3)]
     writers.write_histogram(values.label_histogram(structure.connected_components(g, Scratch(spark))), str(tmp_path / "h"))
     assert spark.read.text(str(tmp_path / "h")).first()[0] == "1,3"
 
