@@ -7,7 +7,9 @@ largest.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,13 +19,17 @@ class Graph:
         self._given = vertices
 
     @classmethod
-    def from_edges(cls, raw: DataFrame, value: str | None = None) -> Graph:
-        """Edges as they come, with self-loops read as vertex values (dropped where they carry none)."""
+    def from_edges(cls, raw: DataFrame, value: str | None = None, parse_value: Callable[[Column], Column] | None = None) -> Graph:
+        """Edges as they come, with self-loops read as vertex values (dropped where they carry none).
+
+        parse_value makes the vertex value of the column ``value``; where it gives null nothing is stored.
+        """
         edges = raw.filter("src <> dst")
         loops = None
         if value:
             # of several loops at a vertex the greatest value holds, so that the order of rows doesn't matter
-            loops = raw.filter("src = dst").filter(F.col(value).isNotNull()).groupBy(F.col("src").alias("id")).agg(F.max(value).alias("value"))
+            own = parse_value(F.col(value)) if parse_value else F.col(value)
+            loops = raw.filter("src = dst").select(F.col("src").alias("id"), own.alias("value")).filter("value is not null").groupBy("id").agg(F.max("value").alias("value"))
         return cls(edges, loops)
 
     @property

@@ -25,8 +25,9 @@ class Gather:
 
     direction: "in" gathers from sources of in-edges, "out" from ends of
     out-edges, "all" from both, "none" from nothing. gather: an aggregate over
-    columns of the neighbour's state and of the edge. init: its value for
-    vertices without any. apply: from the gathered Column to new state columns.
+    columns of the neighbour's state and of the edge; a fold of one's own is a
+    grouped-aggregate Pandas UDF, which holds a vertex's neighbours in one
+    task. init: its value for vertices without any. apply: from the gathered Column to new state columns.
     """
 
     direction: str

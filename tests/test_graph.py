@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,3 +409,33 @@ def test_weighted_hops_of_skewed_weights(spark):
     got = draws.multinomial(w, "src", "dst", "w", 2000, 3).groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("dst") == 401).alias("none"), F.count_if(F.col("dst") == 400).alias("big")).collect()
     assert {r["src"]: r["n"] for r in got} == {0: 2000, 1: 2000} and {r["src"]: r["none"] for r in got} == {0: 0, 1: 0}
     assert next(r["big"] for r in got if r["src"] == 0) > 1990
+
+
+def test_vertex_values_by_a_parser(spark):
+    raw = spark.createDataFrame([(1, 1, "7"), (2, 2, "x"), (1, 2, "3"), (1, 1, "12")], "src long, dst long, value string")
+    g = Graph.from_edges(raw, "value", lambda c: c.try_cast("int"))
+    assert table(g.vertices) == [(1, 12), (2, None)]
+
+
+def test_gather_by_a_fold_of_ones_own(spark):
+    @F.pandas_udf("double")
+    def fold(x: pd.Series) -> float:
+        total = 1.0
+        for v in sorted(x):
+            total = 2 * total + v
+        return total
+
+    e = edges(spark, [(1, 3), (2, 3), (3, 1)])
+    state = spark.createDataFrame([(1, 1.0), (2, 5.0), (3, 2.0)], "id long, x double")
+    program = Gather(direction="in", gather=fold("x"), init=F.lit(0.0), apply=lambda g: {"x": g})
+    assert table(gas(e, state, program, Scratch(spark), 1)) == [(1, 4.0), (2, 0.0), (3, 11.0)]
+
+
+def test_walks_with_a_step_of_their_own(spark):
+    g = Graph(edges(spark, [(i, i + 1) for i in range(6)]))
+    sources = spark.createDataFrame([(0,)], "source long")
+    plain = rw.Policy(reset=0.0)
+    log = table(rw.paths(rw.start(sources, 1), g, rw.Policy(reset=0.0, reset_if="pos = 2"), Scratch(spark), 5))
+    assert [v for _, _, v in sorted(log, key=lambda r: r[1])] == [0, 1, 2, 0, 1, 2]
+    jobs = {"a": (sources, 2, plain), "b": (sources, 2, rw.Policy(reset=0.0, track="pos = 2 and step = 2"))}
+    assert table(rw.run_jobs(jobs, g, Scratch(spark), 5)) == [("a", 0, 2, 2), ("a", 0, 3, 2), ("a", 0, 4, 2), ("b", 0, 3, 2)]
