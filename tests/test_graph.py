@@ -1,5 +1,6 @@
 """Small cases of graph operators, readers, writers and distributions."""
 
+import shutil
 import struct
 
 import numpy as np
@@ -50,6 +51,24 @@ def test_translation_is_a_bijection(spark, shards, length):
     assert df.filter("b <> id").count() == 0 and df.select("t").distinct().count() == shards * length
 
 
+def chain(spark, tmp_path, users: int) -> str:
+    """A folder with events of so many users, one after the other, so that user_seq is a path."""
+    at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 60)
+    spark.range(users).select(F.col("id").alias("event_id"), at.alias("ts"), F.col("id").alias("user_id"), F.lit(1.0).alias("value")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    part = next((tmp_path / "events.parquet").glob("part-*.parquet"))
+    part.rename(tmp_path / "one.parquet")
+    shutil.rmtree(tmp_path / "events.parquet")
+    (tmp_path / "one.parquet").rename(tmp_path / "events.parquet")
+    return str(tmp_path)
+
+
+def test_translation_of_more_ids_than_its_intervals_hold(spark, tmp_path):
+    from graphloom.queries import ORACLES, QUERIES
+    from tests.oracle import agree
+
+    agree(QUERIES["id_translation"], ORACLES["id_translation"], spark, chain(spark, tmp_path, 4100))
+
+
 def test_packing(spark):
     df = spark.createDataFrame([(0, 0), (1, 2), (2**31 - 1, 5), (7, 2**31 - 1)], "a int, b int").withColumn("p", pack(F.col("a"), F.col("b")))
     a, b = unpack(F.col("p"))
