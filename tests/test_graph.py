@@ -151,6 +151,16 @@ def test_kcore(spark):
     assert dict(table(structure.kcore(Graph(edges(spark, clique + tail)), Scratch(spark)))) == {**{i: 4 for i in range(5)}, 5: 1, 6: 1}
 
 
+def test_kcore_is_asked_for_the_sweeps_of_its_sql(spark, tmp_path):
+    from graphloom.queries import ORACLES, QUERIES
+    from tests.oracle import agree
+
+    sf = chain(spark, tmp_path, 60)  # estimates fall from both ends by one vertex a sweep, so the fixpoint takes 30
+    agree(QUERIES["kcore"], ORACLES["kcore"], spark, sf)
+    g = Graph(edges(spark, [(i, i + 1) for i in range(59)])).symmetrize()
+    assert {c for _, c in table(structure.kcore(g, Scratch(spark)))} == {1}
+
+
 def test_salsa_and_hits_need_two_passes(spark):
     e = edges(spark, [(1, 10)]).withColumn("value", F.lit(1.0))
     for f in (rank.salsa, rank.hits):
