@@ -243,6 +243,41 @@ def test_normal_equations_match_the_scalar_step(spark):
     assert got == pytest.approx(scalar)
 
 
+def counted(spark, df, key="dst"):
+    """df and a counter of how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(x):
+        made.add(1)
+        return x
+
+    return df.withColumn(key, F.udf(seen, "long")(key)), made
+
+
+def test_rank_one_als_makes_its_ratings_once(spark):
+    r = spark.createDataFrame([(u, 100 + i, float((u * i) % 5 + 1)) for u in range(4) for i in range(6)], "src long, dst long, rating double")
+    rows, made = counted(spark, r)
+    left, right = factor.rank_one_als(rows, Scratch(spark))
+    b = r.select(F.col("dst").alias("id")).distinct().withColumn("x", F.lit(1.0))
+    for _ in range(2):
+        a = factor.rank_one_step(r, b, "left")
+        b = factor.rank_one_step(r, a, "right")
+    assert dict(table(left)) == pytest.approx(dict(table(a))) and dict(table(right)) == pytest.approx(dict(table(b)))
+    assert made.value == r.count()
+
+
+@pytest.mark.parametrize("name", ["als_full", "rmse_fixed_factors"])
+def test_ratings_are_made_once(spark, monkeypatch, name):
+    from graphloom import queries
+
+    rows, made = counted(spark, queries.fx.ratings(spark, "/root/testdata/sf0.001"))
+    n = rows.count()
+    made.value = 0
+    monkeypatch.setattr(queries.fx, "ratings", lambda *_: rows)
+    queries.QUERIES[name](spark, "").collect()
+    assert 0 < made.value <= n
+
+
 def test_readers(spark, tmp_path):
     p = tmp_path / "e.txt"
     p.write_text("# c\n1\t2\n3 4 5.5\n\n6 7 8 9\n")
