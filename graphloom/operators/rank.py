@@ -19,14 +19,6 @@ from graphloom.plans.scratch import Scratch
 RESET, DAMPING = 0.15, 0.85
 
 
-def _shares(edges: DataFrame, weight: str | None) -> DataFrame:
-    """(src, dst, share): the part of its source's value that an edge carries."""
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    e = edges.select("src", "dst", w.alias("w"))
-    out = e.groupBy("src").agg(F.sum("w").alias("out"))
-    return e.join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share"))
-
-
 def stored(graph: Graph, scratch: Scratch, *columns: str) -> Graph:
     """The graph with its edges written once: degrees, vertices and shares then read them instead of making them again."""
     return Graph(scratch.save(graph.edges.select("src", "dst", *columns)), graph._given)
@@ -38,17 +30,29 @@ def pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3, weight: str | None
     With weight, an edge carries weight / (its source's sum of weights);
     weights may not be null.
     """
-    graph = stored(graph, scratch, *([weight] if weight else []))
-    e = Dealt(_shares(graph.edges, weight), "src", scratch)
-    ids = scratch.save(graph.vertices.select("id"))
+    if not sweeps:
+        return graph.vertices.select("id", F.lit(1.0).alias("rank"))
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    e = Dealt(graph.edges.select("src", "dst", *([w.alias("w")] if weight else [])), "src", scratch)
+    w = F.col("w") if weight else F.lit(1.0)
+    out = e.rows.groupBy("src").agg(F.sum(w).alias("out"))
+
+    def sent(r: DataFrame) -> DataFrame:
+        return e.join(r.filter("out is not null").select("src", (F.col("rank") / F.col("out")).alias("x"))).groupBy("dst").agg(F.sum(F.col("x") * w).alias("got"))
+
+    new = (RESET + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank")
+    # the first sweep reaches every vertex with in-edges, so it gives the ids too
+    first = out.join(sent(out.withColumn("rank", F.lit(1.0))), F.col("src") == F.col("dst"), "full").select(F.coalesce("src", "dst").alias("src"), "out", "got")
+    if graph._given is not None:
+        first = first.join(graph._given.select(F.col("id").alias("src")).distinct(), "src", "full")
+    state = scratch.save(first.select("src", "out", new))
 
     def sweep(r: DataFrame, _: int) -> DataFrame:
-        got = e.join(r.withColumnRenamed("id", "src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        return ids.join(got, ids["id"] == got["dst"], "left").select("id", (RESET + DAMPING * F.coalesce("got", F.lit(0.0))).alias("rank"))
+        return r.join(sent(r), F.col("src") == F.col("dst"), "left").select("src", "out", new)
 
-    out = iterate(ids.withColumn("rank", F.lit(1.0)), sweep, scratch, sweeps)
+    last = iterate(state, sweep, scratch, sweeps - 1, every=1)
     e.close()
-    return out
+    return last.select(F.col("src").alias("id"), "rank")
 
 
 def gas_pagerank(graph: Graph, scratch: Scratch, sweeps: int = 3) -> DataFrame:

@@ -266,6 +266,30 @@ def test_rank_one_als_makes_its_ratings_once(spark):
     assert made.value == r.count()
 
 
+def test_pagerank_makes_its_edges_once(spark):
+    pairs = [(i, (i * 3 + k) % 20 + 5) for i in range(20) for k in (1, 2, 2)]
+    rows, made = counted(spark, edges(spark, pairs))
+    given = spark.createDataFrame([(3, 1.0), (99, 1.0)], "id long, value double")
+    got = dict(table(rank.pagerank(Graph(rows, given), Scratch(spark))))
+    ranks = dict.fromkeys({v for p in pairs for v in p} | {3, 99}, 1.0)
+    for _ in range(3):
+        ranks = {v: 0.15 + 0.85 * sum(ranks[a] / sum(x == a for x, _ in pairs) for a, b in pairs if b == v) for v in ranks}
+    assert got == pytest.approx(ranks)
+    assert made.value == len(pairs)
+    assert set(dict(table(rank.pagerank(Graph(edges(spark, pairs), given), Scratch(spark), 1)))) == set(ranks)
+
+
+def test_labels_of_symmetric_edges_are_made_once(spark):
+    g = Graph(edges(spark, [(i, i + 1) for i in range(9)])).symmetrize()
+    rows, made = counted(spark, g.edges)
+    given = spark.createDataFrame([(99, 1.0)], "id long, value double")
+    want = {**{i: max(0, i - 3) for i in range(10)}, 99: 99}
+    assert dict(table(structure.propagate_labels(Graph(rows, given), Scratch(spark), 3, symmetric=True))) == want
+    assert made.value == 18
+    one_way = Graph(edges(spark, [(i + 1, i) for i in range(9)]), given)
+    assert dict(table(structure.propagate_labels(one_way, Scratch(spark), 3))) == want
+
+
 @pytest.mark.parametrize("name", ["als_full", "rmse_fixed_factors"])
 def test_ratings_are_made_once(spark, monkeypatch, name):
     from graphloom import queries
