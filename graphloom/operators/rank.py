@@ -17,6 +17,8 @@ from graphloom.plans.iterate import iterate
 from graphloom.plans.scratch import Scratch
 
 RESET, DAMPING = 0.15, 0.85
+#: Vertices of a side, an id and a number each, that may be sent to every task.
+FEW = 500_000
 
 
 def stored(graph: Graph, scratch: Scratch, *columns: str) -> Graph:
@@ -125,19 +127,48 @@ def weighted_topic_pagerank(graph: Graph, weights: DataFrame, scratch: Scratch,
     return last.join(own, ["id", "topic"]).select("id", "topic", (F.col("y") * F.col("out")).alias("score")).union(rest)
 
 
+class _Sides:
+    """Edges of a bipartite graph dealt by their right end and kept, with (src, out) of the left side.
+
+    A left side of up to FEW vertices is sent to all tasks, where the edges of a
+    right vertex lie together, so no sums are shuffled; a larger one is joined
+    with edges dealt by the left end.
+    """
+
+    def __init__(self, edges: DataFrame, scratch: Scratch):
+        self.scratch = scratch
+        self.by_dst = Dealt(edges.select("src", "dst", F.col("value").cast("double").alias("value")), "dst", scratch)
+        self.out = scratch.save(self.by_dst.rows.groupBy("src").agg(F.count("*").alias("out")))
+        self.few = self.out.count() <= FEW
+        self.by_src = None
+
+    def to_right(self, left: DataFrame | None) -> DataFrame:
+        """(dst, x) a row an edge, from left(src, x) or, without it, the values of the edges."""
+        if left is None:
+            return self.by_dst.rows.select("dst", F.col("value").alias("x"))
+        if self.few:
+            return self.by_dst.rows.join(F.broadcast(left), "src").select("dst", "x")
+        self.by_src = self.by_src or Dealt(self.by_dst.rows.select("src", "dst"), "src", self.scratch)
+        return self.by_src.join(left).select("dst", "x")
+
+    def close(self) -> None:
+        self.by_dst.close()
+        if self.by_src:
+            self.by_src.close()
+
+
 def hits(edges: DataFrame, scratch: Scratch, iterations: int = 8, total: DataFrame | None = None) -> DataFrame:
     """(id, score) of the left side of a bipartite graph, by HITS: score > 0 only.
 
     edges(src, dst, value): left to right; the first right pass reads value.
     total(id, total) overrides the in-degree of right vertices as list length.
     Even passes update the right side, odd ones the left; two numbers (the
-    norms) reach the driver. The edges are dealt by either side once and kept.
+    norms) reach the driver. The edges are dealt once and kept, by either side if the left is large.
     """
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = scratch.save(edges.select("src", "dst", F.col("value").cast("double").alias("value")))
-    by_src, by_dst = (Dealt(e.select("src", "dst"), k, scratch) for k in ("src", "dst"))
-    right = e.groupBy("dst").agg(F.count("*").alias("deg"))
+    sides = _Sides(edges, scratch)
+    right = sides.by_dst.rows.groupBy("dst").agg(F.count("*").alias("deg"))
     if total is not None:
         right = right.join(total.select(F.col("id").alias("dst"), "total"), "dst", "left")
         right = right.withColumn("scale", F.col("deg") / F.when(F.coalesce("total", F.lit(0)) == 0, F.col("deg")).otherwise(F.col("total")))
@@ -147,15 +178,14 @@ def hits(edges: DataFrame, scratch: Scratch, iterations: int = 8, total: DataFra
     left_norm, right_norm, a, h = 1.0, 1.0, None, None
     for t in range(iterations):
         if t % 2 == 0:
-            sent = e.withColumn("x", F.col("value")) if a is None else by_src.join(a).withColumn("x", F.col("a"))
+            sent = sides.to_right(None if a is None else a.select("src", F.col("a").alias("x")))
             got = sent.groupBy("dst").agg(F.sum(F.col("x") / left_norm).alias("s"))
             h = scratch.save(got.join(right, "dst").select("dst", (F.col("s") * F.col("scale")).alias("h")))
             right_norm = h.agg(F.sqrt(F.sum(F.col("h") * F.col("h")))).first()[0] or 1.0
         else:
-            a = scratch.save(by_dst.join(h).groupBy("src").agg(F.sum(F.col("h") / right_norm).alias("a")))
+            a = scratch.save(sides.by_dst.join(h).groupBy("src").agg(F.sum(F.col("h") / right_norm).alias("a")))
             left_norm = a.agg(F.sqrt(F.sum(F.col("a") * F.col("a")))).first()[0] or 1.0
-    by_src.close()
-    by_dst.close()
+    sides.close()
     return a.select(F.col("src").alias("id"), (F.col("a") / left_norm).alias("score")).filter("score > 0")
 
 
@@ -163,17 +193,14 @@ def salsa(edges: DataFrame, scratch: Scratch, iterations: int = 8) -> DataFrame:
     """(id, score) of the left side by SALSA: values are divided by the degree of the side that sends them."""
     if iterations < 2:
         raise ValueError("the left side has no score before two passes")
-    e = scratch.save(edges.select("src", "dst", F.col("value").cast("double").alias("value")))
-    by_src, by_dst = (Dealt(e.select("src", "dst"), k, scratch) for k in ("src", "dst"))
-    out = scratch.save(e.groupBy("src").agg(F.count("*").alias("out")))
+    sides = _Sides(edges, scratch)
     a = h = None
     for t in range(iterations):
         if t % 2 == 0:
-            sent = e.withColumn("x", F.col("value")) if a is None else by_src.join(a.join(out, "src").select("src", (F.col("a") / F.col("out")).alias("x")))
+            sent = sides.to_right(None if a is None else a.join(sides.out, "src").select("src", (F.col("a") / F.col("out")).alias("x")))
             # the right side sends its sum over its degree
             h = scratch.save(sent.groupBy("dst").agg((F.sum("x") / F.count("*")).alias("h")))
         else:
-            a = scratch.save(by_dst.join(h).groupBy("src").agg(F.sum("h").alias("a")))
-    by_src.close()
-    by_dst.close()
+            a = scratch.save(sides.by_dst.join(h).groupBy("src").agg(F.sum("h").alias("a")))
+    sides.close()
     return a.select(F.col("src").alias("id"), F.col("a").alias("score")).filter("score > 0")

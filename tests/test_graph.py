@@ -290,6 +290,16 @@ def test_labels_of_symmetric_edges_are_made_once(spark):
     assert dict(table(structure.propagate_labels(one_way, Scratch(spark), 3))) == want
 
 
+@pytest.mark.parametrize("name", ["salsa_8", "hits_8"])
+def test_small_and_large_left_sides_agree_with_sql(spark, monkeypatch, name):
+    from graphloom.queries import ORACLES, QUERIES
+    from tests.oracle import agree
+
+    for few in (0, 500_000):
+        monkeypatch.setattr(rank, "FEW", few)
+        agree(QUERIES[name], ORACLES[name], spark, "/root/testdata/sf0.001")
+
+
 @pytest.mark.parametrize("name", ["als_full", "rmse_fixed_factors"])
 def test_ratings_are_made_once(spark, monkeypatch, name):
     from graphloom import queries
