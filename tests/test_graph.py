@@ -300,6 +300,20 @@ def test_small_and_large_left_sides_agree_with_sql(spark, monkeypatch, name):
         agree(QUERIES[name], ORACLES[name], spark, "/root/testdata/sf0.001")
 
 
+def test_friends_of_friends_makes_its_edges_once(spark, monkeypatch):
+    from graphloom import queries
+
+    pairs = sorted({(i, (i * 7 + k) % 60) for i in range(60) for k in range(1, 4)} - {(i, i) for i in range(60)})
+    rows, made = counted(spark, edges(spark, pairs))
+    monkeypatch.setattr(queries.fx, "copurchase", lambda *_: Graph(rows))
+    got = {(r["id"], r["fof"]): r["count"] for r in queries.QUERIES["fof_top20"](spark, "").collect()}
+    want = {}
+    for a, b in pairs:
+        for c in (c for x, c in pairs if x == b and a % 50 == 0 and c != a and (a, c) not in pairs):
+            want[a, c] = want.get((a, c), 0) + 1
+    assert got == want and made.value == len(pairs)
+
+
 @pytest.mark.parametrize("name", ["als_full", "rmse_fixed_factors"])
 def test_ratings_are_made_once(spark, monkeypatch, name):
     from graphloom import queries
